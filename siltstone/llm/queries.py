@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import fusion, mixing, packing, ranking, splitting
+from siltstone.llm import fusion, mixing, near_duplicates, packing, ranking, shared_spans, similar_vectors, splitting
 from siltstone.plans.tables import table
 
 CHANNELS = ("vector", "bm25", "rerank")
@@ -14,6 +14,37 @@ ITEMS = ["doc_id", "chunk_id"]
 DEFAULTS = {"top_k": 5, "rrf_k": 60}
 
 
+#: What TESTDATA.md calls alike for chunks; whole documents take the usual five words and 0.8.
+CHUNKS_ALIKE = near_duplicates.Likeness(words=3, threshold=0.6, least=20, rows=4, bands=40)
+DOCUMENTS_ALIKE = near_duplicates.Likeness(words=5, threshold=0.8, least=20, rows=8, bands=36)
+
+
+def _child_texts(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").filter("role = 'child'")
+    return chunks.select(F.col("storage_id").alias("id"), F.col("doc_id").alias("owner"), "text")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of child chunks of different documents that are alike."""
+    signed = near_duplicates.signatures(_child_texts(spark, folder), CHUNKS_ALIKE)
+    links = near_duplicates.similar_fingerprints(signed, CHUNKS_ALIKE)
+    pairs = near_duplicates.member_pairs(signed, links)
+    return pairs.select(F.col("id_a").alias("storage_id_a"), F.col("id_b").alias("storage_id_b"))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of every child chunk."""
+    groups = near_duplicates.near_duplicate_groups(_child_texts(spark, folder), CHUNKS_ALIKE)
+    return groups.withColumnsRenamed({"id": "storage_id", "owner": "doc_id"})
+
+
+def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of every document."""
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("owner"), "text")
+    groups = near_duplicates.near_duplicate_groups(documents, DOCUMENTS_ALIKE)
+    return groups.select(F.col("owner").alias("doc_id"), "class_id", "copies", "links", "group_id")
+
+
 def _cost() -> F.Column:
     """Lower is better in every channel."""
     return F.when(F.col("hit_mode") == "bm25", F.col("score")).otherwise(-F.col("score"))
@@ -75,6 +106,19 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks"), table(spark, folder, "chunk_limits"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of vectors with a similarity of 0.9 or more, one among the other's five nearest."""
+    near = similar_vectors.nearest(table(spark, folder, "chunk_embeddings"), 5).filter("similarity >= 0.9")
+    return near.select(F.least("vec_id", "near_id").alias("vec_id_a"), F.greatest("vec_id", "near_id").alias("vec_id_b")).distinct()
+
+
+def p6_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest rows of every row whose vec_id is divisible by 100, against all rows."""
+    rows = table(spark, folder, "chunk_embeddings")
+    found = similar_vectors.search(rows, rows.filter("vec_id % 100 = 0").select("vec_id"), 5)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in containers."""
     return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_budgets"))
@@ -106,6 +150,20 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return report.filter("short AND reached_tokens = most_tokens").select("mix_id", "source")
 
 
+def _spans(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, folder, "documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Maximal runs of characters that stand in other documents too."""
+    return _spans(spark, folder).select("doc_id", "span_start", "span_end")
+
+
+def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each document is shared."""
+    return shared_spans.shared_share(table(spark, folder, "documents"), _spans(spark, folder))
+
+
 _BEST = """
 newest AS (
   SELECT query_id, hit_mode, doc_id, chunk_id,
@@ -136,17 +194,24 @@ sizes AS (
 """
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p1_documents": p1_documents,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_ideal": p4_ideal,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
+    "p6_search": p6_search,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_selection": p8_selection,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_shared": p9_shared,
 }
 
 SQL = {
