@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import changes
+from siltstone.plans import changes, documents, retrieval, scalars
 
-MODULES = [changes]
+MODULES = (scalars, retrieval, documents, changes)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
-FLAGSHIP = "p2_found"
+FLAGSHIP = "hybrid_topk"
