@@ -15,7 +15,7 @@ DEFAULTS = {"top_k": 5, "rrf_k": 60}
 
 
 #: What TESTDATA.md calls alike for chunks; whole documents take the usual five words and 0.8.
-CHUNKS_ALIKE = near_duplicates.Likeness(words=3, threshold=0.6, least=20, rows=4, bands=40)
+CHUNKS_ALIKE = near_duplicates.Likeness(words=3, threshold=0.6, least=20, rows=4, bands=60)
 DOCUMENTS_ALIKE = near_duplicates.Likeness(words=5, threshold=0.8, least=20, rows=8, bands=36)
 
 
