@@ -15,8 +15,9 @@ same minimal hash; as the spans are exact, one hash function finds all of them.
    characters of all its windows.
 3. Windows of equal hash are interval-joined: how far the contexts of two agree to the left
    and to the right of c decides exactly which windows they share. Equal contexts are
-   compared once. A hash with more than `bucket` rows is not compared in pairs: there every
-   window's text is hashed to 128 bits, and those found under two doc_ids are shared.
+   compared once. A hash with more than `bucket` rows is not compared in pairs: there equal
+   contexts of two documents are shared as a whole, and of the distinct contexts the windows'
+   texts are hashed to 128 bits; those found under two doc_ids are shared.
 4. Overlapping and touching windows of a document are merged.
 
 Defined results: null texts, null doc_ids and texts shorter than `span` share nothing and are
@@ -201,17 +202,41 @@ def _window_keys(span: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for begin in range(0, len(pdf), 2000):
-                keys, docs, starts = [], [], []
                 part = pdf.iloc[begin : begin + 2000]
-                for doc, i0, i1, context in zip(*[part[x].tolist() for x in ("doc_id", "i0", "i1", "context")], strict=True):
-                    keys += [xxhash.xxh3_128_digest(context[k : k + span].encode("utf-8", "surrogatepass")) for k in range(i1 - i0 + 1)]
-                    docs += [doc] * (i1 - i0 + 1)
-                    starts += range(i0, i1 + 1)
-                yield pd.DataFrame({"key": keys, "doc_id": docs, "start": starts})
+                sizes = (part["i1"] - part["i0"] + 1).to_numpy()
+                out = {name: np.repeat(part[name].to_numpy(), sizes) for name in ("a", "b")}
+                out["start"] = np.concatenate([np.arange(i0, i1 + 1) for i0, i1 in zip(part["i0"], part["i1"], strict=True)]) if len(part) else []
+                out["key"] = [
+                    xxhash.xxh3_128_digest(context[k : k + span].encode("utf-8", "surrogatepass"))
+                    for context, n in zip(part["context"], sizes.tolist(), strict=True) for k in range(n)
+                ]
+                yield pd.DataFrame(out)[["key", "a", "b", "start"]]
 
     return run
 
 
+def _in_large_buckets(rows: DataFrame, span: int) -> DataFrame:
+    """(doc_id, start, end) shared in buckets that are not compared in pairs.
+
+    Rows of equal context form a class, whose least and largest doc_id are known from partial
+    aggregates. A class of two documents is shared as a whole; the windows of one row of each
+    class are enough to see what the classes of a single document share with others.
+    """
+    rows = rows.select(
+        "hash", (F.col("c") - F.col("i0")).alias("at"), F.xxhash64("context").alias("k1"), F.xxhash64(F.lit(7), "context").alias("k2"), "doc_id", "i0", "i1", "context"
+    )
+    key = ["hash", "at", "k1", "k2"]
+    classes = materialize(rows.groupBy(*key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")), "classes")
+    whole = rows.join(classes.filter("a < b"), key).select("doc_id", F.col("i0").alias("start"), (F.col("i1") + span).alias("end"))
+    first = rows.join(classes, key).filter("doc_id = a").select("a", "b", "i0", "i1", "context")
+    # of a class of several documents one row is enough; of a single one's, all are to be marked
+    first = first.filter("a = b").unionByName(first.filter("a < b").dropDuplicates(["a", "b", "context"]))
+    keys = materialize(first.mapInPandas(_window_keys(span), "key binary, a long, b long, start int"), "keys")
+    common = keys.groupBy("key").agg(F.min("a").alias("x"), F.max("b").alias("y")).filter("x < y").select("key")
+    single = keys.filter("a = b").join(common, "key").select(F.col("a").alias("doc_id"), "start", (F.col("start") + span).alias("end"))
+    return whole.unionByName(single)
+
+
 def merge_spans(spans: DataFrame) -> DataFrame:
     """Unite overlapping and touching spans (doc_id, start, end) of each document."""
     ahead = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -240,10 +265,7 @@ def shared_spans(documents: DataFrame, *, span: int = SPAN, gram: int = GRAM, bu
     contexts = materialize(contexts, "contexts")
     few = contexts.filter("NOT many").drop("many").repartition("hash").sortWithinPartitions("hash")
     found = few.mapInPandas(_compare(span), "doc_id long, start int, end int")
-    keys = contexts.filter("many").select("doc_id", "i0", "i1", "context")
-    keys = materialize(keys.mapInPandas(_window_keys(span), "key binary, doc_id long, start int"), "keys")
-    common = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
-    found = found.unionByName(keys.join(common, "key").select("doc_id", "start", (F.col("start") + span).alias("end")))
+    found = found.unionByName(_in_large_buckets(contexts.filter("many"), span))
     return merge_spans(found)
 
 
