@@ -167,8 +167,7 @@ class Engine:
         if s.mode != "vector":
             depth = pool if s.mode == "bm25" else max(candidate_k, pool if rerank else candidate_k)
             # lengths and frequencies are those of all collections; the hits are one collection's
-            scores = search.bm25_scores(chunks.filter("role = 'child'").select("doc_id", "chunk_id", "text"), asked)
-            lexical = search.top_k(scores.join(own.select("doc_id"), "doc_id", "left_semi"), depth, best="low")
+            lexical = search.bm25_top_k(chunks.filter("role = 'child'").select("doc_id", "chunk_id", "text"), asked, depth, own)
         if s.mode != "bm25":
             self.check_model(collection)
             depth = pool if s.mode == "vector" else max(candidate_k, pool if rerank else candidate_k)
@@ -226,7 +225,7 @@ class Engine:
         with_text = with_text.filter("coalesce(source_contains, '') = '' OR contains(lower(source_path), lower(source_contains))").select("query_id", "doc_id")
         # rules on the path alone: the judged queries are a small stated set
         paths = rules.filter("external_id IS NULL AND coalesce(text_contains, '') = ''")
-        by_path = known.join(F.broadcast(paths), F.expr("contains(lower(source_path), lower(coalesce(source_contains, '')))")).select("query_id", "doc_id")
+        by_path = known.join(paths, F.expr("contains(lower(source_path), lower(coalesce(source_contains, '')))")).select("query_id", "doc_id")
         relevant = materialize(by_id.unionByName(with_text).unionByName(by_path).join(known, "doc_id").select("query_id", F.col("key").alias("doc_id")).distinct(), "relevant")
         gold = asked.select("query_id", F.when(F.col("expect_empty"), 0).otherwise(F.greatest(F.lit(1), F.size("relevant"))).alias("gold_count"))
         pool = max(top_k * multiplier, top_k)

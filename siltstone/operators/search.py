@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.index import corpus_stats, parsed_queries, tokenized
-from siltstone.session import materialize
+from siltstone.session import materialize, small
 
 ITEM = ["doc_id", "chunk_id"]
 #: Constants of the BM25 formula: k1 = 1.2 and b = 0.75, and the least weight of a term.
@@ -30,49 +30,68 @@ def top_k(scores: DataFrame, k: int, *, best: str = "high", keys: list[str] | No
 # -- BM25
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Scores (negative, the lowest is best) of all chunks (doc_id, chunk_id, text) that have a
-    token of a query (query_id, query): query_id, doc_id, chunk_id, score.
+def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add a number that ascends with the keys, so that it also stands for them in ties."""
+    return rows.orderBy(*keys).withColumn(name, F.monotonically_increasing_id())
 
-    Document frequencies and lengths are those of all chunks given, so collections are to be
-    filtered afterwards. A token that consists of several terms is matched as a phrase.
+
+def _bm25(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(qid, id, score), (id, item) and (qid, query_id).
+
+    Items, queries and terms are numbers from here on. The postings of the queries' terms are
+    partitioned by item and meet the term weights there, so that the sums need no shuffle.
     """
-    tokens = materialize(tokenized(chunks, ITEM), "tokens")
+    tokens = materialize(_numbered(tokenized(chunks, ITEM), ITEM, "id"), "tokens")
     asked = materialize(parsed_queries(queries), "asked")
-    # the postings of terms that no query has are dropped before they are grouped
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    single = asked.filter(F.size("terms") == 1).select("query_id", F.col("terms")[0].alias("term"), "qtf")
-    rows = tokens.select(*ITEM, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    held = rows.join(wanted, "term", "left_semi").groupBy("term", *ITEM, "dl").agg(F.count(F.lit(1)).alias("tf"))
-    held = held.select(F.array("term").alias("terms"), *ITEM, "dl", "tf")
-    single = single.select("query_id", F.array("term").alias("terms"), "qtf")
-    phrases = asked.filter(F.size("terms") > 1)
+    names = materialize(_numbered(asked.select("query_id").distinct(), ["query_id"], "qid"), "names")
+    kinds = materialize(_numbered(asked.select("terms").distinct(), ["terms"], "tid"), "kinds")
+    singles = small(kinds.filter(F.size("terms") == 1).select(F.col("terms")[0].alias("term"), "tid"), "singles")
+    rows = tokens.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(singles, "term")
+    held = rows.repartition("id").groupBy("id", "tid", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    phrases = kinds.filter(F.size("terms") > 1)
     if not phrases.isEmpty():
         held = held.unionByName(_phrase_postings(tokens, phrases))
-        single = single.unionByName(phrases)
     held = materialize(held, "postings")
-    frequency = held.groupBy("terms").agg(F.count(F.lit(1)).alias("df"))
-    weights = single.join(frequency, "terms").crossJoin(F.broadcast(corpus_stats(tokens)))
+    frequency = held.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
+    weights = asked.join(kinds, "terms").join(names, "query_id").select("qid", "tid", "qtf").join(frequency, "tid").crossJoin(corpus_stats(tokens))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weights.select("terms", "query_id", "avgdl", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("qtf")).alias("weight"))
+    weights = small(weights.select("tid", "qid", "avgdl", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("qtf")).alias("weight")), "weights")
     length = K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl"))
     part = F.col("weight") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + length)
-    met = held.join(weights, "terms")
-    return met.groupBy("query_id", *ITEM).agg(F.round(-F.sum(part), 9).alias("score"))
+    met = held.repartition("id").join(weights, "tid")
+    score = F.rint(-F.sum(part) * 1e9) / 1e9
+    return met.groupBy("qid", "id").agg(score.alias("score")), tokens.select("id", *ITEM), names
 
 
-def _phrase_postings(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Adjacent occurrences of the phrases' terms: terms, item, dl, tf."""
-    parts = phrases.select("terms").distinct().select("terms", F.posexplode("terms").alias("step", "term"))
-    wanted = parts.select("term").distinct()
-    places = tokens.select(*ITEM, F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term")).join(wanted, "term", "left_semi")
-    met = places.join(parts, "term").groupBy("terms", *ITEM, "dl", (F.col("pos") - F.col("step")).alias("start"))
-    whole = met.agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") == F.size("terms"))
-    return whole.groupBy("terms", *ITEM, "dl").agg(F.count(F.lit(1)).alias("tf"))
+def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Scores (negative, the lowest is best) of all chunks (doc_id, chunk_id, text) that have a
+    token of a query (query_id, query): query_id, doc_id, chunk_id, score.
+
+    Document frequencies and lengths are those of all chunks given, so collections are to be
+    filtered afterwards. A token that consists of several terms is matched as a phrase.
+    """
+    scores, items, names = _bm25(chunks, queries)
+    return scores.join(items, "id").join(names, "qid").select("query_id", *ITEM, "score")
 
 
-def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return top_k(bm25_scores(chunks, queries), k, best="low")
+def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
+    """The k best of each query: query_id, doc_id, chunk_id, score, rank. Only the winners are
+    joined to their names. `within` (doc_id) restricts the hits, not the statistics."""
+    scores, items, names = _bm25(chunks, queries)
+    if within is not None:
+        items = items.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
+        scores = scores.join(items.select("id"), "id", "left_semi")
+    best = top_k(scores, k, best="low", keys=["id"], by="qid")
+    return best.join(items, "id").join(names, "qid").select("query_id", *ITEM, "score", "rank")
+
+
+def _phrase_postings(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Adjacent occurrences of the phrases' terms: id, tid, dl, tf."""
+    parts = phrases.select("tid", F.size("terms").alias("steps"), F.posexplode("terms").alias("step", "term"))
+    places = tokens.select("id", F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term"))
+    met = places.join(parts, "term").groupBy("tid", "id", "dl", "steps", (F.col("pos") - F.col("step")).alias("start"))
+    whole = met.agg(F.count(F.lit(1)).alias("found")).filter("found = steps")
+    return whole.groupBy("id", "tid", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 # -- dense
@@ -135,8 +154,14 @@ def dense_top_k(base: DataFrame, queries: DataFrame, k: int, *, keys: list[str]
 
 
 def dense_scores(base: DataFrame, queries: DataFrame, score: Column) -> DataFrame:
-    """The same product as expressions, every stated query against every row."""
-    return base.crossJoin(F.broadcast(queries)).withColumn("score", F.round(score, 9))
+    """The same product as expressions, every stated query against every row: both sides are
+    cut into blocks, and each pair of blocks is joined by itself."""
+    across = max(1, -(-queries.count() // QUERY_ROWS))
+    down = max(1, -(-base.count() // BASE_ROWS))
+    salt = lambda rows, n: F.pmod(F.xxhash64(rows.columns[0]), F.lit(n)).cast("int")
+    asked = queries.withColumn("__q", salt(queries, across)).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    held = base.withColumn("__b", salt(base, down)).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    return held.join(asked, ["__q", "__b"]).drop("__q", "__b").withColumn("score", F.round(score, 9))
 
 
 # -- fusion

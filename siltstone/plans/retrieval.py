@@ -79,7 +79,7 @@ def model_guard(spark: SparkSession, folder: str) -> DataFrame:
     """Which models may be asked of which collections."""
     held = embedding_signatures(spark, folder)
     models = held.select("model").distinct()
-    wanted = collections(spark, folder).select("collection").distinct().crossJoin(F.broadcast(models))
+    wanted = collections(spark, folder).select("collection").distinct().crossJoin(models)
     return search.check_models(held, wanted)
 
 

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _made: list[str] = []
@@ -64,6 +65,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a table may have to be sent to every executor.
+SMALL = 100_000
+
+
+def small(table: DataFrame, name: str) -> DataFrame:
+    """A table that is written, counted and marked for broadcast only if it has few rows."""
+    table = materialize(table, name)
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 @atexit.register
 def _clean() -> None:
     for path in _made:
