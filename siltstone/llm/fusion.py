@@ -34,7 +34,7 @@ SLACK = 1e-6
 
 def _by_group(rows: DataFrame, keys: list[str], aggs: dict[str, Column], heavy: bool) -> DataFrame:
     """Add aggregates per key: by windows if the rows are partitioned and small per key,
-    else by a pre-aggregated table (a row per heavy key and channel), which is broadcast."""
+    else by a pre-aggregated table, a row per heavy key (at most MAX_HOT) and channel."""
     if not heavy:
         window = Window.partitionBy(*keys)
         return rows.withColumns({name: agg.over(window) for name, agg in aggs.items()})

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.session import materialize
+from siltstone.session import materialize, small
 
 #: Keys with at least so many rows are heavy.
 HOT_ROWS = 20_000
@@ -114,8 +114,8 @@ def rank_in_groups(
     same = F.col("__range") == F.col("__r")
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"__s{i}"))
-    # starts has at most (ranges + groups of the heavy keys) rows, whatever the data's size
-    heavy = heavy.join(F.broadcast(starts), same)
+    # a row per range and group in it
+    heavy = heavy.join(small(starts, "starts"), same)
     return Ranked(light, heavy.select(*key, "cost", (F.col("__local") + F.col("__start")).cast("int").alias("rank")))
 
 
