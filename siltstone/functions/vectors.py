@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,19 +13,24 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once per row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def mock_embedding(text: Column, dimensions: int = 8) -> Column:
     """A deterministic unit vector: the text's SHA-256, read as big-endian 32-bit words in
     turn, each mapped to [-1, 1). A zero vector would stay as it is. Null text gives null."""
-    digest = F.sha2(text, 256)
 
-    def part(i: int) -> Column:
+    def part(digest: Column, i: int) -> Column:
         word = F.conv(F.substring(digest, 1 + 8 * (i % 8), 8), 16, 10).cast("double")
         return word / F.lit(4294967296.0) * 2.0 - 1.0
 
-    raw = F.array(*[part(i) for i in range(dimensions)])
-    norm = F.sqrt(dot(raw, raw))
-    unit = F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(x))
-    return F.when(text.isNotNull(), unit)
+    def unit(raw: Column) -> Column:
+        return _let(F.sqrt(dot(raw, raw)), lambda norm: F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(x)))
+
+    raw = _let(F.sha2(text, 256), lambda digest: F.array(*[part(digest, i) for i in range(dimensions)]))
+    return F.when(text.isNotNull(), _let(raw, unit))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -41,7 +41,9 @@ def _bm25(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame,
     Items, queries and terms are numbers from here on. The postings of the queries' terms are
     partitioned by item and meet the term weights there, so that the sums need no shuffle.
     """
-    tokens = materialize(_numbered(tokenized(chunks, ITEM), ITEM, "id"), "tokens")
+    # numbered first: sorting looks at its input twice
+    numbered = _numbered(chunks.select(*ITEM, "text"), ITEM, "id")
+    tokens = materialize(tokenized(numbered, ["id", *ITEM]), "tokens")
     asked = materialize(parsed_queries(queries), "asked")
     names = materialize(_numbered(asked.select("query_id").distinct(), ["query_id"], "qid"), "names")
     kinds = materialize(_numbered(asked.select("terms").distinct(), ["terms"], "tid"), "kinds")
@@ -97,7 +99,7 @@ def _phrase_postings(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
 # -- dense
 
 #: Rows of the query and of the vector matrix that are multiplied at once.
-QUERY_ROWS, BASE_ROWS = 2_048, 32_768
+QUERY_ROWS, BASE_ROWS = 1_024, 16_384
 
 
 def _products(k: int, keys: list[str], query_key: str):

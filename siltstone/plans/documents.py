@@ -67,25 +67,25 @@ SAMPLES = {
 }
 
 
-def _sample_files(spark: SparkSession) -> list[Path]:
-    root = Path(tempfile.mkdtemp(prefix="siltstone-files-"))
-    for name, text in SAMPLES.items():
-        (root / name).parent.mkdir(parents=True, exist_ok=True)
-        (root / name).write_text(text, encoding="utf-8")
-    return files.walk(root)[0]
+def _sample_files() -> list[tuple[str, str, bytes]]:
+    """Name, suffix and content of the files of a small folder that can be indexed, in walking order."""
+    with tempfile.TemporaryDirectory(prefix="siltstone-files-") as folder:
+        for name, text in SAMPLES.items():
+            path = Path(folder, name)
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(text, encoding="utf-8")
+        return [(p.name, p.suffix, p.read_bytes()) for p in files.walk(folder)[0]]
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of a small folder that can be indexed, in walking order."""
-    found = _sample_files(spark)
-    rows = [(i, p.name, p.suffix) for i, p in enumerate(found)]
+    rows = [(i, name, suffix) for i, (name, suffix, _) in enumerate(_sample_files())]
     return spark.createDataFrame(rows, "place int, name string, ext string")
 
 
 def parse_files(spark: SparkSession, folder: str) -> DataFrame:
     """The blocks of those files, every parser for text taking part. They are read here and
     handed on as rows, for the folder is not shared with executors."""
-    rows = [(p.name, p.read_bytes()) for p in _sample_files(spark)]
+    rows = [(name, content) for name, _, content in _sample_files()]
     parsed = files.parse(spark.createDataFrame(rows, "path string, content binary"))
     return parsed.select("path", "error", F.inline_outer("blocks")).drop("location", "hierarchy_path", "metadata")
 

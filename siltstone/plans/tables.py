@@ -20,9 +20,13 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def children(spark: SparkSession, folder: str) -> DataFrame:
-    """The indexed chunks: doc_id, chunk_id, text."""
+    """The indexed chunks: doc_id, chunk_id, text.
+
+    Partitioned by item, which later groupings by item and anything else can use: the texts
+    move once, and the many rows made of each need not.
+    """
     rows = table(spark, folder, "chunks").filter("role = 'child' AND text IS NOT NULL")
-    return rows.select("doc_id", "chunk_id", "text").distinct()
+    return rows.select("doc_id", "chunk_id", "text").repartition("doc_id", "chunk_id").distinct()
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
