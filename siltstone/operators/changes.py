@@ -27,7 +27,6 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _MASK = (1 << 33) - 1
 
