@@ -62,13 +62,12 @@ def test_pivots_never_discard_a_pair():
 
     rng = np.random.default_rng(1)
     for _ in range(200):
-        n, shared = rng.integers(5, 300), 0
+        n = rng.integers(5, 300)
         a = rng.integers(0, 2**63, n).astype(np.uint64)
         b = np.concatenate([a[: rng.integers(0, n)], rng.integers(0, 2**63, rng.integers(1, 50)).astype(np.uint64)])
         both = nd.pivot_table(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).view(np.uint8).astype(int)
         distance = len(set(a.tolist()) ^ set(b.tolist()))
         assert np.abs(both[0] - both[1]).max() <= distance
-        del shared
 
 
 def test_groups(make):
