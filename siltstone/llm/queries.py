@@ -108,7 +108,7 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of vectors with a similarity of 0.9 or more, one among the other's five nearest."""
-    near = similar_vectors.nearest(table(spark, folder, "chunk_embeddings"), 5).filter("similarity >= 0.9")
+    near = similar_vectors.nearest(table(spark, folder, "chunk_embeddings"), 5, least=0.9).filter("similarity >= 0.9")
     return near.select(F.least("vec_id", "near_id").alias("vec_id_a"), F.greatest("vec_id", "near_id").alias("vec_id_b")).distinct()
 
 

@@ -207,3 +207,22 @@ def test_anisotropic_codes_lower_their_loss():
     plain = np.stack([((x.reshape(-1, 32, 2)[:, s, None] - words[s][None]) ** 2).sum(axis=2).argmin(axis=1) for s in range(32)], axis=1)
     ours, nearest = errors(similar_vectors.encode(x, words)), errors(plain)
     assert ours[0] < nearest[0] and ours[1] < nearest[1]
+
+def test_dense_group_of_near_copies(make, monkeypatch):
+    """Codes cannot tell near copies apart, nor does one partition hold them."""
+    monkeypatch.setattr(similar_vectors, "PER_PARTITION", 100)
+    monkeypatch.setattr(similar_vectors, "PROBES", 2)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    x[:1200] = rng.normal(size=32) + 0.02 * rng.normal(size=(1200, 32))
+    x[100:200] = x[100] * rng.uniform(0.1, 9, (100, 1))  # copies but for their norm
+    x = x.astype(np.float32)
+    rows = [(i, f"s{i}", "m", 32, v.tolist(), None, "", "") for i, v in enumerate(x)]
+    units = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    exact = units @ units.T
+    np.fill_diagonal(exact, -9)
+    fifth = np.sort(exact, axis=1)[:, -5]
+    got = similar_vectors.nearest(make(rows, VEC), 5, probes=2, least=0.9).collect()
+    assert all(abs(r["similarity"] - exact[r["vec_id"], r["near_id"]]) < 1e-8 for r in got)
+    hits = Counter(r["vec_id"] for r in got if r["similarity"] >= fifth[r["vec_id"]] - 1e-8)
+    assert all(hits[i] == 5 for i in range(1200))
