@@ -53,19 +53,29 @@ def owners(blocks: DataFrame, rounds: int = 64) -> DataFrame:
 def descendant_leaves(blocks: DataFrame) -> DataFrame:
     """(doc_id, parent_id, leaf_id): every non-empty child-type block under every parent-type block.
 
-    A document's tree is walked as a recursive query, upwards from the leaves.
+    The chains of parent-type blocks are closed by doubling: each round joins the ancestors up to
+    a distance to those that lie that distance above, so the rounds grow with the logarithm of the
+    depth and no limit of rows or levels applies. A chain longer than the blocks is a cycle.
     """
-    spark = blocks.sparkSession
-    blocks.select("doc_id", "block_id", "parent_block_id", "block_type", "text").createOrReplaceTempView("siltstone_blocks")
-    kinds = ", ".join(f"'{t}'" for t in CHILD_TYPES)
-    above = ", ".join(f"'{t}'" for t in PARENT_TYPES)
-    return spark.sql(f"""
-        WITH RECURSIVE up (doc_id, leaf_id, at) AS (
-          SELECT doc_id, block_id, parent_block_id FROM siltstone_blocks WHERE block_type IN ({kinds}) AND text <> ''
-          UNION ALL
-          SELECT u.doc_id, u.leaf_id, b.parent_block_id FROM up u JOIN siltstone_blocks b ON u.doc_id = b.doc_id AND u.at = b.block_id)
-        SELECT u.doc_id, u.at AS parent_id, u.leaf_id FROM up u JOIN siltstone_blocks b
-        ON u.doc_id = b.doc_id AND u.at = b.block_id WHERE b.block_type IN ({above})""")
+    known = F.when(role(F.col("block_type")) == "parent", F.col("block_type")).otherwise(CHILD_TYPES[0])
+    owner = materialize(owners(blocks.withColumn("block_type", known)), "owner")
+    heads = blocks.filter(F.col("block_type").isin(*PARENT_TYPES)).select("doc_id", "block_id")
+    above = owner.filter("owner_id IS NOT NULL").join(heads, ["doc_id", "block_id"], "left_semi")
+    jump = materialize(above.select("doc_id", "block_id", F.col("owner_id").alias("at")), "jump")
+    reach = materialize(heads.select("doc_id", "block_id", F.col("block_id").alias("at")), "reach")
+    most, length = jump.count(), 1
+    while not jump.isEmpty():
+        if length > most:
+            raise ValueError("blocks lie below themselves")
+        far = reach.select("doc_id", F.col("block_id").alias("mid"), "at")
+        step = jump.select("doc_id", "block_id", F.col("at").alias("mid"))
+        reach = materialize(reach.unionByName(step.join(far, ["doc_id", "mid"]).select("doc_id", "block_id", "at")), "reach")
+        twice = jump.select("doc_id", F.col("block_id").alias("mid"), "at")
+        jump = materialize(step.join(twice, ["doc_id", "mid"]).select("doc_id", "block_id", "at"), "jump")
+        length *= 2
+    leaves = blocks.filter(F.col("block_type").isin(*CHILD_TYPES) & (F.col("text") != "")).select("doc_id", F.col("block_id").alias("leaf_id"))
+    leaves = leaves.join(owner.select("doc_id", F.col("block_id").alias("leaf_id"), F.col("owner_id").alias("block_id")), ["doc_id", "leaf_id"])
+    return leaves.join(reach, ["doc_id", "block_id"]).select("doc_id", F.col("at").alias("parent_id"), "leaf_id")
 
 
 def truncated(text: Column, most: int = PARENT_MAX) -> Column:

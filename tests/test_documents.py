@@ -250,3 +250,12 @@ def test_service_guards(tmp_path):
     assert allowed_path(str(tmp_path), (str(tmp_path),)) == tmp_path.resolve()
     with pytest.raises(Refused):
         allowed_path("/etc", (str(tmp_path),))
+
+
+def test_leaves_of_a_deep_tree(spark):
+    """130 levels, more than a recursive query walks by default."""
+    rows = [(f"s{i}", "section", "", f"s{i - 1}" if i else None, 1) for i in range(130)] + [("p", "paragraph", "deep", "s129", 1)]
+    found = chunking.descendant_leaves(blocks_of(spark, *rows)).collect()
+    assert sorted((r["parent_id"], r["leaf_id"]) for r in found) == sorted((f"s{i}", "p") for i in range(130))
+    with pytest.raises(ValueError):
+        chunking.descendant_leaves(blocks_of(spark, ("a", "section", "", "b", 1), ("b", "section", "", "a", 1), ("p", "note", "x", "a", 1)))
