@@ -25,24 +25,25 @@ from siltstone.sources.parsers.outline import BLOCK_FIELDS
 
 
 def _as_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document as the file it was: path and content."""
+    """Every document's path, and its extracted text as content."""
     rows = table(spark, folder, "documents").filter("text IS NOT NULL")
     return rows.select("doc_id", F.col("source_path").alias("path"), F.encode("text", "UTF-8").alias("content"))
 
 
 def _blocks(spark: SparkSession, folder: str) -> DataFrame:
     rows = _as_files(spark, folder)
-    parsed = materialize(files.parse(rows), "parsed").join(rows.select("doc_id", "path"), "path")
+    parsed = materialize(files.parse(rows, extracted=True), "parsed").join(rows.select("doc_id", "path"), "path")
     return parsed.select("doc_id", "raw_text", "error", "blocks")
 
 
 def parse_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The blocks of all documents, each parsed by the parser of its path."""
+    """The blocks of all documents, each parsed by the parser of its path, or where that cannot
+    read the extracted text (PDF, Word and invalid JSON), cut into paragraphs."""
     return _blocks(spark, folder).select("doc_id", F.inline("blocks")).drop("location", "hierarchy_path")
 
 
 def parse_errors(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that their parser could not read."""
+    """Documents that the parser of their path could not read; their blocks are paragraphs."""
     return _blocks(spark, folder).filter("error IS NOT NULL").select("doc_id", "error")
 
 

@@ -259,3 +259,11 @@ def test_leaves_of_a_deep_tree(spark):
     assert sorted((r["parent_id"], r["leaf_id"]) for r in found) == sorted((f"s{i}", "p") for i in range(130))
     with pytest.raises(ValueError):
         chunking.descendant_leaves(blocks_of(spark, ("a", "section", "", "b", 1), ("b", "section", "", "a", 1), ("p", "note", "x", "a", 1)))
+
+
+def test_extracted_text_gives_blocks(spark):
+    rows = spark.createDataFrame([(n, b"One.\n\nTwo.") for n in ("a.pdf", "b.docx", "c.pptx", "d.json", "e.txt", "f", "g.csv")], "path string, content binary")
+    got = {r["path"]: r for r in files.parse(rows, extracted=True).collect()}
+    assert all([b["text"] for b in got[n]["blocks"]] == ["", "One.", "Two."] for n in ("a.pdf", "b.docx", "c.pptx", "d.json", "e.txt", "f"))
+    assert [n for n in sorted(got) if got[n]["error"]] == ["a.pdf", "b.docx", "c.pptx", "d.json", "f"] and got["g.csv"]["blocks"]
+    assert all(not r["blocks"] for r in files.parse(rows).collect() if r["error"])
