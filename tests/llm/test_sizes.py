@@ -226,3 +226,18 @@ def test_dense_group_of_near_copies(make, monkeypatch):
     assert all(abs(r["similarity"] - exact[r["vec_id"], r["near_id"]]) < 1e-8 for r in got)
     hits = Counter(r["vec_id"] for r in got if r["similarity"] >= fifth[r["vec_id"]] - 1e-8)
     assert all(hits[i] == 5 for i in range(1200))
+
+
+def test_search_among_many_copies(make):
+    """More copies of one vector than a block's list keeps hide neither the least ids nor nearer rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    x[200:500] = x[200]
+    rows = [(i, f"s{i}", "m", 16, [float(c) for c in v], None, "", "") for i, v in enumerate(x)]
+    asked = make([(i,) for i in (0, 1, 2, 200, 499)], "vec_id long")
+    got = defaultdict(list)
+    for r in similar_vectors.search(make(rows, VEC), asked, 5, keep=8).orderBy("vec_id", "rank").collect():
+        got[r["vec_id"]].append(r["near_id"])
+    want = true_near(rows, 5)
+    assert got[499] == [200, 201, 202, 203, 204] and got[200] == [201, 202, 203, 204, 205]
+    assert all(got[i] == [j for j, _ in want[i]] for i in (0, 1, 2))
