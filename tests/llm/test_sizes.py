@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from siltstone.llm import packing, similar_vectors
@@ -241,3 +242,16 @@ def test_search_among_many_copies(make):
     want = true_near(rows, 5)
     assert got[499] == [200, 201, 202, 203, 204] and got[200] == [201, 202, 203, 204, 205]
     assert all(got[i] == [j for j, _ in want[i]] for i in (0, 1, 2))
+
+
+def test_code_words_are_fitted_on_the_whole_sample(monkeypatch):
+    """Vectors that drift with vec_id: the words serve the last ones too."""
+    monkeypatch.setattr(similar_vectors, "WORDS_SAMPLE", 8_192)
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(10_240, 8)).astype(np.float32)
+    x[8_192:] += 8 * np.tile([1, -1], 4)
+    fitted = similar_vectors._fit(pd.DataFrame({"vec_id": range(len(x)), "space": "m/8", "vector": list(x), "wanted": 1}))
+    words = np.frombuffer(fitted["words"][0], np.float32).reshape(-1, 16, 2)
+    last = similar_vectors._units(pd.Series(list(x[8_192:])))
+    coded = words[np.arange(4), similar_vectors.encode(last, words)].reshape(len(last), -1)
+    assert np.mean(((coded - last) ** 2).sum(axis=1)) < 0.03
