@@ -22,6 +22,8 @@ Repeated rows of a doc_id are packed once each. Empty tables give an empty resul
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,11 +70,21 @@ def _smallest_sum(sizes: list[int], counts: dict[int, int], n: int) -> int | Non
     return None
 
 
+def _three(sizes: list[int], counts: dict[int, int], room: int, a: int, b: int) -> bool:
+    """Whether a, the largest, and b dominate every other two that fit: no two larger than b do."""
+    if counts.get(b, 0) < (2 if a == b else 1):
+        return False
+    larger = _smallest_sum([s for s in sizes if s > b], counts, 2)
+    return larger is None or larger > room
+
+
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[Plan, dict[int, int]]:
     """Fix dominating sets; the plan of the fixed containers and what remains.
 
     A set {j, i} dominates every other set with j if no three more items fit with j and no
-    two that fit are together larger than i; {j} does if nothing fits with it.
+    two that fit are together larger than i; {j} does if nothing fits with it. {j, a, b}, where
+    a and b are the two that fill most, does if no three more fit, a is the largest that fits
+    and no two larger than b fit.
     """
     counts = {s: n for s, n in counts.items() if n > 0 and s > 0}
     sizes = sorted(counts)
@@ -90,9 +102,19 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[Plan, dict[i
             i = fits[-1]
             if i < room:
                 three = _smallest_sum(fits, counts, 3)
-                if (three is not None and three <= room) or _second_best(fits, counts, room) > i:
+                two = _second_best(fits, counts, room)
+                if (three is not None and three <= room) or two > i and not _three(fits, counts, room, i, two - i):
                     counts[j] += 1
                     break
+                if two > i:
+                    content = sorted(Counter((j, i, two - i)).items(), reverse=True)
+                    counts[j] += 1
+                    n = min(counts[s] // c for s, c in content)
+                    plan.append((n, content))
+                    for s, c in content:
+                        counts[s] -= n * c
+                    sizes = [s for s in sizes if counts[s] > 0]
+                    continue
             if i == j:
                 pairs = (counts[j] + 1) // 2
                 plan.append((pairs, [(j, 2)]))

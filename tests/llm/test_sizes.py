@@ -255,3 +255,8 @@ def test_code_words_are_fitted_on_the_whole_sample(monkeypatch):
     last = similar_vectors._units(pd.Series(list(x[8_192:])))
     coded = words[np.arange(4), similar_vectors.encode(last, words)].reshape(len(last), -1)
     assert np.mean(((coded - last) ** 2).sum(axis=1)) < 0.03
+
+
+def test_reduction_fixes_sets_of_three():
+    assert packing.reduce_instance({50: 1, 30: 1, 20: 1}, 101) == ([(1, [(50, 1), (30, 1), (20, 1)])], {})
+    assert packing.reduce_instance({52: 3, 30: 3, 19: 3}, 101) == ([(3, [(52, 1), (30, 1), (19, 1)])], {})
