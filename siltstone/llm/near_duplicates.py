@@ -184,9 +184,11 @@ def _pairs(bucket: int):
                 return
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-            two = starts[sizes == 2]
+            of_large = keys[starts] == large if large is not None else np.zeros(len(starts), bool)
+            two = starts[(sizes == 2) & ~of_large]
             out.append((sids[two], sids[two + 1], None))
-            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            by_one = (sizes > 2) | of_large
+            for s, n in zip(starts[by_one].tolist(), sizes[by_one].tolist(), strict=True):
                 if n > bucket or keys[s] == large:
                     members = np.unique(sids[s : s + n])
                     if len(members) > bucket or keys[s] == large:

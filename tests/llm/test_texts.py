@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import near_duplicates as nd
@@ -174,3 +175,14 @@ def test_split_oversized(make):
     assert split_oversized(make([], ddl), limits).count() == 0
 
 
+
+
+def test_last_rows_of_a_large_bucket_stay_in_it():
+    """A bucket of more than 4 x 64 rows that ends one or two rows into the next batch."""
+    batch = lambda rows: pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in rows], pa.int64()), "sid": pa.array([s for _, s in rows], pa.int64())})
+    for more in (1, 2):
+        ends = [(5, 300 + i) for i in range(more)]
+        out = nd._pairs(64)(iter([batch([(5, i) for i in range(300)]), batch([*ends, (6, 1), (6, 2)])]))
+        rows = [r for b in out for r in b.to_pylist()]
+        assert {r["a"] for r in rows if r["large"] == 5} == set(range(300 + more))
+        assert [(r["a"], r["b"]) for r in rows if r["large"] is None] == [(1, 2)]
