@@ -21,7 +21,8 @@ costs what one does. A bucket with more than `bucket` fingerprints is not paired
 task: it is cut into blocks, and each pair of blocks is joined by itself, the pivot test
 being part of the join's condition. No pair is left out.
 
-Defined results: null texts and texts of fewer than `least` words take no part; repeated rows
+Defined results: null texts and texts of fewer than `least` words, or of none, take no part; a
+text of fewer words than a shingle is alike to those of the same words only; repeated rows
 count once; an id that has several texts belongs to each of their classes; an empty table
 gives an empty result. Shingles are compared by 32 bits of their hash.
 """
@@ -77,7 +78,9 @@ def _mix(h: np.ndarray, odd: int) -> np.ndarray:
 def shingle_sets(texts: list[str], words: int, least: int, hashes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(which texts count, offsets, distinct shingle hashes of each, ascending)."""
     found = [WORD.findall(t.lower()) for t in texts]
-    kept = np.array([i for i, w in enumerate(found) if len(w) >= max(least, words)], np.int64)
+    kept = np.array([i for i, w in enumerate(found) if len(w) >= max(least, 1)], np.int64)
+    for i in kept:  # a text shorter than a shingle has one, of all its words
+        found[i] += [""] * (words - len(found[i]))
     if not len(kept):
         return kept, np.zeros(1, np.int64), np.empty(0, np.uint64)
     sizes = np.array([len(found[i]) for i in kept], np.int64)

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from siltstone.llm import near_duplicates as nd
+from siltstone.llm import queries
 from siltstone.llm import shared_spans as ss
 from siltstone.llm.splitting import gap_depths, split_oversized, split_points
 
@@ -177,6 +178,15 @@ def test_split_oversized(make):
 
 
 
+def test_short_documents_have_a_class(make):
+    words = [f"w{i}" for i in range(20)]
+    rows = [(1, "a b c"), (2, "A, b c"), (3, "a b"), (4, "a b c d e f"), (5, "a b c d e f"), (6, " ".join(words)), (7, " ".join(words[:19])), (8, " - "), (9, None)]
+    found = {r["id"]: r for r in nd.near_duplicate_groups(make([(str(i), i, t) for i, t in rows], "id string, owner long, text string"), queries.DOCUMENTS_ALIKE).collect()}
+    assert sorted(found) == ["1", "2", "3", "4", "5", "6", "7"]
+    group = lambda i: found[i]["group_id"]
+    assert group("1") == group("2") and group("4") == group("5") and group("6") == group("7") and len({group(i) for i in "1346"}) == 4
+
+
 def test_last_rows_of_a_large_bucket_stay_in_it():
     """A bucket of more than 4 x 64 rows that ends one or two rows into the next batch."""
     batch = lambda rows: pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in rows], pa.int64()), "sid": pa.array([s for _, s in rows], pa.int64())})
