@@ -229,6 +229,25 @@ def test_dense_group_of_near_copies(make, monkeypatch):
     assert all(hits[i] == 5 for i in range(1200))
 
 
+def test_levels_of_partitions(make, monkeypatch):
+    """Partitions beyond one level of centroids: about as many as wanted, and near vectors still meet."""
+    monkeypatch.setattr(similar_vectors, "PER_PARTITION", 50)
+    monkeypatch.setattr(similar_vectors, "LEVEL", 5)
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(750, 16)), 4, axis=0) + 0.05 * rng.normal(size=(3000, 16))
+    units = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    levels = similar_vectors.fit_levels(units, 60, 5)
+    assert [len(c) for c in levels] == [5, 5, 3]
+    home, sent = similar_vectors.partitions_of(units, levels, 4)
+    assert home.max() < 75 and len(set(home.tolist())) > 30 and all(h in c for h, c in zip(home, sent, strict=True))
+    rows = [(i, f"s{i}", "m", 16, v.tolist(), None, "", "") for i, v in enumerate(units)]
+    exact = units.astype(float) @ units.T.astype(float)
+    np.fill_diagonal(exact, -9)
+    want = {(i, j) for i, j in zip(*np.nonzero(exact >= 0.9), strict=True)}
+    got = {(r["vec_id"], r["near_id"]) for r in similar_vectors.nearest(make(rows, VEC), 5, least=0.9).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_search_among_many_copies(make):
     """More copies of one vector than a block's list keeps hide neither the least ids nor nearer rows."""
     rng = np.random.default_rng(8)
@@ -250,7 +269,7 @@ def test_code_words_are_fitted_on_the_whole_sample(monkeypatch):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(10_240, 8)).astype(np.float32)
     x[8_192:] += 8 * np.tile([1, -1], 4)
-    fitted = similar_vectors._fit(pd.DataFrame({"vec_id": range(len(x)), "space": "m/8", "vector": list(x), "wanted": 1}))
+    fitted = similar_vectors._fit(64)(pd.DataFrame({"vec_id": range(len(x)), "space": "m/8", "vector": list(x), "wanted": 1}))
     words = np.frombuffer(fitted["words"][0], np.float32).reshape(-1, 16, 2)
     last = similar_vectors._units(pd.Series(list(x[8_192:])))
     coded = words[np.arange(4), similar_vectors.encode(last, words)].reshape(len(last), -1)
