@@ -24,27 +24,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.ranking import HOT_ROWS, MAX_HOT, rank_in_groups, with_limits
+from siltstone.llm.ranking import HOT_ROWS, rank_in_groups, same_keys, with_limits
+from siltstone.session import small
 
 #: Share of a channel's values beyond which they are winsorised, at either end.
 TAIL = 0.05
-#: Relative slack within which an item may still reach the first top_k by the exact score.
-SLACK = 1e-6
+#: Items whose summed reciprocal ranks differ by less may change places when these are rounded.
+SLACK = 2e-9
 
 
 def _by_group(rows: DataFrame, keys: list[str], aggs: dict[str, Column], heavy: bool) -> DataFrame:
     """Add aggregates per key: by windows if the rows are partitioned and small per key,
-    else by a pre-aggregated table, a row per heavy key (at most MAX_HOT) and channel."""
+    else by a pre-aggregated table, a row per heavy key and channel."""
     if not heavy:
         window = Window.partitionBy(*keys)
         return rows.withColumns({name: agg.over(window) for name, agg in aggs.items()})
     table = rows.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggs.items()])
     table = table.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(keys)], *aggs)
-    same = None
-    for i, c in enumerate(keys):
-        one = F.col(c).eqNullSafe(F.col(f"__g{i}"))
-        same = one if same is None else same & one
-    return rows.join(F.broadcast(table), same).drop(*[f"__g{i}" for i in range(len(keys))])
+    return rows.join(small(table, "sums"), same_keys(keys, "__g")).drop(*[f"__g{i}" for i in range(len(keys))])
 
 
 def _values(ranked: DataFrame, query: str, channel: str, reciprocal: bool, tail: float, heavy: bool) -> DataFrame:
@@ -84,9 +81,9 @@ def ideal_point_ranking(
     power: int = 2,
     tail: float = TAIL,
     hot_rows: int = HOT_ROWS,
-    max_hot: int = MAX_HOT,
 ) -> DataFrame:
-    """The first top_k items of each query by closeness, and those within the slack of them.
+    """The first top_k items of each query by closeness, with `reciprocal` also those whose fused
+    score may round to that of one of them.
 
     `limits` has query, top_k, rrf_k (one row a query) and overrides the defaults.
     Columns: query, items, closeness, fused (the sum of 1 / (rrf_k + rank) over the channels
@@ -96,7 +93,7 @@ def ideal_point_ranking(
     known = hits.filter(F.col(channel).isin(list(channels)))
     ranked = rank_in_groups(
         known, [query, channel], items, cost,
-        newest=newest, partition_by=[query], hot_rows=hot_rows, max_hot=max_hot,
+        newest=newest, partition_by=[query], hot_rows=hot_rows,
     )
     out = None
     for part, heavy in ((ranked.light, False), (ranked.heavy, True)):
@@ -105,7 +102,7 @@ def ideal_point_ranking(
         part = with_limits(part, limits, [query], {"top_k": top_k, "rrf_k": rrf_k})
         part = _values(part, query, channel, reciprocal, tail, heavy)
         part = _closeness(part, query, channel, items, channels, weights, power, heavy)
-        part = _first(part, query, items, heavy)
+        part = _first(part, query, items, heavy, SLACK if reciprocal else None)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -140,22 +137,22 @@ def _closeness(
     return wide.select(query, *items, "fused", "top_k", F.when(total > 0, to_worst / total).otherwise(0.0).alias("closeness"))
 
 
-def _first(rows: DataFrame, query: str, items: list[str], heavy: bool) -> DataFrame:
-    """The first top_k rows by closeness and any within the slack of the last of them."""
-    spread = []
-    if heavy:  # the first top_k of each salted part contain the first top_k of all
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*items), F.lit(64)))
-        spread = ["__salt"]
+def _first(rows: DataFrame, query: str, items: list[str], heavy: bool, slack: float | None) -> DataFrame:
+    """The first top_k rows by closeness and any whose fused score is within the slack of theirs."""
     order = [F.desc("closeness"), *[F.col(c).asc() for c in items]]
 
     def cut(rows: DataFrame, keys: list[str]) -> DataFrame:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        rows = rows.withColumn("place", F.row_number().over(window))
-        last = F.min(F.when(F.col("place") <= F.col("top_k"), F.col("closeness"))).over(Window.partitionBy(*keys))
-        return rows.withColumn("__last", last).filter(F.col("closeness") >= F.col("__last") * (1 - SLACK)).drop("__last")
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        first = F.col("place") <= F.col("top_k")
+        if slack is None:
+            return rows.filter(first)
+        last = F.min(F.when(first, F.col("fused"))).over(Window.partitionBy(*keys))
+        return rows.withColumn("__last", last).filter(first | (F.col("fused") >= F.col("__last") - slack)).drop("__last")
 
-    if spread:
-        rows = cut(rows, [query, *spread]).drop("__salt", "place")
+    if heavy:  # the first top_k of each salted part contain the first top_k of all
+        salts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*items), F.lit(salts)))
+        rows = cut(rows, [query, "__salt"]).drop("__salt", "place")
     return cut(rows, [query]).select(query, *items, "closeness", "fused", "place", "top_k")
 
 

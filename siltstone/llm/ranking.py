@@ -1,6 +1,7 @@
 """Ranks and the top N inside every group, safe against very large groups.
 
-Hot-cold split: exact counts per partition key find the heavy keys. Light keys are
+Hot-cold split: exact counts per partition key find the heavy keys, however many there are;
+they stay a table, which is broadcast only if it has few rows. Light keys are
 shuffled once and ranked by an ordinary window. Heavy keys are range-partitioned on
 (group, score, item) so that each spreads over many tasks; a row's rank is its rank in
 its range plus the number of the group's rows in earlier ranges. The two are united.
@@ -26,9 +27,6 @@ from siltstone.session import materialize, small
 
 #: Keys with at least so many rows are heavy.
 HOT_ROWS = 20_000
-#: At most so many keys are treated as heavy, the largest ones. Any other key then has
-#: less than one row in MAX_HOT, which an ordinary window sorts with spilling.
-MAX_HOT = 1_000
 
 
 @dataclass
@@ -43,23 +41,24 @@ class Ranked:
     heavy: DataFrame | None
 
 
-def heavy_keys(rows: DataFrame, by: Sequence[str], hot_rows: int, max_hot: int) -> DataFrame | None:
-    """The at most `max_hot` keys with `hot_rows` rows or more; None if there is none."""
+def heavy_keys(rows: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """The keys with `hot_rows` rows or more; None if there is none."""
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= hot_rows)
-    found = counts.orderBy(F.desc("__n")).limit(max_hot).select(*by).collect()
-    if not found:
-        return None
-    return rows.sparkSession.createDataFrame(found, rows.select(*by).schema)
+    keys = small(counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)]), "heavy")
+    return None if keys.isEmpty() else keys
 
 
-def keep_keys(rows: DataFrame, keys: DataFrame, by: Sequence[str], how: str) -> DataFrame:
-    """Semi or anti join with a bounded list of keys, nulls being equal."""
-    keys = keys.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)])
-    same = None
+def same_keys(by: Sequence[str], prefix: str) -> Column:
+    """Equality of the columns with prefix0, prefix1, ..., nulls being equal."""
+    same = F.lit(True)
     for i, c in enumerate(by):
-        one = F.col(c).eqNullSafe(F.col(f"__k{i}"))
-        same = one if same is None else same & one
-    return rows.join(F.broadcast(keys), same, how)
+        same = same & F.col(c).eqNullSafe(F.col(f"{prefix}{i}"))
+    return same
+
+
+def keep_keys(rows: DataFrame, keys: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join with a table of keys."""
+    return rows.join(keys, same_keys(by, "__k"), how)
 
 
 def _newest(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -77,7 +76,6 @@ def rank_in_groups(
     newest: str | None = None,
     partition_by: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
-    max_hot: int = MAX_HOT,
 ) -> Ranked:
     """Rank the items of every group by `cost` ascending, then by the item columns.
 
@@ -92,7 +90,7 @@ def rank_in_groups(
     new = F.coalesce(F.unix_micros(F.col(newest).cast("timestamp")), old) if newest else old
     base = rows.select(*key, F.when(~F.isnan(valid), valid + F.lit(0.0)).alias("cost"), new.alias("__new"))
     order = [F.col("cost"), *[F.col(c).asc() for c in items]]
-    hot = heavy_keys(rows, by, hot_rows, max_hot)
+    hot = heavy_keys(rows, by, hot_rows)
     light = base if hot is None else keep_keys(base, hot, by, "left_anti")
     light = _newest(light.repartition(*by), key).filter("cost IS NOT NULL")
     light = light.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
@@ -111,11 +109,8 @@ def rank_in_groups(
     )
     inside = Window.partitionBy(*group, "__range").orderBy(*order)
     heavy = heavy.withColumn("__local", F.row_number().over(inside))
-    same = F.col("__range") == F.col("__r")
-    for i, c in enumerate(group):
-        same = same & F.col(c).eqNullSafe(F.col(f"__s{i}"))
     # a row per range and group in it
-    heavy = heavy.join(small(starts, "starts"), same)
+    heavy = heavy.join(small(starts, "starts"), (F.col("__range") == F.col("__r")) & same_keys(group, "__s"))
     return Ranked(light, heavy.select(*key, "cost", (F.col("__local") + F.col("__start")).cast("int").alias("rank")))
 
 
@@ -142,7 +137,6 @@ def top_n_per_group(
     partition_by: Sequence[str] | None = None,
     max_n: int | None = None,
     hot_rows: int = HOT_ROWS,
-    max_hot: int = MAX_HOT,
 ) -> DataFrame:
     """The first n items of every group: group, items, cost, rank.
 
@@ -151,7 +145,7 @@ def top_n_per_group(
     """
     by = list(partition_by or group)
     ranked = rank_in_groups(
-        rows, group, items, cost, newest=newest, partition_by=by, hot_rows=hot_rows, max_hot=max_hot
+        rows, group, items, cost, newest=newest, partition_by=by, hot_rows=hot_rows
     )
     out = None
     for part in (ranked.light, ranked.heavy):

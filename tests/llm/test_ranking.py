@@ -88,6 +88,24 @@ def test_fusion_equals_reciprocal_ranks(make, hot):
     assert got == {(q, d, c) for q, v in by.items() for _, d, _, c in sorted(v)[:4]}
 
 
+@pytest.mark.parametrize("rrf_k", [60, 50_000, 10**6])
+def test_sums_that_tie_only_after_rounding(make, rrf_k):
+    rows = [("q", "y", d, "c", float(d)) for d in range(1, 401)]
+    found = ideal_point_ranking(make(rows, "q string, m string, d long, c string, s double"), "q", "m", ["d", "c"], -F.col("s"), ["y"], reciprocal=True, power=1, rrf_k=rrf_k)
+    got = [r["d"] for r in first_by_fused(found, "q", ["d", "c"]).orderBy("rank").collect()]
+    assert got == sorted(range(1, 401), key=lambda d: (-round(1 / (rrf_k + 401 - d), 9), d))[:5]
+
+
+def test_many_heavy_keys(make):
+    """Every key may be heavy; they are not collected."""
+    rows = [(f"q{i % 40}", "x", i, "c", float(i % 7)) for i in range(400)]
+    found = top_n_per_group(make(rows, "q string, m string, d long, c string, s double"), ["q"], ["d"], F.col("s"), 3, hot_rows=2)
+    want = defaultdict(list)
+    for q, _, d, _, s in rows:
+        want[q].append((s, d))
+    assert {(r["q"], r["d"]) for r in found.collect()} == {(q, d) for q, v in want.items() for _, d in sorted(v)[:3]}
+
+
 def test_ideal_point_is_not_ruled_by_scale(make):
     """The same ranking whatever a channel's unit and origin."""
     rng = random.Random(4)
