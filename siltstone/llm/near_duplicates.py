@@ -5,21 +5,26 @@ a long and sparse bit string; the Hamming distance of two fingerprints is the nu
 shingles that only one has. Jaccard similarity t or more means a distance of at most
 (1 - t) / (1 + t) times the sum of both sizes.
 
-1. Each text's row holds the distances of its fingerprint to PIVOTS random reference
-   fingerprints (up to a constant per reference, and cut to 8 bits, which only brings
-   coordinates nearer). By the triangle inequality the largest difference of two texts'
-   coordinates is at most their distance.
-2. Fingerprints that agree in a band of min-hashes meet in a bucket; with `bands` bands of
-   `rows` min-hashes a pair at the threshold is missed with probability (1 - t^rows)^bands.
-   Reference distances alone cannot serve as the key of a join: random fingerprints are all
-   about equally far from any reference, so that ranges of coordinates cut off little.
-3. Pairs whose largest coordinate difference is above the allowed distance are discarded.
-4. The similarity of the survivors is computed from the shingles themselves.
+1. References are texts of the collection. References drawn at random tell nothing apart: sparse
+   fingerprints are all about equally far from any of them. A text is therefore given the
+   references in whose neighbourhood it lies: of the texts that agree with it in a band of
+   min-hashes, the one with the least number is its reference for that band. With `bands` bands
+   of `rows` min-hashes a pair at the threshold has no reference in common with a probability
+   of (1 - t^rows)^bands at the most.
+2. A reference's table holds its exact Hamming distance to each of its texts, a row per text,
+   so that the tables grow with the texts and not with their pairs.
+3. Candidates are made from the tables: two texts in the table of a reference whose distances to
+   it differ by no more than they themselves may, which by the triangle inequality holds for all
+   pairs alike. Of all the references that two texts share, the largest difference decides.
+   Where one of the two is the reference, the table says their similarity.
+4. The similarity of the other survivors is computed from the shingles.
 
 Equal shingle sets are one fingerprint throughout, so that any number of copies of a text
-costs what one does. A bucket with more than `bucket` fingerprints is not paired in one
-task: it is cut into blocks, and each pair of blocks is joined by itself, the pivot test
-being part of the join's condition. No pair is left out.
+costs what one does. A band that more than `bucket` fingerprints agree in gets REFERENCES
+references; its rows are spread over cells by their size and their distances to two of them, and
+only rows of neighbouring cells meet, block by block, all distances being part of the join's
+condition. Rows of a band that is frequent within a batch are dealt to several tasks from
+the start. No pair is left out.
 
 Defined results: null texts and texts of fewer than `least` words, or of none, take no part; a
 text of fewer words than a shingle is alike to those of the same words only; repeated rows
@@ -29,6 +34,7 @@ gives an empty result. Shingles are compared by 32 bits of their hash.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,10 +49,13 @@ from pyspark.sql import functions as F
 from siltstone.session import materialize
 
 WORD = re.compile(r"[^\W_]+")
-PIVOTS = 32
 BUCKET = 64
-#: Fingerprints in a block of a large bucket.
+#: References of a band that more than BUCKET fingerprints agree in.
+REFERENCES = 8
+#: Fingerprints in a block of a cell.
 BLOCK = 512
+#: Rows of a frequent band in a batch beyond BUCKET are dealt to so many tasks.
+SALTS = 1_024
 #: Entries of a worker's table of word hashes, and of the fingerprints it has seen.
 CACHE = 1 << 20
 
@@ -99,20 +108,8 @@ def shingle_sets(texts: list[str], words: int, least: int, hashes: dict) -> tupl
     return kept, np.searchsorted(owner, np.arange(len(kept) + 1)), h
 
 
-def pivot_table(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Distances to the reference fingerprints, each but for its constant: shingles outside
-    the reference less shingles inside; as bytes from 1 to 255, and packed into longs."""
-    bits = np.unpackbits(_mix(h, 0xC2B2AE3D27D4EB4F).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : PIVOTS // 8], axis=1)
-    inside = np.add.reduceat(bits, offsets[:-1], axis=0, dtype=np.int32)
-    distance = np.diff(offsets)[:, None] - 2 * inside
-    return (np.clip(distance, -127, 127) + 128).astype(np.uint8).view("<i8")
-
-
-_SIGNATURES = pa.schema(
-    [("id", pa.string()), ("owner", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()),
-     *[(f"p{k}", pa.int64()) for k in range(PIVOTS // 8)], ("shingles", pa.list_(pa.int32()))]
-)
-_SIGNATURE_DDL = "id string, owner long, sid long, n int, " + "".join(f"p{k} long, " for k in range(PIVOTS // 8)) + "shingles array<int>"
+_SIGNATURES = pa.schema([("id", pa.string()), ("owner", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("shingles", pa.list_(pa.int32()))])
+_SIGNATURE_DDL = "id string, owner long, sid long, n int, shingles array<int>"
 
 
 def _sign(like: Likeness):
@@ -132,26 +129,33 @@ def _sign(like: Likeness):
                     seen.add(sid)
             if len(seen) > CACHE:
                 seen.clear()
-            packed = pivot_table(h, offsets)
-            mask = ~first
             ends = np.concatenate([[0], np.cumsum(np.where(first, sizes, 0))]).astype(np.int32)
             values = (h[np.repeat(first, sizes)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(mask))
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(~first))
             rows = pa.array(kept)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows).cast(pa.string()), batch.column(1).take(rows), pa.array(sids), pa.array(sizes.astype(np.int32)),
-                 *[pa.array(packed[:, k], mask=mask) for k in range(packed.shape[1])], lists], schema=_SIGNATURES,
-            )
+            columns = [batch.column(0).take(rows).cast(pa.string()), batch.column(1).take(rows), pa.array(sids), pa.array(sizes.astype(np.int32)), lists]
+            yield pa.RecordBatch.from_arrays(columns, schema=_SIGNATURES)
 
     return run
 
 
-def _bands(like: Likeness):
+def _bands(like: Likeness, bucket: int):
+    """The key of each band of each fingerprint; salt 0 but for rows of a key that is frequent in a batch."""
     rng = np.random.default_rng(20240229)
     factors = rng.integers(0, 2**32, (like.bands, like.rows), np.uint32) | np.uint32(1)
     shifts = rng.integers(0, 2**32, (like.bands, like.rows), np.uint32)
     salts = rng.integers(0, 2**63, like.bands, np.uint64)
-    schema = pa.schema([("key", pa.int64()), ("sid", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("sid", pa.int64())])
+
+    def salted(keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(keys.shape, np.int32)
+        for b, key in enumerate(keys):
+            order = np.argsort(key, kind="stable")
+            ordered = key[order]
+            # the rows that have more than `bucket` of the same key before them
+            later = np.flatnonzero(ordered[bucket + 1 :] == ordered[: -bucket - 1]) + bucket + 1
+            out[b, order[later]] = 1 + later % SALTS
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -166,93 +170,71 @@ def _bands(like: Likeness):
                     for r in range(like.rows):
                         key = _mix(key + np.minimum.reduceat(h * factors[b, r] ^ shifts[b, r], starts), 0xE7037ED1A0B428DB)
                     keys[b] = key
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(sids, like.bands))], schema=schema)
+                columns = [pa.array(keys.ravel().view(np.int64)), pa.array(salted(keys).ravel()), pa.array(np.tile(sids, like.bands))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
-def _pairs(bucket: int):
-    """Rows (key, sid) in order of the key -> pairs a < b of small buckets, rows of large ones."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("large", pa.int64())])
+def _references(bucket: int):
+    """Rows (key, salt, sid) in order of key and salt -> (key, pivot, sid): the reference of each
+    row, itself included, null for the rows of a key that more than `bucket` have. Keys of one
+    fingerprint give no row."""
+    schema = pa.schema([("key", pa.int64()), ("pivot", pa.int64()), ("sid", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_sid = np.empty(0, np.int64), np.empty(0, np.int64)
-        large = None  # the key of a bucket that is known to be large
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
-
-        def take(keys: np.ndarray, sids: np.ndarray) -> None:
-            """Whole buckets."""
-            nonlocal large
-            if not len(keys):
+        held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
+        large = None  # key and salt of rows that are known to be too many
+
+        def take(key: np.ndarray, salt: np.ndarray, sid: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Whole groups, or a part of one that is known to be large."""
+            if not len(key):
                 return
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-            of_large = keys[starts] == large if large is not None else np.zeros(len(starts), bool)
-            two = starts[(sizes == 2) & ~of_large]
-            out.append((sids[two], sids[two + 1], None))
-            by_one = (sizes > 2) | of_large
-            for s, n in zip(starts[by_one].tolist(), sizes[by_one].tolist(), strict=True):
-                if n > bucket or keys[s] == large:
-                    members = np.unique(sids[s : s + n])
-                    if len(members) > bucket or keys[s] == large:
-                        out.append((members, members, np.full(len(members), keys[s])))
-                        continue
-                else:
-                    members = sids[s : s + n]
-                i, j = np.triu_indices(len(members), 1)
-                out.append((members[i], members[j], None))
-
-        def flush() -> pa.RecordBatch:
-            a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
-            mark = np.concatenate([np.zeros(len(x[0]), bool) if x[2] is None else np.ones(len(x[0]), bool) for x in out])
-            key = np.concatenate([np.zeros(len(x[0]), np.int64) if x[2] is None else x[2] for x in out])
-            out.clear()
-            ok = (a != b) | mark
-            a, b, mark, key = a[ok], b[ok], mark[ok], key[ok]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(key, mask=~mark)], schema=schema)
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
+            sizes = np.diff(np.concatenate([starts, [len(key)]]))
+            low, high = np.minimum.reduceat(sid, starts), np.maximum.reduceat(sid, starts)
+            many = salt[starts] > 0
+            for i in np.flatnonzero(sizes > bucket):
+                many[i] |= len(np.unique(sid[starts[i] : starts[i] + sizes[i]])) > bucket
+            if large is not None:
+                many |= (key[starts] == large[0]) & (salt[starts] == large[1])
+            rows = np.repeat((low != high) | many, sizes)
+            pivot, mask = np.repeat(low, sizes)[rows], np.repeat(many, sizes)[rows]
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(pivot, mask=mask), pa.array(sid[rows])], schema=schema)
 
         for batch in batches:
-            keys = np.concatenate([held_key, batch.column(0).to_numpy(zero_copy_only=False)])
-            sids = np.concatenate([held_sid, batch.column(1).to_numpy(zero_copy_only=False)])
-            if not len(keys):
+            key, salt, sid = (np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
+            if not len(key):
                 continue
-            open_ = np.searchsorted(keys, keys[-1])  # the last bucket may go on in the next batch
-            take(keys[:open_], sids[:open_])
-            held_key, held_sid = keys[open_:], sids[open_:]
-            if len(held_sid) > 4 * bucket:
-                held_sid = np.unique(held_sid)
-                held_key = held_key[: len(held_sid)]
-                if len(held_sid) > bucket:
-                    large = int(held_key[0])
-                    take(held_key, held_sid)
-                    held_key, held_sid = held_key[:0], held_sid[:0]
-            if out:
-                yield flush()
-        take(held_key, held_sid)
-        if out:
-            yield flush()
+            # the last group may go on in the next batch
+            open_ = int(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))[-1])
+            yield from take(key[:open_], salt[:open_], sid[:open_])
+            key, salt, sid = key[open_:], salt[open_:], sid[open_:]
+            if len(sid) > 4 * bucket:
+                sid = np.unique(sid)
+                key, salt = key[: len(sid)], salt[: len(sid)]
+                if len(sid) > bucket:
+                    large = (key[0], salt[0])
+                    yield from take(key, salt, sid)
+                    key, salt, sid = key[:0], salt[:0], sid[:0]
+            held = [key, salt, sid]
+        yield from take(*held)
 
     return run
 
 
-def _far(a: str, b: str) -> Column:
-    """The largest difference of the coordinates of two rows."""
-    parts = [
-        F.abs(F.shiftright(F.col(f"{a}p{k}"), s).bitwiseAND(F.lit(255)) - F.shiftright(F.col(f"{b}p{k}"), s).bitwiseAND(F.lit(255)))
-        for k in range(PIVOTS // 8) for s in range(0, 64, 8)
-    ]
-    return F.greatest(*parts)
+def _most(a: str, b: str, threshold: float) -> Column:
+    """The largest distance at which fingerprints of these sizes are alike."""
+    return F.lit((1 - threshold) / (1 + threshold)) * (F.col(a) + F.col(b)) + 1e-9
 
 
-def _near(a: str, b: str, threshold: float) -> Column:
-    """Not discarded by the distance tables, nor by the sizes (the distance to the empty reference)."""
-    most = F.lit((1 - threshold) / (1 + threshold)) * (F.col(f"{a}n") + F.col(f"{b}n")) + 1e-9
-    return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= most) & (_far(a, b) <= most)
+def _distance(n: Column, shingles: Column, other_n: Column, other: Column) -> Column:
+    return n + other_n - 2 * F.size(F.array_intersect(shingles, other))
 
 
-def _with(pairs: DataFrame, sets: DataFrame, side: str, columns: list[str]) -> DataFrame:
-    chosen = sets.select(F.col("sid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
-    return pairs.join(chosen, side)
+def _as_pair(rows: DataFrame, on: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows twice, to be joined with themselves; `columns` begin with a_ and b_."""
+    return tuple(rows.select(*on, *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
 
 
 def signatures(texts: DataFrame, like: Likeness) -> DataFrame:
@@ -263,35 +245,80 @@ def signatures(texts: DataFrame, like: Likeness) -> DataFrame:
 
 def similar_fingerprints(signed: DataFrame, like: Likeness, bucket: int = BUCKET) -> DataFrame:
     """Pairs a < b of different fingerprints whose similarity is at least the threshold."""
-    pivots = [f"p{k}" for k in range(PIVOTS // 8)]
-    sets = signed.filter("shingles IS NOT NULL").select("sid", "n", *pivots, "shingles")
-    keys = sets.select("sid", "shingles").mapInArrow(_bands(like), "key long, sid long")
-    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(bucket), "a long, b long, large long")
+    sets = signed.filter("shingles IS NOT NULL").select("sid", "n", "shingles")
+    keys = sets.select("sid", "shingles").mapInArrow(_bands(like, bucket), "key long, salt int, sid long")
+    met = keys.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_references(bucket), "key long, pivot long, sid long")
     met = materialize(met, "met")
-    pairs = met.filter("large IS NULL").select("a", "b").distinct()
-    large = met.filter("large IS NOT NULL").select(F.col("large").alias("key"), F.col("a").alias("sid")).distinct()
-    wanted = met.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sets = materialize(sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-    small = _with(_with(pairs, sets, "a", ["n", *pivots]), sets, "b", ["n", *pivots])
-    small = small.filter(_near("a_", "b_", like.threshold)).select("a", "b")
+    sets = materialize(sets.join(met.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    pairs = candidates(tables(met, sets), like.threshold)
+    near = pairs.filter("far <= most").select("a", "b", "known")
+    large = met.filter("pivot IS NULL").select("key", "sid").distinct()
     if not large.isEmpty():
-        small = small.unionByName(_in_blocks(large, sets, like, pivots)).distinct()
-    both = _with(_with(small, sets, "a", ["n", "shingles"]), sets, "b", ["n", "shingles"])
+        near = near.unionByName(_in_cells(large, sets, like.threshold).withColumn("known", F.lit(None).cast("double")))
+        near = near.groupBy("a", "b").agg(F.max("known").alias("known"))
+    near = materialize(near, "near")
+    one, two = (sets.select(F.col("sid").alias(s), F.col("n").alias(f"{s}_n"), F.col("shingles").alias(f"{s}_shingles")) for s in "ab")
+    both = near.filter("known IS NULL").select("a", "b").join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    both = both.withColumn("similarity", common / (F.col("a_n") + F.col("b_n") - common))
-    return both.filter(F.col("similarity") >= like.threshold).select("a", "b", "similarity")
+    both = both.select("a", "b", (common / (F.col("a_n") + F.col("b_n") - common)).alias("similarity"))
+    found = near.filter("known IS NOT NULL").select("a", "b", F.col("known").alias("similarity")).unionByName(both)
+    return found.filter(F.col("similarity") >= like.threshold)
+
+
+def tables(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distance tables (pivot, sid, n, distance) of the references (pivot, sid)."""
+    rows = met.filter("pivot IS NOT NULL").select("pivot", "sid").distinct().join(sets, "sid")
+    pivots = sets.select(F.col("sid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("shingles").alias("pivot_shingles"))
+    distance = _distance(F.col("n"), F.col("shingles"), F.col("pivot_n"), F.col("pivot_shingles"))
+    return materialize(rows.join(pivots, "pivot").select("pivot", "sid", "n", distance.alias("distance")), "tables")
+
 
+def candidates(tables: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b that share a reference and may be alike by their sizes.
 
-def _in_blocks(large: DataFrame, sets: DataFrame, like: Likeness, pivots: list[str]) -> DataFrame:
-    """Pairs within large buckets that the distance tables leave, block by block."""
-    rows = large.join(sets.select("sid", "n", *pivots), "sid")
-    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = rows.select("key", F.col("own").alias("x"), F.col("other").alias("y"), *[F.col(c).alias(f"a_{c}") for c in ("sid", "n", *pivots)])
-    right = rows.select("key", F.col("other").alias("x"), F.col("own").alias("y"), *[F.col(c).alias(f"b_{c}") for c in ("sid", "n", *pivots)])
-    met = left.join(right, ["key", "x", "y"]).filter((F.col("a_sid") < F.col("b_sid")) & _near("a_", "b_", like.threshold))
-    return met.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    Columns: a, b, far (the largest difference of their distances to a reference), most (what it
+    may be), known (their similarity, where one is a reference of the other).
+    """
+    left, right = _as_pair(tables, ["pivot"], ["sid", "n", "distance"])
+    met = left.join(right, "pivot").filter("a_sid < b_sid").withColumn("most", _most("a_n", "b_n", threshold))
+    met = met.filter(F.abs(F.col("a_n") - F.col("b_n")) <= F.col("most")).withColumn("far", F.abs(F.col("a_distance") - F.col("b_distance")))
+    both = F.col("a_n") + F.col("b_n")
+    known = F.when((F.col("a_sid") == F.col("pivot")) | (F.col("b_sid") == F.col("pivot")), (both - F.col("far")) / (both + F.col("far")))
+    pairs = met.groupBy(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    return pairs.agg(F.max("far").alias("far"), F.max("most").alias("most"), F.max(known).alias("known"))
+
+
+def _in_cells(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b that share a frequent key and that its references do not discard.
+
+    Sizes fall into classes whose ratio is 1 / threshold, so that a pair alike is of one class or
+    of two next to each other; the lower one sets the width of the cells, the most by which the
+    distances to a reference may differ.
+    """
+    named = [F.min_by("sid", F.xxhash64(F.lit(r), "sid")) for r in range(REFERENCES)]
+    chosen = large.groupBy("key").agg(F.array(*named).alias("sids")).select("key", F.posexplode("sids").alias("r", "sid")).join(sets, "sid")
+    chosen = chosen.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("r", "n", "shingles"))).alias("refs"))
+    ref = lambda r: F.col("refs")[r]
+    distances = [_distance(F.col("n"), F.col("shingles"), ref(r)["n"], ref(r)["shingles"]).alias(f"d{r}") for r in range(REFERENCES)]
+    rows = materialize(large.join(sets, "sid").join(chosen, "key").select("key", "sid", "n", *distances), "distances")
+    ratio = max(1 / threshold, 1.05)
+    step = F.floor(F.log("n") / math.log(ratio) + 1e-9).cast("int")
+    rows = rows.withColumn("step", step).withColumn("grid", F.explode(F.array("step", F.col("step") - 1)))
+    width = F.greatest(F.lit(1.0), F.lit(2 * (1 - threshold) / (1 + threshold)) * F.pow(F.lit(ratio), F.col("grid") + 2))
+    rows = rows.withColumns({f"x{r}": F.floor(F.col(f"d{r}") / width).cast("int") for r in (0, 1)})
+    cell, columns = ["key", "grid", "x0", "x1"], ["sid", "n", "step", *[f"d{r}" for r in range(REFERENCES)]]
+    left, right = _as_pair(rows, cell, columns)
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    for r in (0, 1):
+        right = right.withColumn("o", F.explode(around)).withColumn(f"x{r}", F.col(f"x{r}") + F.col("o")).drop("o")
+    count = lambda part, name: part.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    blocks = materialize(count(left, "lefts").join(count(right, "rights"), cell), "blocks")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(blocks, cell).withColumns({"i": F.pmod(F.xxhash64("a_sid"), F.col("lefts")).cast("int"), "j": spread("rights")}).drop("lefts", "rights")
+    right = right.join(blocks, cell).withColumns({"j": F.pmod(F.xxhash64("b_sid"), F.col("rights")).cast("int"), "i": spread("lefts")}).drop("lefts", "rights")
+    far = F.greatest(*[F.abs(F.col(f"a_d{r}") - F.col(f"b_d{r}")) for r in range(REFERENCES)], F.abs(F.col("a_n") - F.col("b_n")))
+    met = left.join(right, [*cell, "i", "j"]).filter((F.col("a_sid") < F.col("b_sid")) & (F.least("a_step", "b_step") == F.col("grid")))
+    return met.filter(far <= _most("a_n", "b_n", threshold)).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
 
 
 def member_pairs(signed: DataFrame, links: DataFrame) -> DataFrame:
@@ -305,7 +332,7 @@ def member_pairs(signed: DataFrame, links: DataFrame) -> DataFrame:
     return both.select(F.least("left_id", "right_id").alias("id_a"), F.greatest("left_id", "right_id").alias("id_b")).filter("id_a <> id_b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(sid, group): the least fingerprint of each connected group of linked fingerprints.
 
     Every round takes the least label of the neighbours and then the label's own label, so that
@@ -313,7 +340,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("group")).select(F.col("a").alias("sid"), "group"), "labels")
-    for _ in range(rounds):
+    while True:
         around = edges.join(labels.withColumnsRenamed({"sid": "b", "group": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = labels.join(around.withColumnRenamed("a", "sid"), "sid").select("sid", F.col("group").alias("old"), F.least("group", "near").alias("group"))
         jump = step.select(F.col("sid").alias("group"), F.col("group").alias("next"))
@@ -321,7 +348,6 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         labels = step.select("sid", "group")
         if step.filter("old <> group").isEmpty():
             return labels
-    raise RuntimeError(f"groups were not complete after {rounds} rounds")
 
 
 def near_duplicate_groups(texts: DataFrame, like: Likeness = Likeness(), bucket: int = BUCKET) -> DataFrame:

@@ -59,17 +59,33 @@ def test_near_duplicates_equal_brute_force(make, bucket, monkeypatch):
     assert {tuple(r) for r in nd.member_pairs(signed, links).collect()} == true_pairs(rows, LIKE)
 
 
-def test_pivots_never_discard_a_pair():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    for _ in range(200):
-        n = rng.integers(5, 300)
-        a = rng.integers(0, 2**63, n).astype(np.uint64)
-        b = np.concatenate([a[: rng.integers(0, n)], rng.integers(0, 2**63, rng.integers(1, 50)).astype(np.uint64)])
-        both = nd.pivot_table(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).view(np.uint8).astype(int)
-        distance = len(set(a.tolist()) ^ set(b.tolist()))
-        assert np.abs(both[0] - both[1]).max() <= distance
+def test_tables_hold_distances_and_discard_no_pair_alike(make):
+    rows = texts(3)
+    signed = nd.signatures(make([(*r, "", "") for r in rows], DDL), LIKE).cache()
+    sets = {r["sid"]: set(r["shingles"]) for r in signed.filter("shingles IS NOT NULL").collect()}
+    every = make([(p, s) for p in sorted(sets)[:9] for s in sets], "pivot long, sid long")  # nine references for all
+    tables = nd.tables(every, signed.filter("shingles IS NOT NULL").dropDuplicates(["sid"]).select("sid", "n", "shingles"))
+    table = tables.collect()
+    assert len(table) == 9 * len(sets) and all(r["distance"] == len(sets[r["pivot"]] ^ sets[r["sid"]]) for r in table)
+    similarity = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    got = {(r["a"], r["b"]): r for r in nd.candidates(tables, 0.6).collect()}
+    kept = {k for k, r in got.items() if r["far"] <= r["most"]}
+    alike = {(a, b) for a, b in combinations(sorted(sets), 2) if similarity(a, b) >= 0.6}
+    assert alike <= kept and len(kept) < len(got)
+    known = [(k, r["known"]) for k, r in got.items() if r["known"] is not None]
+    assert known and all(abs(v - similarity(*k)) < 1e-12 for k, v in known)
+
+
+def test_a_hot_band_is_dealt_to_tasks_and_lost_nowhere(make, monkeypatch):
+    """Hundreds of texts of one template: frequent within a batch, large, and all pairs are found."""
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    monkeypatch.setattr(nd, "SALTS", 3)
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(40)]
+    rows = [(f"r{i:03d}", i, " ".join(common + [f"own{i}x{rng.randint(0, 3)}" for _ in range(rng.choice([1, 6, 20]))])) for i in range(150)]
+    signed = nd.signatures(make([(*r, "", "") for r in rows], DDL), LIKE)
+    links = nd.similar_fingerprints(signed, LIKE, 8)
+    assert {tuple(r) for r in nd.member_pairs(signed, links).collect()} == true_pairs(rows, LIKE)
 
 
 def test_groups(make):
