@@ -54,8 +54,9 @@ BUCKET = 64
 REFERENCES = 8
 #: Fingerprints in a block of a cell.
 BLOCK = 512
-#: Rows of a frequent band in a batch beyond BUCKET are dealt to so many tasks.
-SALTS = 1_024
+#: The low bits of a band's key are its salt: rows of a band that is frequent in a batch, beyond
+#: BUCKET of them, are dealt to so many tasks.
+SALT_BITS = 10
 #: Entries of a worker's table of word hashes, and of the fingerprints it has seen.
 CACHE = 1 << 20
 
@@ -140,22 +141,23 @@ def _sign(like: Likeness):
 
 
 def _bands(like: Likeness, bucket: int):
-    """The key of each band of each fingerprint; salt 0 but for rows of a key that is frequent in a batch."""
+    """The key of each band of each fingerprint, with salt 0 but for rows of a key that is frequent in a batch."""
     rng = np.random.default_rng(20240229)
     factors = rng.integers(0, 2**32, (like.bands, like.rows), np.uint32) | np.uint32(1)
     shifts = rng.integers(0, 2**32, (like.bands, like.rows), np.uint32)
     salts = rng.integers(0, 2**63, like.bands, np.uint64)
-    schema = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("sid", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("sid", pa.int64())])
+    low = np.uint64((1 << SALT_BITS) - 1)
 
-    def salted(keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(keys.shape, np.int32)
-        for b, key in enumerate(keys):
+    def salt(keys: np.ndarray) -> np.ndarray:
+        keys &= ~low
+        for key in keys:
             order = np.argsort(key, kind="stable")
             ordered = key[order]
             # the rows that have more than `bucket` of the same key before them
             later = np.flatnonzero(ordered[bucket + 1 :] == ordered[: -bucket - 1]) + bucket + 1
-            out[b, order[later]] = 1 + later % SALTS
-        return out
+            key[order[later]] |= (1 + later % int(low)).astype(np.uint64)
+        return keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -170,55 +172,56 @@ def _bands(like: Likeness, bucket: int):
                     for r in range(like.rows):
                         key = _mix(key + np.minimum.reduceat(h * factors[b, r] ^ shifts[b, r], starts), 0xE7037ED1A0B428DB)
                     keys[b] = key
-                columns = [pa.array(keys.ravel().view(np.int64)), pa.array(salted(keys).ravel()), pa.array(np.tile(sids, like.bands))]
+                columns = [pa.array(salt(keys).ravel().view(np.int64)), pa.array(np.tile(sids, like.bands))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
 def _references(bucket: int):
-    """Rows (key, salt, sid) in order of key and salt -> (key, pivot, sid): the reference of each
+    """Rows (key, sid) in order of the key -> (key without salt, pivot, sid): the reference of each
     row, itself included, null for the rows of a key that more than `bucket` have. Keys of one
     fingerprint give no row."""
     schema = pa.schema([("key", pa.int64()), ("pivot", pa.int64()), ("sid", pa.int64())])
+    low_bits = np.int64((1 << SALT_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
-        large = None  # key and salt of rows that are known to be too many
+        held_key, held_sid = np.empty(0, np.int64), np.empty(0, np.int64)
+        large = None  # a key of which rows were given out as too many
 
-        def take(key: np.ndarray, salt: np.ndarray, sid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def take(key: np.ndarray, sid: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Whole groups, or a part of one that is known to be large."""
             if not len(key):
                 return
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(key)]]))
             low, high = np.minimum.reduceat(sid, starts), np.maximum.reduceat(sid, starts)
-            many = salt[starts] > 0
+            many = (key[starts] & low_bits) > 0
             for i in np.flatnonzero(sizes > bucket):
                 many[i] |= len(np.unique(sid[starts[i] : starts[i] + sizes[i]])) > bucket
             if large is not None:
-                many |= (key[starts] == large[0]) & (salt[starts] == large[1])
+                many |= key[starts] == large
             rows = np.repeat((low != high) | many, sizes)
             pivot, mask = np.repeat(low, sizes)[rows], np.repeat(many, sizes)[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(pivot, mask=mask), pa.array(sid[rows])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows] & ~low_bits), pa.array(pivot, mask=mask), pa.array(sid[rows])], schema=schema)
 
         for batch in batches:
-            key, salt, sid = (np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
+            key = np.concatenate([held_key, batch.column(0).to_numpy(zero_copy_only=False)])
+            sid = np.concatenate([held_sid, batch.column(1).to_numpy(zero_copy_only=False)])
             if not len(key):
                 continue
-            # the last group may go on in the next batch
-            open_ = int(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))[-1])
-            yield from take(key[:open_], salt[:open_], sid[:open_])
-            key, salt, sid = key[open_:], salt[open_:], sid[open_:]
+            open_ = np.searchsorted(key, key[-1])  # the last group may go on in the next batch
+            yield from take(key[:open_], sid[:open_])
+            key, sid = key[open_:], sid[open_:]
             if len(sid) > 4 * bucket:
                 sid = np.unique(sid)
-                key, salt = key[: len(sid)], salt[: len(sid)]
+                key = key[: len(sid)]
                 if len(sid) > bucket:
-                    large = (key[0], salt[0])
-                    yield from take(key, salt, sid)
-                    key, salt, sid = key[:0], salt[:0], sid[:0]
-            held = [key, salt, sid]
-        yield from take(*held)
+                    large = key[0]
+                    yield from take(key, sid)
+                    key, sid = key[:0], sid[:0]
+            held_key, held_sid = key, sid
+        yield from take(held_key, held_sid)
 
     return run
 
@@ -246,8 +249,8 @@ def signatures(texts: DataFrame, like: Likeness) -> DataFrame:
 def similar_fingerprints(signed: DataFrame, like: Likeness, bucket: int = BUCKET) -> DataFrame:
     """Pairs a < b of different fingerprints whose similarity is at least the threshold."""
     sets = signed.filter("shingles IS NOT NULL").select("sid", "n", "shingles")
-    keys = sets.select("sid", "shingles").mapInArrow(_bands(like, bucket), "key long, salt int, sid long")
-    met = keys.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_references(bucket), "key long, pivot long, sid long")
+    keys = sets.select("sid", "shingles").mapInArrow(_bands(like, bucket), "key long, sid long")
+    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_references(bucket), "key long, pivot long, sid long")
     met = materialize(met, "met")
     sets = materialize(sets.join(met.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
     pairs = candidates(tables(met, sets), like.threshold)

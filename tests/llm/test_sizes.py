@@ -271,7 +271,7 @@ def test_code_words_are_fitted_on_the_whole_sample(monkeypatch):
     x[8_192:] += 8 * np.tile([1, -1], 4)
     fitted = similar_vectors._fit(64)(pd.DataFrame({"vec_id": range(len(x)), "space": "m/8", "vector": list(x), "wanted": 1}))
     words = np.frombuffer(fitted["words"][0], np.float32).reshape(-1, 16, 2)
-    last = similar_vectors._units(pd.Series(list(x[8_192:])))
+    last = similar_vectors._units(x[8_192:])
     coded = words[np.arange(4), similar_vectors.encode(last, words)].reshape(len(last), -1)
     assert np.mean(((coded - last) ** 2).sum(axis=1)) < 0.03
 

@@ -79,7 +79,7 @@ def test_tables_hold_distances_and_discard_no_pair_alike(make):
 def test_a_hot_band_is_dealt_to_tasks_and_lost_nowhere(make, monkeypatch):
     """Hundreds of texts of one template: frequent within a batch, large, and all pairs are found."""
     monkeypatch.setattr(nd, "BLOCK", 16)
-    monkeypatch.setattr(nd, "SALTS", 3)
+    monkeypatch.setattr(nd, "SALT_BITS", 2)
     rng = random.Random(4)
     common = [f"c{i}" for i in range(40)]
     rows = [(f"r{i:03d}", i, " ".join(common + [f"own{i}x{rng.randint(0, 3)}" for _ in range(rng.choice([1, 6, 20]))])) for i in range(150)]
