@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators.changes import ChangeLog, within_spans
+from siltstone.operators.changes import ChangeLog, Conflict, within_spans
 from siltstone.session import scratch_path
 from siltstone.streaming.ingest import follow
 
@@ -89,3 +89,41 @@ def test_stream(spark, tmp_path):
     follow(stream, target, F.col("path"), F.col("at"), {"h": F.col("h")}, str(tmp_path / "cp"), seen.append).awaitTermination(120)
     assert seen == [1]
     assert state(target) == {"a": "x", "b": "y"}
+
+
+def test_a_run_reads_only_what_was_delivered_since(spark):
+    """Run N reads the folders of its own deliveries, and the sink's base replaces old batches."""
+    target = ChangeLog(spark, scratch_path(spark, "log"), "k", "t", ["h"], compact_every=2)
+    for i in range(5):
+        append(target, rows(spark, ("a", i, f"v{i}"), (f"b{i}", i, "x")))
+        assert target.run() == i + 1
+        files = target.planned_rows(i + 1).inputFiles()
+        assert files and all(f"/log/{i + 1}-" in f for f in files)
+    assert state(target) == {"a": "v4"} | {f"b{i}": "x" for i in range(5)}
+    assert target.folder.numbers("bases") == [2, 4]
+    read = target.state().inputFiles()
+    assert not any("/sink/4/" in f or "/sink/1/" in f for f in read) and any("/base/4/" in f for f in read)
+    ends = target.ends()
+    assert sum(ends.values()) == 10  # offsets go on over deliveries
+
+
+def test_the_second_of_two_runners_is_refused(spark):
+    root = scratch_path(spark, "log")
+    one, two = log(spark, root), log(spark, root)
+    append(one, rows(spark, ("a", 1, "x")))
+    assert one.plan() == two.plan() == 1  # the second replays the plan of the first
+    one.apply(1)
+    two.apply(1)
+    one.commit(1)
+    with pytest.raises(Conflict):
+        two.commit(1)
+    assert state(two) == {"a": "x"}
+    assert not one.folder.write("plans/1", "other") and one.folder.names("plans") == ["1"]
+
+
+def test_a_delivery_without_its_marker_is_not_seen(spark):
+    target = log(spark, scratch_path(spark, "log"))
+    append(target, rows(spark, ("a", 1, "x")))
+    target.folder.delete("ends/1")
+    target.run()
+    assert state(target) == {} and target.deliveries() == 0
