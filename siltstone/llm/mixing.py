@@ -141,3 +141,17 @@ def mix_report(selection: DataFrame, plan: DataFrame) -> DataFrame:
         "reached_tokens", "most_copies", "short",
         F.when(total > 0, F.col("reached_tokens") / total).otherwise(0.0).alias("reached_share"),
     )
+
+
+def invariants(selection: DataFrame, plan: DataFrame) -> DataFrame:
+    """What must hold of a selection, per mix and source: tokens of the source and of the mix; capped
+    (no document more often than max_repeats); near (within one document of what is asked for)."""
+    drawn = selection.groupBy("mix_id", "source").agg(
+        F.sum(F.col("tokens") * F.col("copies")).alias("reached"), F.max("copies").alias("most"), F.max("tokens").alias("largest")
+    )
+    rows = plan.join(drawn, ["mix_id", "source"], "left").fillna(0, ["reached", "most", "largest"])
+    goal = F.least("target_tokens", "most_tokens")
+    return rows.select(
+        "mix_id", "source", F.col("tokens").cast("long").alias("tokens"), F.col("mix_tokens").cast("long").alias("mix_tokens"),
+        (F.col("most") <= F.col("max_repeats")).alias("capped"), (F.abs(F.col("reached") - goal) <= F.col("largest") + 1e-6).alias("near"),
+    )

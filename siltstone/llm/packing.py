@@ -16,7 +16,8 @@ tokens is an item like any other. Nothing else is cut.
 Defined results: documents with source null, or of a source without a capacity of at least 1,
 get no container and no row; of several capacities of a source the largest holds. A document
 without tokens is put into container 1 of its source. Documents of equal size are
-interchangeable: which one gets which place follows doc_id within 64 salts of its hash.
+interchangeable: which one gets which place follows doc_id within the salts of its hash, of which
+there are as many as keep the rows of a window few.
 Repeated rows of a doc_id are packed once each. Empty tables give an empty result.
 """
 
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import clean_source, token_count
-from siltstone.session import materialize
+from siltstone.session import materialize, small
 
-SALTS = 64
+#: Rows of one size that a window may number, about; a more common size is numbered in salted parts.
+WINDOW_ROWS = 1_000_000
 
 Plan = list[tuple[int, list[tuple[int, int]]]]  # containers, [(size, copies in each)]
 
@@ -202,12 +204,11 @@ def pack(documents: DataFrame, budgets: DataFrame) -> DataFrame:
     docs = documents.select(
         "doc_id", clean_source(F.col("source")).alias("source"), token_count(F.col("text")).cast("long").alias("tokens")
     ).filter("source IS NOT NULL")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    docs = docs.join(capacity, "source").select(
-        "source", "doc_id", "tokens", "capacity", (F.col("tokens") % F.col("capacity")).alias("size"), salt.alias("salt")
-    )
+    docs = docs.join(capacity, "source").select("source", "doc_id", "tokens", "capacity", (F.col("tokens") % F.col("capacity")).alias("size"))
     docs = materialize(docs, "sizes")
-    # by source, size and salt: at most sources x capacity x SALTS rows, whatever the data's size
+    salts = 1 + docs.count() // WINDOW_ROWS
+    docs = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    # by source, size and salt: no more rows than documents, and sources x capacity for each WINDOW_ROWS of them
     cells = docs.filter("size > 0").groupBy("source", "capacity", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
     cells = materialize(cells, "cells")
     histogram = cells.groupBy("source", "capacity", "size").agg(F.sum("n").alias("n"))
@@ -218,9 +219,14 @@ def pack(documents: DataFrame, budgets: DataFrame) -> DataFrame:
     before = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("source", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "size", "salt").orderBy("doc_id")
-    items = docs.filter("size > 0").join(starts, ["source", "size", "salt"])
+    # merged, not broadcast: the join's partitioning is that of the window
+    items = docs.filter("size > 0").join(starts.hint("merge"), ["source", "size", "salt"])
     items = items.withColumn("number", F.col("base") + F.row_number().over(inside) - 1)
-    fitted = items.join(places, ["source", "size"]).filter("number >= start AND number < end")
+    # of each size the runs of places, in which an item looks its own up: a row per source and size
+    runs = places.groupBy("source", "size").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first", "each"))).alias("runs"))
+    own = F.filter("runs", lambda r: (r["start"] <= F.col("number")) & (F.col("number") < r["end"]))[0]
+    fitted = items.join(small(runs, "runs"), ["source", "size"]).withColumn("run", own)
+    fitted = fitted.withColumns({c: F.col(f"run.{c}") for c in ("start", "first", "each")})
     fitted = fitted.select(
         "source",
         (F.col("first") + F.floor((F.col("number") - F.col("start")) / F.col("each"))).cast("long").alias("container"),
@@ -252,6 +258,23 @@ def pack(documents: DataFrame, budgets: DataFrame) -> DataFrame:
     return fitted.unionByName(full).unionByName(blank)
 
 
+def invariants(packed: DataFrame, documents: DataFrame, budgets: DataFrame) -> DataFrame:
+    """What must hold of a packing, per source: documents and tokens it holds; fits (no container
+    beyond the capacity); whole (a document has one row, or is larger than the capacity)."""
+    fill = packed.groupBy("source", "container").agg(F.sum("tokens").alias("held"))
+    most = fill.groupBy("source").agg(F.max("held").alias("fullest"))
+    docs = packed.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.max("part").alias("part"))
+    capacity = (
+        budgets.select(clean_source(F.col("source")).alias("source"), F.col("capacity_tokens").cast("long").alias("capacity"))
+        .groupBy("source").agg(F.max("capacity").alias("capacity"))
+    )
+    cut = (F.col("tokens") > F.col("capacity")) == (F.col("part") > 0)
+    docs = docs.join(capacity, "source").groupBy("source", "capacity").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"), F.every(((F.col("rows") == 1) | (F.col("part") > 0)) & cut).alias("whole")
+    )
+    return docs.join(most, "source").select("source", "documents", "tokens", (F.col("fullest") <= F.col("capacity")).alias("fits"), "whole")
+
+
 def fill_report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     """Per source: documents, containers, tokens, the fewest containers that could hold them, fill."""
     capacity = (
@@ -266,5 +289,3 @@ def fill_report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
         F.ceil(F.col("tokens") / F.col("capacity")).alias("least"),
         F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill"),
     )
-
-

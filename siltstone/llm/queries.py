@@ -134,6 +134,11 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, folder), table(spark, folder, "pack_budgets"))
 
 
+def p7_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the packing."""
+    return packing.invariants(p7_containers(spark, folder), table(spark, folder, "documents"), table(spark, folder, "pack_budgets"))
+
+
 def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
     """Documents chosen for each mix, with their number of copies."""
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
@@ -144,6 +149,11 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(*mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")))
 
 
+def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the selection."""
+    return mixing.invariants(*mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sources whose drawn tokens stay at the cap, below their target."""
     report = p8_report(spark, folder)
@@ -207,14 +217,59 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p7_invariants": p7_invariants,
     "p8_found": p8_found,
     "p8_selection": p8_selection,
     "p8_report": p8_report,
+    "p8_invariants": p8_invariants,
     "p9_found": p9_found,
     "p9_shared": p9_shared,
 }
 
+_MIXES = f"""{_TOKENS},
+totals AS (SELECT source, sum(tokens)::BIGINT AS t FROM sizes GROUP BY 1),
+mixes AS (SELECT m.mix_id, lower(trim(m.source)) AS source, m.target_share, m.max_repeats, coalesce(t, 0) AS t,
+                 sum(coalesce(t, 0)) OVER (PARTITION BY m.mix_id) AS total
+          FROM mix_targets m LEFT JOIN totals ON lower(trim(m.source)) = totals.source)"""
+
 SQL = {
+    # brute force: shingles meet by equality, then whole sets are compared
+    "p1_found": r"""WITH words AS MATERIALIZED (
+  SELECT storage_id, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w
+  FROM (SELECT DISTINCT storage_id, doc_id, text FROM chunks WHERE role = 'child' AND text IS NOT NULL)),
+sets AS MATERIALIZED (
+  SELECT storage_id, doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s
+  FROM words WHERE len(w) >= 20),
+shingles AS MATERIALIZED (SELECT storage_id, doc_id, len(s) AS n, unnest(s) AS h FROM sets),
+met AS (
+  SELECT a.storage_id AS storage_id_a, b.storage_id AS storage_id_b, a.n AS na, b.n AS nb, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.h = b.h AND a.storage_id < b.storage_id AND a.doc_id <> b.doc_id
+    AND a.n >= 0.6::DOUBLE * b.n AND b.n >= 0.6::DOUBLE * a.n GROUP BY ALL)
+SELECT storage_id_a, storage_id_b FROM met WHERE common >= 0.6::DOUBLE * (na + nb - common)""",
+    "p6_found": """WITH newest AS (
+  SELECT vec_id, model, dimensions, vector::DOUBLE[] AS v,
+         row_number() OVER (PARTITION BY storage_id, model ORDER BY embedded_at DESC NULLS LAST, vec_id DESC) AS r
+  FROM chunk_embeddings),
+good AS MATERIALIZED (
+  SELECT DISTINCT vec_id, model, dimensions, v FROM newest
+  WHERE r = 1 AND v IS NOT NULL AND len(v) = dimensions AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS s
+  FROM good a JOIN good b ON a.model = b.model AND a.dimensions = b.dimensions AND a.vec_id <> b.vec_id),
+near AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM pairs WHERE s >= 0.9)
+SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM near WHERE rank <= 5""",
+    "p7_invariants": f"""WITH {_TOKENS}
+SELECT s.source, count(DISTINCT doc_id) AS documents, sum(tokens)::BIGINT AS tokens, TRUE AS fits, TRUE AS whole
+FROM sizes s JOIN (SELECT DISTINCT lower(trim(source)) AS source FROM pack_budgets WHERE capacity_tokens >= 1) b ON s.source = b.source GROUP BY 1""",
+    "p8_invariants": f"""WITH {_MIXES} SELECT mix_id, source, t AS tokens, total::BIGINT AS mix_tokens, TRUE AS capped, TRUE AS near FROM mixes""",
+    "p9_found": """WITH texts AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 200),
+windows AS MATERIALIZED (
+  SELECT doc_id, i, hash(substring(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(n - 199)) AS i FROM texts)),
+shared AS (SELECT h FROM windows GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+marks AS (SELECT doc_id, i, max(i + 200) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM windows WHERE h IN (FROM shared)),
+runs AS (SELECT doc_id, i, sum((reach IS NULL OR i > reach)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marks)
+SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM runs GROUP BY doc_id, run""",
     "p3_found": f"""WITH {_BEST}
 SELECT r.query_id, r.hit_mode, r.doc_id, r.chunk_id FROM ranked r JOIN limits l ON r.query_id = l.query_id WHERE rank <= top_k""",
     "p4_found": f"""WITH {_BEST},
@@ -263,10 +318,6 @@ WHERE c.role = 'child' AND length(regexp_replace(regexp_replace(c.text, '^[\s\x0
     "p7_found": f"""WITH {_TOKENS}
 SELECT doc_id FROM sizes s JOIN (SELECT lower(trim(source)) AS source, max(capacity_tokens) AS c FROM pack_budgets GROUP BY 1) b
 ON s.source = b.source WHERE tokens > c""",
-    "p8_found": f"""WITH {_TOKENS},
-totals AS (SELECT source, sum(tokens)::BIGINT AS t FROM sizes GROUP BY 1),
-mixes AS (SELECT m.mix_id, m.source, m.target_share, m.max_repeats, coalesce(t, 0) AS t,
-                 sum(coalesce(t, 0)) OVER (PARTITION BY m.mix_id) AS total
-          FROM mix_targets m LEFT JOIN totals ON lower(trim(m.source)) = totals.source)
+    "p8_found": f"""WITH {_MIXES}
 SELECT mix_id, source FROM mixes WHERE target_share * total::DOUBLE > max_repeats * t""",
 }

@@ -4,7 +4,8 @@ The tokens of a text are its overlapping grams of `gram` characters, so that spa
 and end anywhere, also in text without spaces. Under a hash of the grams, the position c is
 the minimum of every window of `span` characters that starts in a run [i0, i1]: these windows
 form one compact window (i0, c, i1), a node of the Cartesian tree over the hashes that is
-wide enough. A text of n characters has about 2 n / span of them. Equal windows have their
+wide enough. For windows of one width these nodes are the runs of the sliding minimum, so that
+they are taken from it and the rest of the tree is not built. A text of n characters has about 2 n / span of them. Equal windows have their
 minimum at the same place, so two texts share a span only if compact windows of both have the
 same minimal hash; as the spans are exact, one hash function finds all of them.
 
@@ -43,6 +44,8 @@ SPAN = 200
 GRAM = 32
 #: Rows of a hash that are compared in pairs at most.
 BUCKET = 64
+#: A key of more than one in so many rows is broadcast.
+HOT = 10_000
 #: Windows looked at together in a long text; their runs may be cut there without loss.
 BLOCK = 1 << 20
 
@@ -215,6 +218,16 @@ def _window_keys(span: int):
     return run
 
 
+def _join(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join with a written table of counts `n` by key over `total` rows. Its frequent keys, of
+    which there are at most HOT, are broadcast; no other key has more than a HOT-th of the rows."""
+    hot = table.filter(F.col("n") * HOT > total)
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    hot = F.broadcast(hot)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(table.filter(F.col("n") * HOT <= total), keys))
+
+
 def _in_large_buckets(rows: DataFrame, span: int) -> DataFrame:
     """(doc_id, start, end) shared in buckets that are not compared in pairs.
 
@@ -222,18 +235,21 @@ def _in_large_buckets(rows: DataFrame, span: int) -> DataFrame:
     aggregates. A class of two documents is shared as a whole; the windows of one row of each
     class are enough to see what the classes of a single document share with others.
     """
+    total = rows.count()
     rows = rows.select(
         "hash", (F.col("c") - F.col("i0")).alias("at"), F.xxhash64("context").alias("k1"), F.xxhash64(F.lit(7), "context").alias("k2"), "doc_id", "i0", "i1", "context"
     )
     key = ["hash", "at", "k1", "k2"]
-    classes = materialize(rows.groupBy(*key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")), "classes")
-    whole = rows.join(classes.filter("a < b"), key).select("doc_id", F.col("i0").alias("start"), (F.col("i1") + span).alias("end"))
-    first = rows.join(classes, key).filter("doc_id = a").select("a", "b", "i0", "i1", "context")
+    classes = materialize(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")), "classes")
+    classed = _join(rows, classes, key, total)
+    whole = classed.filter("a < b").select("doc_id", F.col("i0").alias("start"), (F.col("i1") + span).alias("end"))
+    first = classed.filter("doc_id = a").select("a", "b", "i0", "i1", "context")
     # of a class of several documents one row is enough; of a single one's, all are to be marked
     first = first.filter("a = b").unionByName(first.filter("a < b").dropDuplicates(["a", "b", "context"]))
     keys = materialize(first.mapInPandas(_window_keys(span), "key binary, a long, b long, start int"), "keys")
-    common = keys.groupBy("key").agg(F.min("a").alias("x"), F.max("b").alias("y")).filter("x < y").select("key")
-    single = keys.filter("a = b").join(common, "key").select(F.col("a").alias("doc_id"), "start", (F.col("start") + span).alias("end"))
+    common = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("x"), F.max("b").alias("y")).filter("x < y").select("key", "n")
+    single = _join(keys.filter("a = b"), materialize(common, "common"), ["key"], keys.count())
+    single = single.select(F.col("a").alias("doc_id"), "start", (F.col("start") + span).alias("end"))
     return whole.unionByName(single)
 
 
@@ -257,15 +273,17 @@ def shared_spans(documents: DataFrame, *, span: int = SPAN, gram: int = GRAM, bu
     windows = texts.mapInArrow(_windows(span, gram), "hash long, doc_id long, c int, i0 int, i1 int")
     windows = materialize(windows, "windows")
     counts = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    counts = counts.filter("a < b").select("hash", (F.col("n") > bucket).alias("many"))
-    marks = windows.join(counts, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("hash", "many", "c", "i0", "i1")).alias("marks"))
+    counts = materialize(counts.filter("a < b").select("hash", "n", (F.col("n") > bucket).alias("many")), "counts")
+    marks = _join(windows, counts, ["hash"], windows.count()).groupBy("doc_id").agg(F.collect_list(F.struct("hash", "many", "c", "i0", "i1")).alias("marks"))
     contexts = texts.join(marks, "doc_id").mapInArrow(
         _contexts(span), "hash long, many boolean, doc_id long, c int, i0 int, i1 int, context string"
     )
     contexts = materialize(contexts, "contexts")
     few = contexts.filter("NOT many").drop("many").repartition("hash").sortWithinPartitions("hash")
     found = few.mapInPandas(_compare(span), "doc_id long, start int, end int")
-    found = found.unionByName(_in_large_buckets(contexts.filter("many"), span))
+    large = contexts.filter("many").drop("many")
+    if not large.isEmpty():
+        found = found.unionByName(_in_large_buckets(large, span))
     return merge_spans(found)
 
 

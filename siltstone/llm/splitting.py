@@ -2,11 +2,11 @@
 
 Along the words of a text, the similarity of the blocks of words before and after each gap
 is measured (cosine of word counts). A gap's depth is how far its similarity lies below the
-nearest peaks on both sides: deep valleys mark topic boundaries. For each piece, the natural
-boundaries in its size window are looked up, strongest kind first (paragraph, line, sentence,
-clause, word); of the strongest kind found, the one in the deepest valley is the cut, the
-last one if equally deep. Only where the window has no boundary at all is text cut at the
-limit. Each piece then repeats the last `overlap` characters of the one before it.
+nearest peaks on both sides: deep valleys mark topic boundaries. For each piece, the cut is in
+the deepest valley within its size window at which a paragraph, line or sentence ends; of
+valleys equally deep, at the strongest of these, then at the last. Only where none of them ends
+in the window are the ends of clauses looked at in the same way, and then those of words; only
+where the window has none at all is text cut at the limit. Each piece then repeats the last `overlap` characters of the one before it.
 
 Sizes are in code points. Pieces are slices of the stripped text: without their overlaps
 they join to it exactly, and none is longer than the limit.
@@ -34,7 +34,8 @@ BLOCK = 20
 FILL = 0.5
 
 WORDS = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W぀-ヿ㐀-鿿가-힯]+")
-#: Boundaries, strongest first; a cut is put behind the match.
+#: Boundaries, strongest first; a cut is put behind the match. The first SENTENCES of them are equal but for valleys equally deep.
+SENTENCES = 3
 KINDS = (
     re.compile(r"\r?\n[^\S\n]*\r?\n\s*"),
     re.compile(r"\r\n|[\n\r\u2028\u2029]"),
@@ -93,11 +94,17 @@ def split_points(text: str, limit: int, overlap: int, least: int, fill: float =
     words = list(WORDS.finditer(text))
     starts = np.fromiter((m.start() for m in words), np.int64, len(words))
     depth = gap_depths([m.group() for m in words])
-    kinds = []
+    found = []
     for kind in KINDS:
         ends = np.fromiter((m.end() for m in kind.finditer(text)), np.int64)
-        ends = ends[(ends > 0) & (ends < n)]
-        kinds.append((ends, depth[np.searchsorted(starts, ends)] if len(ends) else ends))
+        found.append(ends[(ends > 0) & (ends < n)])
+    kinds = []  # ends ascending, strength of each, depth of the valley there
+    for tier in (found[:SENTENCES], *([f] for f in found[SENTENCES:])):
+        strongest: dict[int, int] = {}
+        for strength, ends in enumerate(reversed(tier)):
+            strongest |= dict.fromkeys(ends.tolist(), strength)
+        ends = np.array(sorted(strongest), np.int64)
+        kinds.append((ends, np.array([strongest[e] for e in ends.tolist()]), depth[np.searchsorted(starts, ends)] if len(ends) else np.empty(0)))
     out, at = [], 0
     while True:
         room = limit if at == 0 else limit - overlap
@@ -109,11 +116,11 @@ def split_points(text: str, limit: int, overlap: int, least: int, fill: float =
             high = max(at + 1, n - least)
         cut = None
         for low in (at + max(1, int(fill * room)), at + 1):
-            for ends, deep in kinds:
+            for ends, strength, deep in kinds:
                 a, b = np.searchsorted(ends, low), np.searchsorted(ends, high, side="right")
                 if a < b:
-                    best = deep[a:b].max()
-                    cut = int(ends[a + np.flatnonzero(deep[a:b] >= best - 1e-12)[-1]])
+                    valleys = a + np.flatnonzero(deep[a:b] >= deep[a:b].max() - 1e-12)
+                    cut = int(ends[valleys[strength[valleys] == strength[valleys].max()][-1]])
                     break
             if cut is not None:
                 break

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from siltstone.llm import packing, similar_vectors
+from siltstone.llm import mixing
 from siltstone.llm.mixing import mix, mix_report
 
 DOCS = "doc_id long, text string, source string, tokens string, container string"
@@ -279,3 +280,26 @@ def test_code_words_are_fitted_on_the_whole_sample(monkeypatch):
 def test_reduction_fixes_sets_of_three():
     assert packing.reduce_instance({50: 1, 30: 1, 20: 1}, 101) == ([(1, [(50, 1), (30, 1), (20, 1)])], {})
     assert packing.reduce_instance({52: 3, 30: 3, 19: 3}, 101) == ([(3, [(52, 1), (30, 1), (19, 1)])], {})
+
+
+def test_a_common_size_is_numbered_in_parts(make, monkeypatch):
+    """However few rows a window may number, every document has its place and containers hold no more than they may."""
+    rng = random.Random(13)
+    docs = make([(i, " ".join(["w"] * rng.choice([3, 3, 3, 4, 9, 25])), " Notes ", "", "") for i in range(300)] + [(999, None, None, "", "")], DOCS)
+    budgets = make([("notes", 10)], "source string, capacity_tokens int")
+    fewest = None
+    for most in (1_000_000, 20):
+        monkeypatch.setattr(packing, "WINDOW_ROWS", most)
+        packed = packing.pack(docs, budgets).cache()
+        row = packing.invariants(packed, docs, budgets).collect()
+        assert [(r["source"], r["documents"], r["fits"], r["whole"]) for r in row] == [("notes", 300, True, True)]
+        fewest = fewest or packed.select("container").distinct().count()
+        assert packed.select("container").distinct().count() == fewest
+
+
+def test_invariants_of_a_mix(make):
+    rng = random.Random(14)
+    docs = make([(i, " ".join(["w"] * rng.randint(1, 9)), rng.choice(["a", "b", "B "]), "", "") for i in range(200)], DOCS)
+    targets = make([("m", "a", 0.9, 2), ("m", "b", 0.1, 1), ("m", "none", 0.0, 1)], "mix_id string, source string, target_share double, max_repeats int")
+    rows = mixing.invariants(*mix(docs, targets)).collect()
+    assert len(rows) == 3 and all(r["capped"] and r["near"] for r in rows)

@@ -134,9 +134,11 @@ def passages(seed):
     return rows + [(100, None), (101, ""), (102, long), (103, long[:150] + "#" + long[150:]), (104, "self" * 3 + long[7:40]), (105, "q" * 19)]
 
 
-@pytest.mark.parametrize("bucket,block", [(64, 1 << 20), (2, 1 << 20), (64, 10)])
-def test_shared_spans_equal_brute_force(make, bucket, block, monkeypatch):
+@pytest.mark.parametrize("bucket,block,hot", [(64, 1 << 20, 10_000), (2, 1 << 20, 10_000), (64, 10, 10_000), (2, 1 << 20, 10**9)])
+def test_shared_spans_equal_brute_force(make, bucket, block, hot, monkeypatch):
+    """In the last case every hash counts as frequent."""
     monkeypatch.setattr(ss, "BLOCK", block)
+    monkeypatch.setattr(ss, "HOT", hot)
     rows = passages(3)
     found = ss.shared_spans(make([(d, t, 5) for d, t in rows], "doc_id long, text string, c int"), span=20, gram=8, bucket=bucket)
     assert {tuple(r) for r in found.collect()} == true_spans(rows, 20)
@@ -178,6 +180,21 @@ def test_cuts_in_the_deepest_valley():
     assert depth.argmax() == len(cats.split())
 
 
+def test_topic_changes_without_a_paragraph_end():
+    """Two topics in a window, with a paragraph end elsewhere in it: the cut is where the topic changes."""
+    rng = random.Random(11)
+    hits = 0
+    for case in range(50):
+        topics = [[f"t{case}{side}w{i}" for i in range(12)] for side in "ab"]
+        lines = [" ".join(rng.choices(topic, k=8)) + "." for topic in topics for _ in range(8)]
+        text, at = "", None
+        for i, line in enumerate(lines):
+            at = len(text) if i == 8 else at
+            text += line + ("\n\n" if i == 5 else " ")
+        hits += split_points(text.strip(), int(at * 1.4), 0, 0)[0][1] == at
+    assert hits >= 38  # 39; the others lie a sentence or two off
+
+
 def test_split_oversized(make):
     ddl = "storage_id string, doc_id long, parent_chunk_id string, block_type string, role string, text string, start int"
     long = "A sentence here. " * 10
@@ -207,8 +224,9 @@ def test_last_rows_of_a_large_bucket_stay_in_it():
     """A bucket of more than 4 x 64 rows that ends one or two rows into the next batch."""
     batch = lambda rows: pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in rows], pa.int64()), "sid": pa.array([s for _, s in rows], pa.int64())})
     for more in (1, 2):
-        ends = [(5, 300 + i) for i in range(more)]
-        out = nd._pairs(64)(iter([batch([(5, i) for i in range(300)]), batch([*ends, (6, 1), (6, 2)])]))
+        five, six = 5 << nd.SALT_BITS, 6 << nd.SALT_BITS
+        ends = [(five, 300 + i) for i in range(more)]
+        out = nd._references(64)(iter([batch([(five, i) for i in range(300)]), batch([*ends, (six, 1), (six, 2)])]))
         rows = [r for b in out for r in b.to_pylist()]
-        assert {r["a"] for r in rows if r["large"] == 5} == set(range(300 + more))
-        assert [(r["a"], r["b"]) for r in rows if r["large"] is None] == [(1, 2)]
+        assert {r["sid"] for r in rows if r["key"] == five and r["pivot"] is None} == set(range(300 + more))
+        assert [(r["pivot"], r["sid"]) for r in rows if r["key"] == six] == [(1, 1), (1, 2)]
