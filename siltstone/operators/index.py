@@ -1,12 +1,24 @@
-"""The inverted index: postings with positions, lengths and corpus statistics."""
+"""The inverted index: postings with positions, lengths and corpus statistics.
+
+A stored index has the items (id, keys, dl) and the postings (term, id, dl, tf, positions) of some
+texts. Postings are written in folders by a hash of the term and sorted by term within, so that a
+batch of queries reads the folders and row groups of its terms only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import index_terms, query_tokens
 
+#: Folders that postings are dealt to by a hash of the term.
+BUCKETS = 64
+#: Query terms that are named in the read of stored postings; more are joined.
+NAMED_TERMS = 1_000
+
 
 def tokenized(texts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, terms: null texts have no terms."""
@@ -38,3 +50,50 @@ def parsed_queries(queries: DataFrame) -> DataFrame:
     tokens = queries.select("query_id", F.explode(query_tokens(F.col("query"))).alias("token"))
     terms = tokens.select("query_id", index_terms(F.col("token")).alias("terms")).filter(F.size("terms") > 0)
     return terms.groupBy("query_id", "terms").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+# -- stored
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """items (id, keys, dl) and postings (bucket, term, id, dl, tf, positions) of the same texts."""
+
+    items: DataFrame
+    postings: DataFrame
+
+    def of_terms(self, terms: DataFrame) -> DataFrame:
+        """The postings of the terms (term), of which there is a bounded number."""
+        wanted = terms.select("term").distinct()
+        named = [r["term"] for r in wanted.limit(NAMED_TERMS + 1).collect()]
+        rows = self.postings
+        if len(named) <= NAMED_TERMS:
+            # literals prune folders and row groups
+            places = [r[0] for r in wanted.select(bucket(F.col("term"))).distinct().collect()]
+            return rows.filter(F.col("bucket").isin(places) & F.col("term").isin(named))
+        # the folders are pruned by the join at run time
+        return rows.join(wanted.withColumn("bucket", bucket(F.col("term"))), ["bucket", "term"], "left_semi")
+
+
+def store(texts: DataFrame, keys: list[str], path: str, first_id: int = 0) -> None:
+    """Write the index of texts (keys, text) below `path`; ids begin at `first_id` and have 40 bits."""
+    spark = texts.sparkSession
+    ids = F.monotonically_increasing_id()
+    # the task's number and the row's, of 33 bits, closer together
+    ids = (F.shiftrightunsigned(ids, 33) * F.lit(1 << 24) + ids.bitwiseAND(F.lit((1 << 24) - 1)) + F.lit(first_id)).alias("id")
+    tokenized(texts, keys).select(ids, *keys, "terms").write.mode("overwrite").parquet(f"{path}/tokens")
+    tokens = spark.read.parquet(f"{path}/tokens")
+    tokens.select("id", *keys, F.size("terms").alias("dl")).write.mode("overwrite").parquet(f"{path}/items")
+    rows = postings(tokens, ["id"], positions=True).withColumn("bucket", bucket(F.col("term")))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "term", "id")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def stored_schemas(keys: dict[str, str]) -> tuple[str, str]:
+    """Of items and postings, for keys of the given types."""
+    named = ", ".join(f"{k} {t}" for k, t in keys.items())
+    return f"id long, {named}, dl int", "term string, id long, dl int, tf int, positions array<int>, bucket int"

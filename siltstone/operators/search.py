@@ -7,12 +7,14 @@ that no result depends on the order in which partial sums are added.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.index import corpus_stats, parsed_queries, tokenized
+from siltstone.operators.index import TextIndex, parsed_queries, tokenized
 from siltstone.session import materialize, small
 
 ITEM = ["doc_id", "chunk_id"]
@@ -28,41 +30,98 @@ def top_k(scores: DataFrame, k: int, *, best: str = "high", keys: list[str] | No
 
 
 # -- BM25
+#
+# Scores come from the postings of the queries' terms alone, be they stored or made of the texts
+# on the way. The weights of the queries' terms are broadcast in runs of a bounded size, so that
+# postings of a frequent term never meet in one task: the postings stay partitioned by item, where
+# the sums are made. A query's k-th best score is at least the k-th best that one of its terms
+# gives alone; sums below that are dropped before anything is sorted.
 
+#: Rows (terms of the queries, or their weights in a query) that are broadcast at once.
+BROADCAST = 200_000
 
-def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Add a number that ascends with the keys, so that it also stands for them in ties."""
-    return rows.orderBy(*keys).withColumn(name, F.monotonically_increasing_id())
 
+def _terms(queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """asked (qid, tid, qtf), kinds (tid, terms) and names (qid, query_id) of a batch of queries."""
+    parsed = materialize(parsed_queries(queries), "asked")
+    number = F.monotonically_increasing_id()
+    names = materialize(parsed.select("query_id").distinct().withColumn("qid", number), "names")
+    kinds = materialize(parsed.select("terms").distinct().withColumn("tid", number), "kinds")
+    return materialize(parsed.join(kinds, "terms").join(names, "query_id").select("qid", "tid", "qtf"), "asked"), kinds, names
 
-def _bm25(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(qid, id, score), (id, item) and (qid, query_id).
 
-    Items, queries and terms are numbers from here on. The postings of the queries' terms are
-    partitioned by item and meet the term weights there, so that the sums need no shuffle.
-    """
-    # numbered first: sorting looks at its input twice
-    numbered = _numbered(chunks.select(*ITEM, "text"), ITEM, "id")
+def _in_runs(table: DataFrame, key: str) -> Iterator[DataFrame]:
+    """A written table in runs of about BROADCAST rows, marked for broadcast."""
+    runs = max(1, -(-table.count() // BROADCAST))
+    for run in range(runs):
+        yield F.broadcast(table if runs == 1 else table.filter(F.pmod(F.xxhash64(key), F.lit(runs)) == run))
+
+
+def _known(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Rows of a term that the queries ask for by itself, with its number."""
+    singles = materialize(kinds.filter(F.size("terms") == 1).select(F.col("terms")[0].alias("term"), "tid"), "singles")
+    return _union(rows.join(run, "term") for run in _in_runs(singles, "term"))
+
+
+def _from_texts(chunks: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, items, dl) of the texts and (id, tid, dl, tf) of the terms."""
+    numbered = chunks.select(F.monotonically_increasing_id().alias("id"), *ITEM, "text")
     tokens = materialize(tokenized(numbered, ["id", *ITEM]), "tokens")
-    asked = materialize(parsed_queries(queries), "asked")
-    names = materialize(_numbered(asked.select("query_id").distinct(), ["query_id"], "qid"), "names")
-    kinds = materialize(_numbered(asked.select("terms").distinct(), ["terms"], "tid"), "kinds")
-    singles = small(kinds.filter(F.size("terms") == 1).select(F.col("terms")[0].alias("term"), "tid"), "singles")
-    rows = tokens.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(singles, "term")
-    held = rows.repartition("id").groupBy("id", "tid", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    rows = tokens.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    # a task has all rows of an item, so that they are counted before they are shuffled
+    held = _known(rows, kinds).groupBy("id", "tid", "dl").agg(F.count(F.lit(1)).alias("tf"))
     phrases = kinds.filter(F.size("terms") > 1)
     if not phrases.isEmpty():
-        held = held.unionByName(_phrase_postings(tokens, phrases))
-    held = materialize(held, "postings")
-    frequency = held.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
-    weights = asked.join(kinds, "terms").join(names, "query_id").select("qid", "tid", "qtf").join(frequency, "tid").crossJoin(corpus_stats(tokens))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = small(weights.select("tid", "qid", "avgdl", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("qtf")).alias("weight")), "weights")
-    length = K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("weight") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + length)
-    met = held.repartition("id").join(weights, "tid")
-    score = F.rint(-F.sum(part) * 1e9) / 1e9
-    return met.groupBy("qid", "id").agg(score.alias("score")), tokens.select("id", *ITEM), names
+        held = held.unionByName(_phrase_postings(tokens.select("id", F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term")), phrases))
+    return tokens.select("id", *ITEM, F.size("terms").alias("dl")), held
+
+
+def _from_index(index: TextIndex, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from a stored index, of which only the terms' postings are read."""
+    rows = index.of_terms(kinds.select(F.explode("terms").alias("term")))
+    held = _known(rows, kinds).select("id", "tid", "dl", F.col("tf").cast("long").alias("tf"))
+    phrases = kinds.filter(F.size("terms") > 1)
+    if not phrases.isEmpty():
+        held = held.unionByName(_phrase_postings(rows.select("id", "dl", "term", F.explode("positions").alias("pos")), phrases))
+    return index.items, held
+
+
+def _weighted(source: DataFrame | TextIndex, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """parts (id, tid, part: tf and length of a posting in the formula), weights (qid, tid, weight),
+    items and names."""
+    asked, kinds, names = _terms(queries)
+    items, held = _from_index(source, kinds) if isinstance(source, TextIndex) else _from_texts(source, kinds)
+    stats = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl")).first()
+    n, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"] or 1.0)
+    length = K1 * ((1 - B) + B * F.col("dl") / avgdl)
+    parts = held.select("id", "tid", (F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("part"))
+    parts = materialize(parts, "parts")
+    frequency = parts.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(frequency, "tid").select("qid", "tid", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("qtf")).alias("weight"))
+    return parts, materialize(weights, "weights"), items, names
+
+
+def _least(parts: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """(qid, least): what the k-th best score of a query is at least; queries of which nothing is known are absent."""
+    best = Window.partitionBy("tid").orderBy(F.desc("part"))
+    kth = parts.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).filter(F.col("r") == k).select("tid", "part")
+    return weights.join(kth, "tid").groupBy("qid").agg(F.max(F.col("weight") * F.col("part")).alias("least"))
+
+
+def _sums(parts: DataFrame, weights: DataFrame) -> Iterator[DataFrame]:
+    """(qid, id, score), a run of queries at a time. Scores are negative, the lowest is best."""
+    for run in _in_runs(weights, "qid"):
+        # partitioned by item, which the join keeps: what is joined is summed without a shuffle
+        met = parts.repartition("id").join(run, "tid")
+        yield met.groupBy("qid", "id").agg((F.rint(-F.sum(F.col("weight") * F.col("part")) * 1e9) / 1e9).alias("score"))
+
+
+def _union(frames: Iterable[DataFrame]) -> DataFrame:
+    out = None
+    for frame in frames:
+        out = frame if out is None else out.unionByName(frame)
+    return out
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -72,25 +131,52 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     Document frequencies and lengths are those of all chunks given, so collections are to be
     filtered afterwards. A token that consists of several terms is matched as a phrase.
     """
-    scores, items, names = _bm25(chunks, queries)
+    parts, weights, items, names = _weighted(chunks, queries)
+    scores = _union(_sums(parts, weights))
     return scores.join(items, "id").join(names, "qid").select("query_id", *ITEM, "score")
 
 
-def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
-    """The k best of each query: query_id, doc_id, chunk_id, score, rank. Only the winners are
-    joined to their names. `within` (doc_id) restricts the hits, not the statistics."""
-    scores, items, names = _bm25(chunks, queries)
+def bm25_top_k(source: DataFrame | TextIndex, queries: DataFrame, k: int, within: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """The k best of each query: query_id, doc_id, chunk_id, score, rank. `source` is a stored index or
+    the chunks (doc_id, chunk_id, text). Only the winners, and what ties with them, are joined to
+    their names.
+
+    `within` (doc_id) restricts the hits, not the statistics. With `groups` (doc_id and a
+    column), the k best are those of each query within each group, which the result names.
+    """
+    parts, weights, items, names = _weighted(source, queries)
+    by = ["qid"]
     if within is not None:
         items = items.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
-        scores = scores.join(items.select("id"), "id", "left_semi")
-    best = top_k(scores, k, best="low", keys=["id"], by="qid")
-    return best.join(items, "id").join(names, "qid").select("query_id", *ITEM, "score", "rank")
-
-
-def _phrase_postings(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Adjacent occurrences of the phrases' terms: id, tid, dl, tf."""
+    if groups is not None:
+        group = next(c for c in groups.columns if c != "doc_id")
+        numbers = materialize(groups.select(group).distinct().withColumn("gid", F.monotonically_increasing_id()), "groups")
+        items = items.join(groups, "doc_id").join(numbers, group)
+        by = ["qid", "gid"]
+    if within is not None or groups is not None:
+        own = items.select("id", *by[1:])
+        parts = materialize(parts.join(own, "id"), "parts")
+    least = small(_least(parts, weights, k), "least") if groups is None else None
+
+    def best(scores: DataFrame) -> DataFrame:
+        if groups is not None:
+            scores = scores.join(items.select("id", "gid"), "id")
+        else:
+            scores = scores.join(least, "qid", "left")
+            scores = scores.filter(F.col("least").isNull() | (F.col("score") <= -F.col("least") + 2e-9)).drop("least")
+        place = F.rank().over(Window.partitionBy(*by).orderBy("score"))
+        return scores.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+
+    found = _union(best(scores) for scores in _sums(parts, weights))
+    named = found.drop("gid").join(items, "id").join(names, "qid")
+    keys = ["query_id"] if groups is None else ["query_id", group]
+    place = Window.partitionBy(*keys).orderBy("score", *ITEM)
+    return named.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select(*keys, *ITEM, "score", "rank")
+
+
+def _phrase_postings(places: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Adjacent occurrences (id, dl, pos, term) of the phrases' terms: id, tid, dl, tf."""
     parts = phrases.select("tid", F.size("terms").alias("steps"), F.posexplode("terms").alias("step", "term"))
-    places = tokens.select("id", F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term"))
     met = places.join(parts, "term").groupBy("tid", "id", "dl", "steps", (F.col("pos") - F.col("step")).alias("start"))
     whole = met.agg(F.count(F.lit(1)).alias("found")).filter("found = steps")
     return whole.groupBy("id", "tid", "dl").agg(F.count(F.lit(1)).alias("tf"))
@@ -198,9 +284,17 @@ def hybrid_top_k(chunks: DataFrame, queries: DataFrame, *, candidates: int = 20,
 
 
 def attach_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add text and parent_chunk_id of each hit's chunk and the text of its parent, null if missing."""
-    child = chunks.filter("role = 'child'").select(*ITEM, "text", "parent_chunk_id").distinct()
-    parent = chunks.filter("role = 'parent'").select("doc_id", F.col("chunk_id").alias("parent_chunk_id"), F.col("text").alias("parent_text")).distinct()
+    """Add text and parent_chunk_id of each hit's chunk and the text of its parent, null if missing.
+
+    Only the texts of the hits' chunks, and then of their parents, leave the scan.
+    """
+    hits = materialize(hits, "hits")
+    asked = hits.select(*ITEM).distinct()
+    child = chunks.filter("role = 'child'").select(*ITEM, "text", "parent_chunk_id").join(asked, ITEM, "left_semi").distinct()
+    child = materialize(child, "children")
+    above = child.select("doc_id", "parent_chunk_id").distinct()
+    parent = chunks.filter("role = 'parent'").select("doc_id", F.col("chunk_id").alias("parent_chunk_id"), F.col("text").alias("parent_text"))
+    parent = parent.join(above, ["doc_id", "parent_chunk_id"], "left_semi").distinct()
     return hits.join(child, ITEM, "left").join(parent, ["doc_id", "parent_chunk_id"], "left")
 
 

@@ -65,9 +65,9 @@ def rrf_fuse(spark: SparkSession, folder: str) -> DataFrame:
 
 def collection_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The best hits within each collection; the statistics stay those of all."""
-    scores = bm25_scores(spark, folder).join(collections(spark, folder).select("doc_id", "collection"), "doc_id")
-    window = Window.partitionBy("collection", "query_id").orderBy("score", *search.ITEM)
-    return scores.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= 3).select("collection", "query_id", "rank", *search.ITEM, "score")
+    groups = collections(spark, folder).select("doc_id", "collection")
+    found = search.bm25_top_k(children(spark, folder), questions(spark, folder), 3, groups=groups)
+    return found.select("collection", "query_id", "rank", *search.ITEM, "score")
 
 
 def embedding_signatures(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,8 +84,8 @@ def model_guard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attach_parents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = chunks(spark, folder).filter("role = 'child'").select("doc_id", "chunk_id")
-    found = search.attach_parents(rows, chunks(spark, folder))
+    rows = table(spark, folder, "chunks").filter("role = 'child'").select("doc_id", "chunk_id").distinct()
+    found = search.attach_parents(rows, table(spark, folder, "chunks"))
     return found.select("doc_id", "chunk_id", "parent_chunk_id", F.length("parent_text").alias("parent_chars"))
 
 
@@ -101,7 +101,7 @@ def indexed_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     hits = materialize(_hybrid(spark, folder), "hits")
-    full = search.attach_parents(hits, chunks(spark, folder)).join(collections(spark, folder).select("doc_id", "source_path"), "doc_id", "left")
+    full = search.attach_parents(hits, table(spark, folder, "chunks")).join(collections(spark, folder).select("doc_id", "source_path"), "doc_id", "left")
     return hits, context.pack_context(full, 2000)
 
 
@@ -117,7 +117,7 @@ def quality_label(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rerank(spark: SparkSession, folder: str) -> DataFrame:
-    hits = search.attach_parents(bm25_topk(spark, folder), chunks(spark, folder))
+    hits = search.attach_parents(bm25_topk(spark, folder), table(spark, folder, "chunks"))
     return search.rerank(hits, questions(spark, folder), 3)
 
 
