@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.ordering import at_places
+from siltstone.session import materialize
+
 METRICS = ("hit", "recall", "reciprocal_rank", "ndcg")
 #: Rule strings searched for at once; more are searched in several passes.
 RULES_AT_ONCE = 50_000
@@ -116,28 +119,40 @@ def mode_comparison(summary: DataFrame) -> DataFrame:
 def percentiles(values: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, p50, p95 and max: sorted values at the index fraction * (n - 1), rounded half to even."""
     rows = values.filter(F.col(value).isNotNull()).select(by, value)
-    number = Window.partitionBy(by).orderBy(value)
-    rows = rows.withColumn("i", F.row_number().over(number) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(by)))
-
-    def at(fraction: float):
-        index = F.bround(F.lit(fraction) * (F.col("n") - 1)).cast("int")
-        return F.max(F.when(F.col("i") == index, F.col(value)))
-
-    return rows.groupBy(by).agg(F.round(F.avg(value), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("max"))
+    sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"))
+    sums = materialize(sums, "sums")  # a row per key
+    names = F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("fraction")) for n, f in (("p50", 0.5), ("p95", 0.95))]))
+    places = sums.select(by, "n", names).select(by, "name", F.bround(F.col("fraction") * (F.col("n") - 1)).cast("long").alias("place"))
+    found = at_places(rows, by, value, places).groupBy(by).agg(*[F.max(F.when(F.col("name") == n, F.col(value))).alias(n) for n in ("p50", "p95")])
+    return sums.join(found, by).select(by, "mean", "p50", "p95", "max")
+
+
+def random_indices(n: int, count: int, seed: int) -> np.ndarray:
+    """The first `count` values of random.Random(seed).randrange(n), drawn at once: n below 2^32."""
+    _, words, _ = random.Random(seed).getstate()
+    source = np.random.MT19937()
+    source.state = {"bit_generator": "MT19937", "state": {"key": np.array(words[:-1], np.uint64), "pos": words[-1]}}
+    shift = 32 - n.bit_length()
+    parts, held = [], 0
+    while held < count:
+        drawn = source.random_raw(count - held + 1024) >> np.uint64(shift)
+        parts.append(drawn[drawn < n].astype(np.int64))
+        held += len(parts[-1])
+    return np.concatenate(parts)[:count]
 
 
 def _resample(iterations: int, seed: int, confidence: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("query_id")["value"].to_numpy(float)
-        n = len(v)
-        rng = random.Random(seed)
-        tail = (1.0 - confidence) / 2.0
+        v = pdf.sort_values("query_id")[list(METRICS)].to_numpy(float)
+        n, tail = len(v), (1.0 - confidence) / 2.0
         if n == 1:
             low = high = v[0]
         else:
-            means = sorted(float(np.cumsum(v[[rng.randrange(n) for _ in range(n)]])[-1]) / n for _ in range(iterations))
+            # one matrix of indices serves all metrics
+            drawn = random_indices(n, n * iterations, seed).reshape(iterations, n)
+            means = np.sort(np.stack([np.cumsum(v[row], axis=0)[-1] / n for row in drawn]), axis=0)
             low, high = means[max(0, int(tail * iterations) - 1)], means[min(iterations - 1, int((1.0 - tail) * iterations))]
-        return pd.DataFrame({"mode": [pdf["mode"].iloc[0]], "metric": [pdf["metric"].iloc[0]], "low": [low], "high": [high]})
+        return pd.DataFrame({"mode": pdf["mode"].iloc[0], "metric": list(METRICS), "low": low, "high": high})
 
     return run
 
@@ -145,8 +160,7 @@ def _resample(iterations: int, seed: int, confidence: float):
 def bootstrap_intervals(metrics: DataFrame, *, iterations: int = 1000, seed: int = 20260909, confidence: float = 0.95) -> DataFrame:
     """Percentile bootstrap interval of each mode's means: mode, metric, low, high.
 
-    A group is one score per query of the evaluation set, in order of query_id.
+    A mode's scores, one per query of the evaluation set in order of query_id, are one task's.
     """
-    pairs = ", ".join(f"'{m}', {m}" for m in METRICS)
-    long = metrics.select("mode", "query_id", F.expr(f"stack({len(METRICS)}, {pairs}) AS (metric, value)"))
-    return long.groupBy("mode", "metric").applyInPandas(_resample(iterations, seed, confidence), "mode string, metric string, low double, high double")
+    rows = metrics.select("mode", "query_id", *METRICS)
+    return rows.groupBy("mode").applyInPandas(_resample(iterations, seed, confidence), "mode string, metric string, low double, high double")

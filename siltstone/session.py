@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _made: list[str] = []
+_used: set[str] = set()
 
 
 def build_session(app: str = "siltstone", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,14 +36,25 @@ def build_session(app: str = "siltstone", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+class SharedFolderMissing(RuntimeError):
+    """A cluster whose nodes have no folder in common."""
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a temporary folder is made, set and removed at exit.
+    The cluster names it in spark.checkpoint.dir, or by SparkContext.setCheckpointDir. Only on
+    one machine, as in tests, a temporary folder is made where both are unset; it is set and removed
+    at exit. On a cluster that would be a folder of each node's own, so that is an error.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = own.get() if own.isDefined() else None
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise SharedFolderMissing(f"{CHECKPOINT_KEY} is to name a folder that all nodes of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set(CHECKPOINT_KEY, root)
         _made.append(root[len("file://"):])
@@ -50,7 +62,24 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the application's own part of the shared folder, which goes with the application."""
+    root = f"{scratch_root(spark)}/siltstone-{spark.sparkContext.applicationId}"
+    if root not in _used:
+        _used.add(root)
+        # registered after the session's own, and so run before the session ends
+        atexit.register(release, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession, root: str | None = None) -> None:
+    """Delete what was written to the shared folder so far; tables read from there end with it."""
+    for path in [root] if root else list(_used):
+        _used.discard(path)
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended; a temporary folder is removed below
+            pass
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

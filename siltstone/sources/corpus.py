@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.ordering import first_rows
+
 RULE = "struct<source_contains:string,text_contains:string,external_id:string>"
 QUERY = f"id string, query string, focus string, expect_empty boolean, relevant array<{RULE}>"
 
@@ -50,10 +52,9 @@ def corpus_subset(documents: DataFrame, qrels: DataFrame, max_docs: int | None)
     rows = documents.join(needed.withColumn("kind", F.lit("needed")), "doc_id", "left").withColumn("kind", F.coalesce("kind", F.lit("filler")))
     if max_docs is not None:
         room = max(0, max_docs - needed.count())
-        filler = rows.filter("kind = 'filler'").orderBy("doc_id").limit(room)
-        rows = rows.filter("kind = 'needed'").unionByName(filler)
+        # only ids are put in order
+        filler = first_rows(rows.filter("kind = 'filler'").select("doc_id"), ["doc_id"], room)
+        rows = rows.filter("kind = 'needed'").unionByName(rows.filter("kind = 'filler'").join(filler, "doc_id", "left_semi"))
     rows = rows.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
     held = judged.join(rows.select("doc_id"), "doc_id", "left_semi").select("query_id").distinct()
     return rows, judged.join(held, "query_id", "left_semi")
-
-

@@ -149,3 +149,56 @@ def test_rules_in_several_runs(spark, monkeypatch):
     rules = spark.createDataFrame([("q1", "alpha"), ("q2", "Beta"), ("q3", ""), ("q4", None)], "query_id string, text_contains string")
     assert {tuple(r) for r in evaluation.rule_match(texts, rules).collect()} == {("q1", 1), ("q2", 1), ("q2", 2)}
     assert evaluation.rule_match(texts, rules.limit(0)).count() == 0
+
+
+def test_percentiles_and_places(spark):
+    from siltstone.operators.ordering import first_rows
+
+    rng = random.Random(9)
+    rows = [(k, float(rng.randint(0, 30))) for k in "aab" for _ in range(150)] + [("one", 2.0), ("none", None)]
+    found = {r["k"]: (r["mean"], r["p50"], r["p95"], r["max"]) for r in evaluation.percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    for key in ("a", "b", "one"):
+        v = sorted(x for k, x in rows if k == key)
+        assert found[key] == (round(sum(v) / len(v), 6), v[round(0.5 * (len(v) - 1))], v[round(0.95 * (len(v) - 1))], v[-1])
+    assert "none" not in found
+    ids = list(range(500))
+    rng.shuffle(ids)
+    for n in (0, 1, 123, 500, 900):
+        assert {r["i"] for r in first_rows(spark.createDataFrame([(i,) for i in ids], "i int"), ["i"], n).collect()} == set(range(min(n, 500)))
+
+
+def test_random_indices_are_those_of_randrange():
+    for n in (2, 3, 20, 2970, 2**20):
+        rng = random.Random(20260909)
+        assert evaluation.random_indices(n, 3000, 20260909).tolist() == [rng.randrange(n) for _ in range(3000)]
+
+
+def test_weights_in_several_runs(spark, monkeypatch):
+    """However few rows are broadcast at once, and with or without a bound, the k best are the same."""
+    texts = spark.createDataFrame(corpus(80, 5) + [(500 + i, f"d{i}", "alpha beta") for i in range(9)], "doc_id long, chunk_id string, text string")
+    queries = spark.createDataFrame([("q1", "alpha beta gamma"), ("q2", "zeta"), ("q3", "foo_bar eta theta"), ("q4", "nothing")], "query_id string, query string")
+    columns = ["query_id", "rank", "doc_id", "chunk_id", "score"]
+    one = sorted(tuple(r) for r in search.bm25_top_k(texts, queries, 4).select(*columns).collect())
+    scores = search.bm25_scores(texts, queries)
+    assert one == sorted(tuple(r) for r in search.top_k(scores, 4, best="low").select(*columns).collect())
+    monkeypatch.setattr(search, "BROADCAST", 2)
+    assert one == sorted(tuple(r) for r in search.bm25_top_k(texts, queries, 4).select(*columns).collect())
+
+
+def test_stored_index_gives_the_same_scores(spark, monkeypatch):
+    from siltstone.operators import index
+    from siltstone.session import scratch_path
+
+    texts = spark.createDataFrame(corpus(80, 6), "doc_id long, chunk_id string, text string")
+    queries = spark.createDataFrame([("q1", "alpha beta beta"), ("q2", "foo_bar"), ("q3", "naïve über")], "query_id string, query string")
+    path = scratch_path(spark, "index")
+    index.store(texts, search.ITEM, path)
+    stored = index.TextIndex(spark.read.parquet(f"{path}/items"), spark.read.parquet(f"{path}/postings"))
+    want = sorted(tuple(r) for r in search.bm25_top_k(texts, queries, 5).collect())
+    for most in (1_000, 1):
+        monkeypatch.setattr(index, "NAMED_TERMS", most)
+        assert sorted(tuple(r) for r in search.bm25_top_k(stored, queries, 5).collect()) == want
+    monkeypatch.setattr(index, "NAMED_TERMS", 1_000)
+    read = stored.of_terms(spark.createDataFrame([("alpha",)], "term string"))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "term" in plan.split("PushedFilters")[1].split("]")[0]
