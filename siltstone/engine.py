@@ -1,15 +1,20 @@
 """The engine: an index of files in Parquet tables, and retrieval, context and evaluation on it.
 
-An index lives in one folder. Each write makes a new version of the tables and then puts a
-marker in place; readers use the last version that has one, so that a run that fails half-way
-is never seen. A run that finds nothing to do makes no version.
+An index lives in one folder. Each write adds a segment, the tables and postings of the new and
+changed documents alone, and notes the documents that go; then it puts a marker in place, which
+lists the segments. Readers use the last version that has one, so that a run that fails half-way
+is never seen. A run that finds nothing to do makes no version. Reading leaves out the rows of
+documents that went after their segment; when an index has more than SEGMENTS segments, they are
+merged into one.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterable
 from dataclasses import replace
+from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
@@ -17,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.config import Settings, SettingsError
-from siltstone.functions.vectors import mock_embedding
-from siltstone.operators import chunking, context, evaluation, incremental, search
+from siltstone.operators import chunking, context, evaluation, incremental, index, search
 from siltstone.operators.changes import Folder
-from siltstone.session import materialize
+from siltstone.providers import PROVIDERS, CrossEncoder, Provider
+from siltstone.report import report_markdown, run_environment
+from siltstone.session import SMALL, materialize
 from siltstone.sources import corpus, files
 
 TABLES = {
@@ -30,20 +36,9 @@ TABLES = {
 }
 
 
-class Provider:
-    """Embeds a text column. Subclasses give another expression, such as a pandas UDF that loads
-    its model once per worker."""
-
-    name, model = "mock", "mock-sha256"
-
-    def __init__(self, dimensions: int = 8):
-        self.dimensions = dimensions
-
-    def expression(self, text: str) -> Any:
-        return mock_embedding(F.col(text), self.dimensions)
-
-
-PROVIDERS: dict[str, type[Provider]] = {"mock": Provider}
+ITEMS, POSTINGS = index.stored_schemas({"doc_id": "string", "chunk_id": "string"})
+#: Segments that are read side by side at most, and the bits of an id within a segment.
+SEGMENTS, ID_BITS = 16, 40
 
 
 class ModelMismatch(ValueError):
@@ -51,9 +46,13 @@ class ModelMismatch(ValueError):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, provider: Provider | None = None):
+    def __init__(
+        self, spark: SparkSession, root: str, settings: Settings | None = None, provider: Provider | None = None,
+        registry: files.Registry | None = None, reranker: CrossEncoder | None = None,
+    ):
         self.spark, self.settings = spark, settings or Settings()
         self.folder = Folder(spark, root)
+        self.registry, self.reranker = registry or files.Registry(), reranker
         if provider is None:
             kind = PROVIDERS.get(self.settings.embedding_provider)
             if kind is None:
@@ -64,27 +63,90 @@ class Engine:
     # -- tables
 
     def version(self) -> int:
-        return max([int(n) for n in self.folder.names("versions") if n.isdigit()], default=0)
+        return max(self.folder.numbers("versions"), default=0)
 
-    def table(self, name: str, collection: str | None = None) -> DataFrame:
+    def segments(self) -> list[int]:
+        """The segments of the last version, oldest first."""
         version = self.version()
-        if not version:
-            rows = self.spark.createDataFrame([], TABLES[name])
-        else:
-            rows = self.spark.read.schema(TABLES[name]).parquet(f"{self.folder.root}/data/{version}/{name}")
+        return json.loads(self.folder.body(f"versions/{version}")) if version else []
+
+    def _part(self, name: str, schema: str) -> DataFrame:
+        """The rows of a table in all segments, without those of documents that went later."""
+        root, segments = self.folder.root, self.segments()
+        if not segments:
+            return self.spark.createDataFrame([], schema)
+        rows = gone = None
+        for segment in segments:
+            part = self.spark.read.schema(schema).parquet(f"{root}/data/{segment}/{name}").withColumn("__segment", F.lit(segment))
+            left = self.spark.read.schema("doc_id string").parquet(f"{root}/data/{segment}/gone").select(F.col("doc_id").alias("__gone"), F.lit(segment).alias("__at"))
+            rows, gone = (part, left) if rows is None else (rows.unionByName(part), gone.unionByName(left))
+        if len(segments) > 1:
+            rows = rows.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__segment") < F.col("__at")), "left_anti")
+        return rows.drop("__segment")
+
+    def table(self, name: str, collection: str | None = None) -> DataFrame:
+        rows = self._part(name, TABLES[name])
         if collection is not None:
             own = self.table("documents").filter(F.col("collection") == collection)
             rows = rows.filter(F.col("collection") == collection) if name == "documents" else rows.join(own.select("doc_id"), "doc_id", "left_semi")
         return rows
 
-    def _write(self, tables: dict[str, DataFrame]) -> None:
+    def text_index(self) -> index.TextIndex:
+        """The stored postings; those of documents that went are met by no item."""
+        root = self.folder.root
+        paths = [f"{root}/data/{segment}/text/postings" for segment in self.segments()]
+        items = self._part("text/items", ITEMS)
+        if not paths:
+            return index.TextIndex(items, self.spark.createDataFrame([], POSTINGS))
+        rows = None
+        for path in paths:
+            part = self.spark.read.schema(POSTINGS).parquet(path)
+            rows = part if rows is None else rows.unionByName(part)
+        live = len(paths) == 1
+        return index.TextIndex(items, rows if live else rows.join(items.select("id"), "id", "left_semi"))
+
+    def _write(self, tables: dict[str, DataFrame], gone: DataFrame | None = None, merge: bool = False) -> None:
+        """Add a segment of the rows given, from which on the documents in `gone` (doc_id) are others;
+        with `merge` it takes the place of all segments."""
         version = self.version() + 1
+        base = f"{self.folder.root}/data/{version}"
         for name, ddl in TABLES.items():
             columns = [c.split(" ")[0] for c in ddl.split(", ")]
-            tables[name].select(*columns).write.mode("overwrite").parquet(f"{self.folder.root}/data/{version}/{name}")
-        if not self.folder.write(f"versions/{version}", ""):
+            rows = tables[name].select(*columns) if name in tables else self.spark.createDataFrame([], ddl)
+            rows.write.mode("overwrite").parquet(f"{base}/{name}")
+        gone = self.spark.createDataFrame([], "doc_id string") if gone is None else gone.select("doc_id")
+        gone.write.mode("overwrite").parquet(f"{base}/gone")
+        children = self.spark.read.schema(TABLES["chunks"]).parquet(f"{base}/chunks").filter("role = 'child' AND text IS NOT NULL")
+        index.store(children.select("doc_id", "chunk_id", "text"), ["doc_id", "chunk_id"], f"{base}/text", version << ID_BITS)
+        segments = [version] if merge else [*self.segments(), version]
+        if not self.folder.write(f"versions/{version}", json.dumps(segments)):
             raise RuntimeError(f"version {version} was written by another run")
 
+    def merge(self) -> None:
+        """Merge all segments into one."""
+        self._write({name: self.table(name) for name in TABLES}, merge=True)
+
+    # -- lookups by key
+
+    def get_document(self, source_path: str) -> dict[str, Any] | None:
+        """The document of a path."""
+        row = self.table("documents").filter(F.col("source_path") == source_path).first()
+        return row.asDict() if row else None
+
+    def get_chunk(self, doc_id: str, chunk_id: str) -> dict[str, Any] | None:
+        row = self.table("chunks").filter((F.col("doc_id") == doc_id) & (F.col("chunk_id") == chunk_id)).first()
+        return row.asDict() if row else None
+
+    def get_parent(self, doc_id: str, chunk_id: str) -> dict[str, Any] | None:
+        """The parent of a child chunk; None without one."""
+        child = self.get_chunk(doc_id, chunk_id)
+        return self.get_chunk(doc_id, child["parent_chunk_id"]) if child and child["parent_chunk_id"] else None
+
+    def get_document_text(self, doc_id: str) -> str | None:
+        """The texts of a document's child chunks in order; None if it has none."""
+        row = self.document_text(doc_id).first()
+        return row["text"] if row else None
+
     # -- indexing
 
     def index(self, path: str | Path, collection: str | None = None, extra: DataFrame | None = None, **walk: Any) -> tuple[dict[str, Any], DataFrame]:
@@ -100,11 +162,11 @@ class Engine:
         stored = self.table("documents")
         status = materialize(incremental.change_status(files.metadata(source), stored.select("source_path", "content_hash")), "status")
         fresh = status.filter("status <> 'skipped'")
-        parsed = materialize(files.parse(source.join(fresh.select(F.col("source_path").alias("path")), "path", "left_semi")), "parsed")
+        parsed = materialize(files.parse(source.join(fresh.select(F.col("source_path").alias("path")), "path", "left_semi"), registry=self.registry), "parsed")
         good = parsed.filter("error IS NULL").select(F.col("path").alias("source_path"), F.col("doc_type").alias("kind"), "language", "encoding", "raw_text", "extra_json", "blocks")
         if extra is not None:
             added = extra.select(F.col("path").alias("source_path"), F.to_json(F.struct("external_id")).alias("added"))
-            good = good.join(added, "source_path", "left").withColumn("extra_json", F.coalesce("added", "extra_json"))
+            good = good.join(added, "source_path", "left").withColumn("extra_json", incremental.merged_json("extra_json", "added"))
         documents = fresh.join(good, "source_path").withColumns({
             "doc_type": F.coalesce("kind", "doc_type"), "collection": F.lit(collection or self.settings.collection), "indexed_at": F.current_timestamp(),
         })
@@ -122,10 +184,10 @@ class Engine:
             "provider": F.lit(self.provider.name), "embedded_at": F.current_timestamp(),
         })
         if not documents.isEmpty():
-            gone = documents.select("doc_id")
-            kept = incremental.delete_cascade({n: self.table(n) for n in TABLES}, gone)
-            fresh_tables = {"documents": documents, "chunks": chunks, "embeddings": embeddings}
-            self._write({n: kept[n].select(*[c.split(" ")[0] for c in TABLES[n].split(", ")]).unionByName(fresh_tables[n].select(*[c.split(" ")[0] for c in TABLES[n].split(", ")])) for n in TABLES})
+            # documents of the same path are replaced; segments before are left as they are
+            self._write({"documents": documents, "chunks": chunks, "embeddings": embeddings}, documents.select("doc_id"))
+            if len(self.segments()) > SEGMENTS:
+                self.merge()
         counts = self.table("chunks").groupBy("doc_id").agg(F.count_if(F.col("role") == "child").alias("children"), F.count_if(F.col("role") == "parent").alias("parents"))
         results = status.select(F.col("source_path").alias("path"), "doc_id", "status").join(parsed.select("path", "error"), "path", "left")
         results = results.withColumn("status", F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("status"))).join(counts, "doc_id", "left")
@@ -134,15 +196,16 @@ class Engine:
         return summary | {"files": len(found), "truncated": cut}, results
 
     def delete(self, doc_ids: Iterable[str]) -> None:
-        gone = self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string")
-        self._write(incremental.delete_cascade({n: self.table(n) for n in TABLES}, gone))
+        self._write({}, self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string"))
 
     def signatures(self, collection: str | None = None) -> DataFrame:
         """Distinct provider, model, dimensions of a collection."""
         return self.table("embeddings", collection or self.settings.collection).select("provider", "model", "dimensions").distinct()
 
-    def document_text(self) -> DataFrame:
+    def document_text(self, doc_id: str | None = None) -> DataFrame:
         rows = self.table("chunks").filter("role = 'child'")
+        if doc_id is not None:
+            rows = rows.filter(F.col("doc_id") == doc_id)
         return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda p: p["text"]), "\n").alias("text"))
 
     # -- retrieval
@@ -167,7 +230,7 @@ class Engine:
         if s.mode != "vector":
             depth = pool if s.mode == "bm25" else max(candidate_k, pool if rerank else candidate_k)
             # lengths and frequencies are those of all collections; the hits are one collection's
-            lexical = search.bm25_top_k(chunks.filter("role = 'child'").select("doc_id", "chunk_id", "text"), asked, depth, own)
+            lexical = search.bm25_top_k(self.text_index(), asked, depth, own)
         if s.mode != "bm25":
             self.check_model(collection)
             depth = pool if s.mode == "vector" else max(candidate_k, pool if rerank else candidate_k)
@@ -183,7 +246,8 @@ class Engine:
             hits = dense if s.mode == "vector" else lexical
         full = search.attach_parents(hits, chunks)
         if rerank:
-            full = search.attach_parents(search.rerank(full, asked, top_k), chunks)
+            scorer = self.reranker.expression("query", "passage") if self.reranker else None
+            full = search.attach_parents(search.rerank(full, asked, top_k, scorer), chunks)
         columns = ["query_id", "rank", "doc_id", "chunk_id", "score", "text", "parent_chunk_id", "parent_text", "source_path"]
         return full.join(own, "doc_id", "left").select(*columns)
 
@@ -225,33 +289,78 @@ class Engine:
         with_text = with_text.filter("coalesce(source_contains, '') = '' OR contains(lower(source_path), lower(source_contains))").select("query_id", "doc_id")
         # rules on the path alone: the judged queries are a small stated set
         paths = rules.filter("external_id IS NULL AND coalesce(text_contains, '') = ''")
-        by_path = known.join(paths, F.expr("contains(lower(source_path), lower(coalesce(source_contains, '')))")).select("query_id", "doc_id")
+        by_path = known.join(F.broadcast(paths) if paths.count() <= SMALL else paths, F.expr("contains(lower(source_path), lower(coalesce(source_contains, '')))")).select("query_id", "doc_id")
         relevant = materialize(by_id.unionByName(with_text).unionByName(by_path).join(known, "doc_id").select("query_id", F.col("key").alias("doc_id")).distinct(), "relevant")
         gold = asked.select("query_id", F.when(F.col("expect_empty"), 0).otherwise(F.greatest(F.lit(1), F.size("relevant"))).alias("gold_count"))
         pool = max(top_k * multiplier, top_k)
+        ranked = self._channels(asked, list(modes), pool, collection, rerank)
         out = None
-        for mode in modes:
-            hits = self.retrieve(asked, mode=mode, top_k=pool, candidate_k=max(self.settings.candidate_k, pool), collection=collection, rerank=rerank, rerank_top_n=pool)
+        for mode, hits in ranked.items():
             hits = hits.join(known.select("doc_id", "key"), "doc_id").select("query_id", "rank", F.col("key").alias("doc_id"))
             part = evaluation.query_metrics(evaluation.collapse_documents(hits, relevant, top_k), gold, top_k).withColumn("mode", F.lit(mode))
             out = part if out is None else out.unionByName(part)
         metrics = materialize(out, "metrics")
         return metrics, evaluation.mode_summary(metrics)
 
-    def report(self, metrics: DataFrame, path: str | Path) -> dict[str, Any]:
-        """Write means, intervals and comparison as JSON, and a Markdown table beside it."""
+    def _channels(self, asked: DataFrame, modes: list[str], pool: int, collection: str | None, rerank: bool) -> dict[str, DataFrame]:
+        """The pool of every mode; without reranking the dense and lexical pools are made once and fused."""
+        depth = max(self.settings.candidate_k, pool)
+        how = {"candidate_k": depth, "collection": collection, "rerank": rerank, "rerank_top_n": pool}
+        single = [m for m in modes if m != "hybrid"]
+        if rerank or "hybrid" not in modes or len(single) < 2:
+            return {mode: self.retrieve(asked, mode=mode, top_k=pool, **how) for mode in modes}
+        columns = ["query_id", "rank", "doc_id", "chunk_id", "score"]
+        hits = {m: materialize(self.retrieve(asked, mode=m, top_k=depth, **how).select(*columns), m) for m in ("vector", "bm25")}
+        answered = hits["bm25"].select("query_id").distinct()
+        fused = search.rrf_fuse(hits["vector"], hits["bm25"], rrf_k=self.settings.rrf_k, k=pool).join(answered, "query_id", "left_semi")
+        hits["hybrid"] = fused.select(*columns).unionByName(hits["vector"].join(answered, "query_id", "left_anti").select(*columns))
+        return {m: hits[m].filter(F.col("rank") <= pool) for m in modes}
+
+    def report(self, metrics: DataFrame, path: str | Path, *, suite: str = "judged", top_k: int = 5, latency: DataFrame | None = None, run: dict[str, Any] | None = None, dataset: dict[str, Any] | None = None) -> dict[str, Any]:
+        """Write means, intervals, latencies, comparison and the run's circumstances as JSON, and as a
+        Markdown file beside it. `latency` has mode, mean, p50, p95 and max in milliseconds."""
         means = {r["mode"]: {k: r[k] for k in ("queries", "hit_at_k", "recall_at_k", "mrr", "ndcg_at_k")} for r in evaluation.mode_summary(metrics).collect()}
+        named = dict(zip(evaluation.METRICS, ("hit_at_k", "recall_at_k", "mrr", "ndcg_at_k"), strict=True))
         for r in evaluation.bootstrap_intervals(metrics).collect():
-            means[r["mode"]].setdefault("confidence_intervals", {})[r["metric"]] = {"low": r["low"], "high": r["high"]}
+            means[r["mode"]].setdefault("confidence_intervals", {})[named[r["metric"]]] = {"low": r["low"], "high": r["high"]}
+        for r in latency.collect() if latency is not None else []:
+            means[r["mode"]]["latency_ms"] = {f"{k}_ms": r[k] for k in ("mean", "p50", "p95", "max")}
         compared = evaluation.mode_comparison(evaluation.mode_summary(metrics)).first().asDict()
-        payload = {"modes": means, "comparison": compared, "provenance": {"spark": self.spark.version, "model": self.provider.model}}
+        s = self.settings
+        retrieval = {"provider": self.provider.name, "embedding_model": self.provider.model, "candidate_k": s.candidate_k, "rrf_k": s.rrf_k}
+        payload: dict[str, Any] = {
+            "suite": suite, "provider": self.provider.name, "top_k": top_k, "doc_count": self.table("documents").count(),
+            "query_count": metrics.select("query_id").distinct().count(), "rerank": s.rerank_enabled, "modes": means, "comparison": compared,
+            "run": {"environment": run_environment(self.spark), "retrieval": retrieval} | (run or {}),
+        }
+        if dataset:
+            payload["dataset"] = dataset
         path = Path(path)
+        path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(json.dumps(payload, indent=2), encoding="utf-8")
-        lines = ["| mode | hit | recall | MRR | nDCG |", "| --- | --- | --- | --- | --- |"]
-        lines += [f"| {m} | {v['hit_at_k']:.3f} | {v['recall_at_k']:.3f} | {v['mrr']:.3f} | {v['ndcg_at_k']:.3f} |" for m, v in sorted(means.items())]
-        path.with_suffix(".md").write_text("\n".join(lines) + "\n", encoding="utf-8")
+        path.with_suffix(".md").write_text(report_markdown(payload), encoding="utf-8")
         return payload
 
+    def suite(self, folder: str | Path, qrels: DataFrame, report: str | Path, *, name: str = "judged", dataset: dict[str, Any] | None = None, extra: DataFrame | None = None, top_k: int = 5) -> dict[str, Any]:
+        """Index a folder, score the modes on judged queries, measure each mode's time a query, and report.
+
+        A batch is one plan, so that a query's latency is its share of the batch's time.
+        """
+        began, started = time.perf_counter(), datetime.now(UTC).isoformat(timespec="seconds")
+        self.index(folder, extra=extra)
+        indexed = time.perf_counter() - began
+        metrics, _ = self.evaluate(qrels, top_k=top_k)
+        asked = qrels.select(F.col("id").alias("query_id"), "query")
+        number = max(1, asked.count())
+        rows = []
+        for mode in ("vector", "bm25", "hybrid"):
+            at = time.perf_counter()
+            self.retrieve(asked, mode=mode, top_k=top_k).write.format("noop").mode("overwrite").save()
+            rows.append((mode, *[1000 * (time.perf_counter() - at) / number] * 4))
+        latency = self.spark.createDataFrame(rows, "mode string, mean double, p50 double, p95 double, max double")
+        run = {"index_seconds": round(indexed, 2), "total_seconds": round(time.perf_counter() - began, 2), "started_at": started}
+        return self.report(metrics, report, suite=name, top_k=top_k, latency=latency, run=run, dataset=dataset)
+
 
 def load_qrels(spark: SparkSession, path: str) -> DataFrame:
     return corpus.load_qrels(spark, path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,25 @@ def delete_cascade(tables: dict[str, DataFrame], doc_ids: DataFrame) -> dict[str
     return {name: rows.join(gone, "doc_id", "left_anti") for name, rows in tables.items()}
 
 
+def _known(text: str | None) -> dict:
+    try:
+        value = json.loads(text) if text else {}
+    except ValueError:
+        return {}
+    return value if isinstance(value, dict) else {}
+
+
+def merged_json(first: str, second: str) -> Column:
+    """The union of two JSON objects, the second one's values holding; other JSON counts as empty.
+    Where the second is null or blank, the first stays as it is."""
+
+    @F.pandas_udf("string")
+    def union(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(_known(a) | _known(b), ensure_ascii=False) for a, b in zip(one, two, strict=True)])
+
+    return F.when(F.coalesce(second, F.lit("")) == "", F.col(first)).otherwise(union(F.col(first), F.col(second)))
+
+
 def embed_distinct(texts: DataFrame, embed: Column, keys: list[str], cache: DataFrame | None = None) -> DataFrame:
     """Embed (keys, text) once per distinct text: keys, text_hash, vector.
 

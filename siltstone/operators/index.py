@@ -80,12 +80,12 @@ class TextIndex:
 
 
 def store(texts: DataFrame, keys: list[str], path: str, first_id: int = 0) -> None:
-    """Write the index of texts (keys, text) below `path`; ids begin at `first_id` and have 40 bits."""
+    """Write the index of texts (keys, text) below `path`; ids begin at `first_id` and have 40 bits: 14 of
+    the task, of which there are so many at most, and 26 of its row."""
     spark = texts.sparkSession
-    ids = F.monotonically_increasing_id()
-    # the task's number and the row's, of 33 bits, closer together
-    ids = (F.shiftrightunsigned(ids, 33) * F.lit(1 << 24) + ids.bitwiseAND(F.lit((1 << 24) - 1)) + F.lit(first_id)).alias("id")
-    tokenized(texts, keys).select(ids, *keys, "terms").write.mode("overwrite").parquet(f"{path}/tokens")
+    row = F.monotonically_increasing_id()
+    ids = (F.shiftrightunsigned(row, 33) * F.lit(1 << 26) + row.bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(first_id)).alias("id")
+    tokenized(texts.coalesce(1 << 14), keys).select(ids, *keys, "terms").write.mode("overwrite").parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
     tokens.select("id", *keys, F.size("terms").alias("dl")).write.mode("overwrite").parquet(f"{path}/items")
     rows = postings(tokens, ["id"], positions=True).withColumn("bucket", bucket(F.col("term")))

@@ -8,9 +8,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import providers, report
 from siltstone.config import Settings, SettingsError, load_settings
 from siltstone.engine import Engine, ModelMismatch, Provider, load_qrels
-from siltstone.operators import chunking
+from siltstone.operators import chunking, incremental
 from siltstone.plans.documents import ELEMENTS, SAMPLES
 from siltstone.service import Refused, allowed_path, answer, authorized
 from siltstone.session import scratch_path
@@ -267,3 +268,126 @@ def test_extracted_text_gives_blocks(spark):
     assert all([b["text"] for b in got[n]["blocks"]] == ["", "One.", "Two."] for n in ("a.pdf", "b.docx", "c.pptx", "d.json", "e.txt", "f"))
     assert [n for n in sorted(got) if got[n]["error"]] == ["a.pdf", "b.docx", "c.pptx", "d.json", "f"] and got["g.csv"]["blocks"]
     assert all(not r["blocks"] for r in files.parse(rows).collect() if r["error"])
+
+
+def test_script_symbols():
+    source = """// head {
+import x from "y";
+export async function load(a, b = {c: 1}) { return `t${a} {`; }
+class Greeter extends Base {
+  count = 0;
+  static async greet(name) { if (name) { return "}"; } }
+}
+const twice = (x) => x * 2;
+items.map(v => { return /[{]/.test(v); });
+"""
+    parsed = code.parse_code(source, ".js")
+    got = {(m["qualified_name"], m["symbol_kind"]): b for b in parsed.blocks if "qualified_name" in (m := json.loads(b["metadata"]))}
+    assert set(got) == {
+        ("load", "function_declaration"), ("Greeter", "class_declaration"), ("Greeter.greet", "method_definition"), ("twice", "arrow_function"), ("anonymous", "arrow_function"),
+    }
+    assert got["Greeter", "class_declaration"]["block_type"] == "code_container" and got["Greeter", "class_declaration"]["text"] == "class Greeter extends Base {"
+    assert got["Greeter.greet", "method_definition"]["text"] == 'static async greet(name) { if (name) { return "}"; } }'
+    assert got["twice", "arrow_function"]["text"] == "(x) => x * 2" and got["load", "function_declaration"]["location"]["start_line"] == 3
+    assert "count = 0;" in [b["text"] for b in parsed.blocks if b["block_type"] == "code_block"]
+    types = code.parse_code("interface Shape<T> { area(): number; }\ntype Id =\n  | string\n  | number;\nfunction f<T>(x: T): Promise<T> { return x; }\n", ".ts")
+    assert [json.loads(b["metadata"])["symbol_name"] for b in types.blocks[1:]] == ["Shape", "Id", "f"]
+    assert code.parse_code("x = 1;\n", ".js").blocks[1]["block_id"] == "win_0"
+    for broken in ("function f(", "class A {", "}}}", "`", "type T =", "a =>", "/*", "=> {"):
+        code.parse_code(broken, ".tsx")
+
+
+def test_registry(spark):
+    def shout(path, content):
+        out = files.Parsed("shout", [])
+        out.blocks.append({"block_seq": 0, "block_id": "b", "block_type": "paragraph", "text": content.decode().upper(), "parent_block_id": None, "ord": 0, "hierarchy_path": ["b"], "location": None, "metadata": "{}"})
+        return out
+
+    registry = files.Registry()
+    registry.add(files.Custom("shout", (".txt", ".loud"), ("text/loud",), shout), prepend=True)
+    with pytest.raises(ValueError):
+        registry.add(files.Custom("shout", (), (), shout))
+    rows = spark.createDataFrame([("a.txt", b"x", None), ("b.loud", b"y", None), ("c", b"z", "text/loud"), ("d.md", b"w", None), ("e", b"# t", "text/markdown"), ("f", b"", None)], "path string, content binary, mime_type string")
+    got = {r["path"]: r for r in files.parse(rows, registry=registry).collect()}
+    assert [got[n]["blocks"][0]["text"] for n in ("a.txt", "b.loud", "c", "d.md", "e")] == ["X", "Y", "Z", "w", "t"] and got["f"]["error"]
+    last = files.Registry()
+    last.add(files.Custom("shout", (".txt", ".loud"), (), shout))
+    assert [r[0] for r in rows.select(last.route(F.col("path"))).take(2)] == ["text", "shout"]
+
+
+def test_merged_metadata(spark):
+    rows = spark.createDataFrame([('{"title": "T", "n": 1}', '{"external_id": "7", "n": {"a": [2]}}'), ('{"a": 1}', None), (None, '{"b": 2}'), ("broken", '{"b": 2}')], "one string, two string")
+    found = [r[0] for r in rows.select(incremental.merged_json("one", "two")).collect()]
+    assert [json.loads(t) for t in found] == [{"title": "T", "external_id": "7", "n": {"a": [2]}}, {"a": 1}, {"b": 2}, {"b": 2}]
+
+
+def test_providers_without_their_packages(spark, monkeypatch):
+    for name in ("local", "openai"):
+        monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+        with pytest.raises(SettingsError):
+            providers.PROVIDERS[name](8)
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    remote = providers.RemoteProvider(4)
+    assert remote.request(["a"])["dimensions"] == 4 and "dimensions" not in providers.RemoteProvider(4, "text-embedding-ada-002").request(["a"])
+    rows = spark.createDataFrame([("ab",), (None,), ("c",)], "t string")
+    length = providers._vectors(lambda: lambda texts: [[len(t), 1.0] for t in texts], 2)
+    assert [r[0] for r in rows.select(length("t")).collect()] == [[2.0, 1.0], None, [1.0, 1.0]]
+    with pytest.raises(Exception, match="3 are set"):
+        rows.select(providers._vectors(lambda: lambda texts: [[0.0, 1.0]] * len(texts), 3)("t")).collect()
+    pairs = spark.createDataFrame([("a", "aa"), ("b", None)], "q string, p string")
+    scorer = providers.CrossEncoder("m", lambda: lambda both: [float(len(p)) for _, p in both])
+    assert [r[0] for r in pairs.select(scorer.expression("q", "p")).collect()] == [2.0, 0.0]
+
+
+def test_report_page():
+    mode = {"hit_at_k": 0.8333, "ndcg_at_k": 0.675, "recall_at_k": 0.814, "mrr": 0.64, "confidence_intervals": {"hit_at_k": {"low": 0.79, "high": 0.87}}, "latency_ms": {"p50_ms": 41.2, "p95_ms": 88.9}}
+    payload = {
+        "suite": "s", "modes": {"bm25": mode}, "comparison": {"hybrid_minus_bm25_hit": -0.02}, "dataset": {"dataset_id": "d/test", "fingerprint": "f0", "subset": False},
+        "run": {"environment": {"git_commit": "abc1234", "packages": {"numpy": "1"}}, "retrieval": {"embedding_model": "all-x"}, "index_seconds": 1.5},
+    }
+    page = report.report_markdown(payload)
+    for part in ("0.833 [0.790, 0.870]", "| 41.2 | 88.9 |", "per document", "bootstrap", "abc1234", "all-x", "d/test (full)", "-0.020", "numpy: 1"):
+        assert part in page
+    payload["dataset"]["subset"] = True
+    assert "(subset)" in report.report_markdown(payload)
+    assert "| bm25 | 1.000 |" in report.report_markdown({"modes": {"bm25": {"hit_at_k": 1.0}}})
+
+
+def test_engine_adds_segments(spark, tmp_path, monkeypatch):
+    """A change writes its own documents only; merging changes no result."""
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for i in range(4):
+        (folder / f"f{i}.txt").write_text(f"Document number{i} about shared words.\n")
+    engine = Engine(spark, scratch_path(spark, "index"))
+    engine.index(folder)
+    (folder / "f1.txt").write_text("Replaced: turbines and shared words.\n")
+    extra = spark.createDataFrame([(str(folder / "f1.txt"), "x1")], "path string, external_id string")
+    engine.index(folder, extra=extra)
+    assert engine.segments() == [1, 2]
+    own = spark.read.parquet(f"{engine.folder.root}/data/2/documents")
+    assert own.count() == 1 and json.loads(own.first()["extra_json"])["external_id"] == "x1"
+
+    def results():
+        hits = engine.retrieve(["turbines", "number1", "shared words"], mode="bm25", top_k=9)
+        return sorted(tuple(r) for r in hits.select("query_id", "rank", "text", "score", "parent_text", "source_path").collect())
+
+    before = results()
+    assert not any("number1" in r[2] for r in before) and sum(r[0] == "q000000" for r in before) == 1
+    engine.merge()
+    assert engine.segments() == [3] and results() == before and engine.table("documents").count() == 4
+    path = str(folder / "f1.txt")
+    found = engine.get_document(path)
+    text = engine.get_document_text(found["doc_id"])
+    chunk = engine.table("chunks").filter((F.col("doc_id") == found["doc_id"]) & (F.col("role") == "child")).first()
+    assert "turbines" in text and engine.get_document("no") is None and engine.get_document_text("no") is None
+    assert engine.get_chunk(found["doc_id"], chunk["chunk_id"])["text"] in text and engine.get_parent(found["doc_id"], chunk["chunk_id"])["role"] == "parent"
+    engine.delete([found["doc_id"]])
+    assert engine.table("documents").count() == 3 and not any("turbines" in r[2] for r in results())
+    monkeypatch.setattr("siltstone.engine.SEGMENTS", 1)
+    (folder / "f2.txt").write_text("Changed again.\n")
+    engine.index(folder)
+    assert len(engine.segments()) == 1
+    qrels = spark.createDataFrame([("1", "changed again", False, [(None, "changed", None)])], f"id string, query string, expect_empty boolean, relevant array<{corpus.RULE}>")
+    made = engine.suite(folder, qrels, tmp_path / "out" / "r.json")
+    assert made["modes"]["bm25"]["hit_at_k"] == 1.0 and made["run"]["index_seconds"] > 0 and "p50 ms" in (tmp_path / "out" / "r.md").read_text()
