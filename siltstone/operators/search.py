@@ -7,15 +7,17 @@ that no result depends on the order in which partial sums are added.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.index import TextIndex, parsed_queries, tokenized
-from siltstone.session import materialize, small
+from siltstone.session import materialize
 
 ITEM = ["doc_id", "chunk_id"]
 #: Constants of the BM25 formula: k1 = 1.2 and b = 0.75, and the least weight of a term.
@@ -32,89 +34,171 @@ def top_k(scores: DataFrame, k: int, *, best: str = "high", keys: list[str] | No
 # -- BM25
 #
 # Scores come from the postings of the queries' terms alone, be they stored or made of the texts
-# on the way. The weights of the queries' terms are broadcast in runs of a bounded size, so that
-# postings of a frequent term never meet in one task: the postings stay partitioned by item, where
-# the sums are made. A query's k-th best score is at least the k-th best that one of its terms
-# gives alone; sums below that are dropped before anything is sorted.
+# on the way. Queries and terms are 64-bit hashes on the way. The weights of the queries' terms are
+# broadcast in runs of a bounded size, so that postings of a frequent term never meet in one task:
+# the postings stay partitioned by item, where the sums are made. A query's k-th best score is at
+# least what the k-th best posting of one of its terms gives alone, which is known to a bin from
+# counts; sums below that are dropped before anything is sorted.
 
 #: Rows (terms of the queries, or their weights in a query) that are broadcast at once.
 BROADCAST = 200_000
+#: Bins that a posting's part of a score, from 0 to 1 + K1, is counted in.
+BINS = 64
 
 
-def _terms(queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """asked (qid, tid, qtf), kinds (tid, terms) and names (qid, query_id) of a batch of queries."""
-    parsed = materialize(parsed_queries(queries), "asked")
-    number = F.monotonically_increasing_id()
-    names = materialize(parsed.select("query_id").distinct().withColumn("qid", number), "names")
-    kinds = materialize(parsed.select("terms").distinct().withColumn("tid", number), "kinds")
-    return materialize(parsed.join(kinds, "terms").join(names, "query_id").select("qid", "tid", "qtf"), "asked"), kinds, names
+@dataclass(frozen=True)
+class _Asked:
+    """A batch of queries: rows (qid, query_id, tid, terms, qtf), and how many kinds of terms it has."""
 
+    rows: DataFrame
+    weights: int
+    kinds: int
+    phrases: bool
 
-def _in_runs(table: DataFrame, key: str) -> Iterator[DataFrame]:
-    """A written table in runs of about BROADCAST rows, marked for broadcast."""
-    runs = max(1, -(-table.count() // BROADCAST))
+    def singles(self) -> Iterator[DataFrame]:
+        """(term, tid) of the terms asked for by themselves, in runs."""
+        rows = self.rows.filter(F.size("terms") == 1).select(F.col("terms")[0].alias("term"), "tid").distinct()
+        yield from _in_runs(rows, self.kinds, "tid")
+
+
+def _in_runs(table: DataFrame, rows: int, key: str) -> Iterator[DataFrame]:
+    """A table in runs of about BROADCAST rows, marked for broadcast."""
+    runs = max(1, -(-rows // BROADCAST))
     for run in range(runs):
         yield F.broadcast(table if runs == 1 else table.filter(F.pmod(F.xxhash64(key), F.lit(runs)) == run))
 
 
-def _known(rows: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Rows of a term that the queries ask for by itself, with its number."""
-    singles = materialize(kinds.filter(F.size("terms") == 1).select(F.col("terms")[0].alias("term"), "tid"), "singles")
-    return _union(rows.join(run, "term") for run in _in_runs(singles, "term"))
+def _terms(queries: DataFrame) -> _Asked:
+    parsed = parsed_queries(queries).select(F.xxhash64("query_id").alias("qid"), "query_id", F.xxhash64("terms").alias("tid"), "terms", "qtf")
+    rows = materialize(parsed, "asked")
+    about = rows.agg(F.count(F.lit(1)), F.count_distinct("tid"), F.max(F.size("terms"))).first()
+    return _Asked(rows, about[0], about[1], (about[2] or 0) > 1)
 
 
-def _from_texts(chunks: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _from_texts(chunks: DataFrame, asked: _Asked) -> tuple[DataFrame, DataFrame]:
     """(id, items, dl) of the texts and (id, tid, dl, tf) of the terms."""
     numbered = chunks.select(F.monotonically_increasing_id().alias("id"), *ITEM, "text")
     tokens = materialize(tokenized(numbered, ["id", *ITEM]), "tokens")
     rows = tokens.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     # a task has all rows of an item, so that they are counted before they are shuffled
-    held = _known(rows, kinds).groupBy("id", "tid", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    phrases = kinds.filter(F.size("terms") > 1)
-    if not phrases.isEmpty():
-        held = held.unionByName(_phrase_postings(tokens.select("id", F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term")), phrases))
+    held = _union(rows.join(run, "term") for run in asked.singles()).groupBy("id", "tid", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    if asked.phrases:
+        held = held.unionByName(_phrase_postings(tokens.select("id", F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term")), asked))
     return tokens.select("id", *ITEM, F.size("terms").alias("dl")), held
 
 
-def _from_index(index: TextIndex, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _from_index(index: TextIndex, asked: _Asked) -> tuple[DataFrame, DataFrame]:
     """The same from a stored index, of which only the terms' postings are read."""
-    rows = index.of_terms(kinds.select(F.explode("terms").alias("term")))
-    held = _known(rows, kinds).select("id", "tid", "dl", F.col("tf").cast("long").alias("tf"))
-    phrases = kinds.filter(F.size("terms") > 1)
-    if not phrases.isEmpty():
-        held = held.unionByName(_phrase_postings(rows.select("id", "dl", "term", F.explode("positions").alias("pos")), phrases))
+    rows = index.of_terms(asked.rows.select(F.explode("terms").alias("term")))
+    held = _union(rows.join(run, "term") for run in asked.singles()).select("id", "tid", "dl", F.col("tf").cast("long").alias("tf"))
+    if asked.phrases:
+        held = held.unionByName(_phrase_postings(rows.select("id", "dl", "term", F.explode("positions").alias("pos")), asked))
     return index.items, held
 
 
-def _weighted(source: DataFrame | TextIndex, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """parts (id, tid, part: tf and length of a posting in the formula), weights (qid, tid, weight),
-    items and names."""
-    asked, kinds, names = _terms(queries)
-    items, held = _from_index(source, kinds) if isinstance(source, TextIndex) else _from_texts(source, kinds)
+def _weighted(source: DataFrame | TextIndex, asked: _Asked, k: int | None = None, own: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """parts (id, tid, part: tf and length of a posting in the formula), weights (qid, tid, weight, and
+    least: what the query's k-th best score is at least, null if not known), and items.
+
+    `own` leaves of the items those that may be found; statistics are those of all.
+    """
+    items, held = _from_index(source, asked) if isinstance(source, TextIndex) else _from_texts(source, asked)
     stats = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl")).first()
     n, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"] or 1.0)
     length = K1 * ((1 - B) + B * F.col("dl") / avgdl)
-    parts = held.select("id", "tid", (F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("part"))
-    parts = materialize(parts, "parts")
-    frequency = parts.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
+    parts = materialize(held.select("id", "tid", (F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("part")), "parts")
+    bins = parts.groupBy("tid", F.floor(F.col("part") * (BINS / (1 + K1))).alias("bin")).agg(F.count(F.lit(1)).alias("df"))
+    frequency = bins.groupBy("tid").agg(F.sum("df").alias("df"))
+    if own is not None:
+        items = own(items)
+        parts = materialize(parts.join(items.select("id"), "id", "left_semi"), "parts")
+        bins = parts.groupBy("tid", F.floor(F.col("part") * (BINS / (1 + K1))).alias("bin")).agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(frequency, "tid").select("qid", "tid", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("qtf")).alias("weight"))
-    return parts, materialize(weights, "weights"), items, names
-
+    rows = asked.rows.join(frequency, "tid").select("qid", "tid", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("qtf")).alias("weight"))
+    if k is None:
+        return parts, rows.withColumn("least", F.lit(None).cast("double")), items
+    above = F.sum("df").over(Window.partitionBy("tid").orderBy(F.desc("bin")))
+    kth = bins.withColumn("above", above).filter(F.col("above") >= k).groupBy("tid").agg((F.max("bin") * ((1 + K1) / BINS)).alias("kth"))
+    rows = rows.join(kth, "tid", "left")
+    least = F.max(F.col("weight") * F.col("kth")).over(Window.partitionBy("qid"))
+    return parts, materialize(rows.select("qid", "tid", "weight", least.alias("least")), "weights"), items
+
+
+def _sums(parts: DataFrame, weights: DataFrame, rows: int) -> Iterator[DataFrame]:
+    """(qid, id, score, least), a run of queries at a time. Scores are negative, the lowest is best."""
+    score = (F.rint(-F.sum(F.col("weight") * F.col("part")) * 1e9) / 1e9).alias("score")
+    for run in _in_runs(weights, rows, "qid"):
+        # partitioned by item, which the join keeps: what is joined is summed without a shuffle
+        yield parts.repartition("id").join(run, "tid").groupBy("qid", "id").agg(score, F.max("least").alias("least"))
+
+
+#: Cells (of a query and an item) of a block that is summed as a whole matrix.
+CELLS = 4_000_000
+
+
+def sums_of_block(q: np.ndarray, item: np.ndarray, value: np.ndarray, queries: int, items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums of the values of each query and item that occur: as a matrix if many do, else by sorting."""
+    cell = q * items + item
+    if len(cell) * 16 >= queries * items:
+        sums = np.bincount(cell, value, minlength=queries * items)
+        cell = np.flatnonzero(sums)
+        return cell // items, cell % items, sums[cell]
+    cell, at = np.unique(cell, return_inverse=True)
+    return cell // items, cell % items, np.bincount(at, value)
+
+
+def _above(weights: dict[str, np.ndarray]):
+    """Rows (id, tid, part) in order of id -> (qid, id, score) of sums that may be among the k best."""
+    order = np.argsort(weights["tid"], kind="stable")
+    tid, weight = weights["tid"][order], weights["weight"][order]
+    qids, q = np.unique(weights["qid"][order], return_inverse=True)
+    least = np.full(len(qids), -np.inf)
+    np.maximum.at(least, q, np.where(np.isnan(weights["least"][order]), -np.inf, weights["least"][order]))
+    terms, first = np.unique(tid, return_index=True)
+    sizes = np.diff(np.concatenate([first, [len(tid)]]))
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def block(ids: np.ndarray, t: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        names, item = np.unique(ids, return_inverse=True)
+        at = np.minimum(np.searchsorted(terms, t), len(terms) - 1)
+        known = terms[at] == t
+        at, item, part = at[known], item[known], part[known]
+        n = sizes[at]
+        # of each row its term's weights, one after the other
+        own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[at], n)
+        i, j, sums = sums_of_block(q[own], np.repeat(item, n), weight[own] * np.repeat(part, n), len(qids), len(names))
+        kept = sums >= least[i] - 2e-9
+        score = np.rint(-sums[kept] * 1e9) / 1e9
+        return pa.RecordBatch.from_arrays([pa.array(qids[i[kept]]), pa.array(names[j[kept]]), pa.array(score)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = max(1, CELLS // max(1, len(qids)))
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for c, h in enumerate(held)]
+            starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]])) if len(held[0]) else []
+            at = 0
+            while len(starts) - at > width:  # the last item may go on in the next batch
+                yield block(*[h[starts[at] : starts[at + width]] for h in held])
+                at += width
+            if at:
+                held = [h[starts[at] :] for h in held]
+        if len(held[0]):
+            yield block(*held)
 
-def _least(parts: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """(qid, least): what the k-th best score of a query is at least; queries of which nothing is known are absent."""
-    best = Window.partitionBy("tid").orderBy(F.desc("part"))
-    kth = parts.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).filter(F.col("r") == k).select("tid", "part")
-    return weights.join(kth, "tid").groupBy("qid").agg(F.max(F.col("weight") * F.col("part")).alias("least"))
+    return run
 
 
-def _sums(parts: DataFrame, weights: DataFrame) -> Iterator[DataFrame]:
-    """(qid, id, score), a run of queries at a time. Scores are negative, the lowest is best."""
-    for run in _in_runs(weights, "qid"):
-        # partitioned by item, which the join keeps: what is joined is summed without a shuffle
-        met = parts.repartition("id").join(run, "tid")
-        yield met.groupBy("qid", "id").agg((F.rint(-F.sum(F.col("weight") * F.col("part")) * 1e9) / 1e9).alias("score"))
+def _best_sums(parts: DataFrame, weights: DataFrame, rows: int) -> Iterator[DataFrame]:
+    """(qid, id, score) of the sums that may be among the k best, a run of queries at a time."""
+    parts = parts.repartition("id").sortWithinPartitions("id").select("id", "tid", "part")
+    for run in _in_runs(weights, rows, "qid"):
+        table = run.toPandas()  # about BROADCAST rows
+        own = {c: table[c].to_numpy(np.float64 if c in ("weight", "least") else np.int64) for c in ("qid", "tid", "weight", "least")}
+        if len(table):
+            yield parts.mapInArrow(_above(own), "qid long, id long, score double")
+        else:
+            yield parts.limit(0).select(F.col("tid").alias("qid"), "id", F.col("part").alias("score"))
 
 
 def _union(frames: Iterable[DataFrame]) -> DataFrame:
@@ -131,8 +215,10 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     Document frequencies and lengths are those of all chunks given, so collections are to be
     filtered afterwards. A token that consists of several terms is matched as a phrase.
     """
-    parts, weights, items, names = _weighted(chunks, queries)
-    scores = _union(_sums(parts, weights))
+    asked = _terms(queries)
+    parts, weights, items = _weighted(chunks, asked)
+    names = asked.rows.select("qid", "query_id").distinct()
+    scores = _union(_sums(parts, weights, asked.weights))
     return scores.join(items, "id").join(names, "qid").select("query_id", *ITEM, "score")
 
 
@@ -144,38 +230,39 @@ def bm25_top_k(source: DataFrame | TextIndex, queries: DataFrame, k: int, within
     `within` (doc_id) restricts the hits, not the statistics. With `groups` (doc_id and a
     column), the k best are those of each query within each group, which the result names.
     """
-    parts, weights, items, names = _weighted(source, queries)
-    by = ["qid"]
-    if within is not None:
-        items = items.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = _terms(queries)
+    names = asked.rows.select("qid", "query_id").distinct()
+    by, group = ["qid"], None
     if groups is not None:
         group = next(c for c in groups.columns if c != "doc_id")
-        numbers = materialize(groups.select(group).distinct().withColumn("gid", F.monotonically_increasing_id()), "groups")
-        items = items.join(groups, "doc_id").join(numbers, group)
-        by = ["qid", "gid"]
-    if within is not None or groups is not None:
-        own = items.select("id", *by[1:])
-        parts = materialize(parts.join(own, "id"), "parts")
-    least = small(_least(parts, weights, k), "least") if groups is None else None
+        by.append(group)
+
+    def own(items: DataFrame) -> DataFrame:
+        if within is not None:
+            items = items.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
+        return items if groups is None else items.join(groups, "doc_id")
+
+    parts, weights, items = _weighted(source, asked, k if groups is None else None, own if within is not None or groups is not None else None)
+    if groups is not None:
+        items = materialize(items, "items")
 
     def best(scores: DataFrame) -> DataFrame:
         if groups is not None:
-            scores = scores.join(items.select("id", "gid"), "id")
-        else:
-            scores = scores.join(least, "qid", "left")
-            scores = scores.filter(F.col("least").isNull() | (F.col("score") <= -F.col("least") + 2e-9)).drop("least")
+            scores = scores.drop("least").join(items.select("id", group), "id")
         place = F.rank().over(Window.partitionBy(*by).orderBy("score"))
-        return scores.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+        return scores.withColumn("place", place).filter(F.col("place") <= k).drop("place", group or "place")
 
-    found = _union(best(scores) for scores in _sums(parts, weights))
-    named = found.drop("gid").join(items, "id").join(names, "qid")
-    keys = ["query_id"] if groups is None else ["query_id", group]
+    sums = _best_sums if groups is None else _sums
+    found = _union(best(scores) for scores in sums(parts, weights, asked.weights))
+    named = found.join(items, "id").join(names, "qid")
+    keys = ["query_id"] if group is None else ["query_id", group]
     place = Window.partitionBy(*keys).orderBy("score", *ITEM)
     return named.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select(*keys, *ITEM, "score", "rank")
 
 
-def _phrase_postings(places: DataFrame, phrases: DataFrame) -> DataFrame:
+def _phrase_postings(places: DataFrame, asked: _Asked) -> DataFrame:
     """Adjacent occurrences (id, dl, pos, term) of the phrases' terms: id, tid, dl, tf."""
+    phrases = asked.rows.filter(F.size("terms") > 1).select("tid", "terms").distinct()
     parts = phrases.select("tid", F.size("terms").alias("steps"), F.posexplode("terms").alias("step", "term"))
     met = places.join(parts, "term").groupBy("tid", "id", "dl", "steps", (F.col("pos") - F.col("step")).alias("start"))
     whole = met.agg(F.count(F.lit(1)).alias("found")).filter("found = steps")
