@@ -271,60 +271,92 @@ def _phrase_postings(places: DataFrame, asked: _Asked) -> DataFrame:
 
 # -- dense
 
-#: Rows of the query and of the vector matrix that are multiplied at once.
-QUERY_ROWS, BASE_ROWS = 1_024, 16_384
-
-
-def _products(k: int, keys: list[str], query_key: str):
-    def run(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = [query_key, *keys, "score"]
-        parts = []
-        right = right.sort_values(keys, kind="stable")
-        for width, own in left.groupby(left["vector"].str.len()):
-            base = right[right["vector"].str.len() == width]
-            if not len(base) or not width:
-                continue
-            q, b = (np.stack(x["vector"].to_numpy()).astype(np.float64) for x in (own, base))
-            norm_q, norm_b = np.linalg.norm(q, axis=1), np.linalg.norm(b, axis=1)
-            own, q, norm_q = own[norm_q > 0], q[norm_q > 0], norm_q[norm_q > 0]
-            if not len(own):
-                continue
-            scores = (q / norm_q[:, None]) @ (b / np.where(norm_b > 0, norm_b, 1)[:, None]).T
-            scores = np.round(scores, 9) + 0.0
+#: Rows of the query and of the vector matrix that are multiplied at once, and queries sent to the tasks at once.
+QUERY_ROWS, BASE_ROWS, QUERIES_SENT = 1_024, 16_384, 8_192
+
+
+def _nearest(asked: dict[int, tuple[pa.Array, np.ndarray]], k: int, keys: list[str], query_key: str):
+    """Batches (keys, vector) -> (query_key, keys, score): of every block of rows the k best of each query.
+
+    `asked` has the ids and unit vectors of the queries by their number of dimensions.
+    """
+
+    def best(q: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        norm = np.linalg.norm(b, axis=1)
+        b = (b / np.where(norm > 0, norm, 1)[:, None]).T
+        for at in range(0, len(q), QUERY_ROWS):
+            scores = np.round(q[at : at + QUERY_ROWS] @ b, 9) + 0.0
             n = min(k, scores.shape[1])
             edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
             i, j = np.nonzero(scores >= edge)  # all ties of the last place
             order = np.lexsort((j, -scores[i, j], i))
             i, j = i[order], j[order]
-            first = np.searchsorted(i, np.arange(len(own)))
-            kept = np.arange(len(i)) - first[i] < n
-            i, j = i[kept], j[kept]
-            out = {query_key: own[query_key].to_numpy()[i]} | {c: base[c].to_numpy()[j] for c in keys} | {"score": scores[i, j]}
-            parts.append(pd.DataFrame(out))
-        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in columns})
+            kept = np.arange(len(i)) - np.searchsorted(i, np.arange(len(scores)))[i] < n
+            yield at + i[kept], j[kept], scores[i[kept], j[kept]]
+
+    def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.sort_by([(c, "ascending") for c in keys]).combine_chunks()
+        vectors = rows["vector"].combine_chunks()
+        widths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        for width, (ids, q) in asked.items():
+            own = np.flatnonzero(widths == width)
+            if not len(own):
+                continue
+            taken = rows.take(own)
+            b = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            for i, j, score in best(q, b):
+                named = taken.take(j)
+                columns = [ids.take(pa.array(i)), *[named[c].combine_chunks() for c in keys], pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, names=[query_key, *keys, "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= BASE_ROWS:
+                yield from block(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from block(pa.Table.from_batches(held))
 
     return run
 
 
+def _by_width(rows: pa.Table, query_key: str) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    vectors, ids = rows["vector"].combine_chunks(), rows[query_key].combine_chunks()
+    widths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    out = {}
+    for width in np.unique(widths[widths > 0]).tolist():
+        own = np.flatnonzero(widths == width)
+        q = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+        norm = np.linalg.norm(q, axis=1)
+        if (norm > 0).any():
+            out[width] = (ids.take(pa.array(own[norm > 0])), q[norm > 0] / norm[norm > 0][:, None])
+    return out
+
+
 def dense_top_k(base: DataFrame, queries: DataFrame, k: int, *, keys: list[str] | None = None, query_key: str = "query_id") -> DataFrame:
     """Exact cosine: the k best of `base` (keys, vector) for each query (query_id, vector).
 
-    Both sides are cut into blocks, which are multiplied as matrices; a block gives its k best.
+    The vectors stay where they are; the queries are sent to them, QUERIES_SENT at a time, and
+    multiplied with blocks of them as matrices. A block gives its k best.
     A query without length finds nothing; a vector without length scores 0; other numbers of
     dimensions do not match. Null vectors take no part.
     """
     keys = keys or ITEM
-    queries = queries.filter("vector IS NOT NULL").select(query_key, F.col("vector").cast("array<double>").alias("vector"))
-    base = base.filter("vector IS NOT NULL").select(*keys, F.col("vector").cast("array<double>").alias("vector"))
-    across = max(1, -(-queries.count() // QUERY_ROWS))
-    down = max(1, -(-base.count() // BASE_ROWS))
-    asked = queries.withColumn("q", F.pmod(F.xxhash64(query_key), F.lit(across))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    held = base.withColumn("b", F.pmod(F.xxhash64(*keys), F.lit(down)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    held = held.select(*[F.col(c).alias(f"h_{c}") for c in held.columns]).select(*[F.col(f"h_{c}").alias(c) for c in held.columns])
-    asked, held = asked.withColumn("q", F.col("q").cast("int")), held.withColumn("q", F.col("q").cast("int"))
+    queries = materialize(queries.filter("vector IS NOT NULL").select(query_key, F.col("vector").cast("array<double>").alias("vector")), "asked")
+    base = base.filter("vector IS NOT NULL").select(*keys, "vector")
     types = {**{c: t for c, t in base.dtypes if c in keys}, query_key: dict(queries.dtypes)[query_key]}
     schema = ", ".join([f"{query_key} {types[query_key]}", *[f"{c} {types[c]}" for c in keys], "score double"])
-    found = asked.groupBy("q", "b").cogroup(held.groupBy("q", "b")).applyInPandas(_products(k, keys, query_key), schema)
+    runs = max(1, -(-queries.count() // QUERIES_SENT))
+    if runs > 1:
+        base = materialize(base, "base")
+    found = None
+    for run in range(runs):
+        part = queries if runs == 1 else queries.filter(F.pmod(F.xxhash64(query_key), F.lit(runs)) == run)
+        part = base.mapInArrow(_nearest(_by_width(part.toArrow(), query_key), k, keys, query_key), schema)
+        found = part if found is None else found.unionByName(part)
     return top_k(found, k, keys=keys, by=query_key)
 
 

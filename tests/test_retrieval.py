@@ -46,6 +46,7 @@ def test_bm25_equals_sqlite(spark):
 def test_dense_equals_expressions(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_ROWS", 7)
     monkeypatch.setattr(search, "BASE_ROWS", 13)
+    monkeypatch.setattr(search, "QUERIES_SENT", 8)
     rng = np.random.default_rng(20260909)
     vectors = [(i, f"c{i}", rng.uniform(-1, 1, 16).round(3).tolist()) for i in range(50)] + [(90, "z", [0.0] * 16), (91, "short", [1.0] * 3), (92, "none", None)]
     vectors += [(93, "same", vectors[0][2])]
