@@ -38,6 +38,11 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.withColumnsRenamed({"id": "storage_id", "owner": "doc_id"})
 
 
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    """How many child chunks have the same shingles, and how many other texts are alike."""
+    return p1_groups(spark, folder).select("storage_id", "copies", "links")
+
+
 def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The group of every document."""
     documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("owner"), "text")
@@ -106,6 +111,11 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks"), table(spark, folder, "chunk_limits"))
 
 
+def p5_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the pieces."""
+    return splitting.invariants(p5_pieces(spark, folder), table(spark, folder, "chunks"), table(spark, folder, "chunk_limits"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of vectors with a similarity of 0.9 or more, one among the other's five nearest."""
     near = similar_vectors.nearest(table(spark, folder, "chunk_embeddings"), 5, least=0.9).filter("similarity >= 0.9")
@@ -206,12 +216,14 @@ sizes AS (
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p1_links": p1_links,
     "p1_documents": p1_documents,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_ideal": p4_ideal,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_invariants": p5_invariants,
     "p6_found": p6_found,
     "p6_search": p6_search,
     "p7_found": p7_found,
@@ -226,6 +238,21 @@ QUERIES = {
     "p9_shared": p9_shared,
 }
 
+_SETS = r"""WITH words AS MATERIALIZED (
+  SELECT storage_id, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w
+  FROM (SELECT DISTINCT storage_id, doc_id, text FROM chunks WHERE role = 'child' AND text IS NOT NULL)),
+sets AS MATERIALIZED (
+  SELECT storage_id, doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s
+  FROM words WHERE len(w) >= 20)"""
+
+_SPANS = """WITH texts AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 200),
+windows AS MATERIALIZED (
+  SELECT doc_id, i, hash(substring(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(n - 199)) AS i FROM texts)),
+shared AS (SELECT h FROM windows GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+marks AS (SELECT doc_id, i, max(i + 200) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM windows WHERE h IN (FROM shared)),
+runs AS (SELECT doc_id, i, sum((reach IS NULL OR i > reach)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marks),
+spans AS (SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM runs GROUP BY doc_id, run)"""
+
 _MIXES = f"""{_TOKENS},
 totals AS (SELECT source, sum(tokens)::BIGINT AS t FROM sizes GROUP BY 1),
 mixes AS (SELECT m.mix_id, lower(trim(m.source)) AS source, m.target_share, m.max_repeats, coalesce(t, 0) AS t,
@@ -234,18 +261,21 @@ mixes AS (SELECT m.mix_id, lower(trim(m.source)) AS source, m.target_share, m.ma
 
 SQL = {
     # brute force: shingles meet by equality, then whole sets are compared
-    "p1_found": r"""WITH words AS MATERIALIZED (
-  SELECT storage_id, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w
-  FROM (SELECT DISTINCT storage_id, doc_id, text FROM chunks WHERE role = 'child' AND text IS NOT NULL)),
-sets AS MATERIALIZED (
-  SELECT storage_id, doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s
-  FROM words WHERE len(w) >= 20),
+    "p1_found": _SETS + """,
 shingles AS MATERIALIZED (SELECT storage_id, doc_id, len(s) AS n, unnest(s) AS h FROM sets),
 met AS (
   SELECT a.storage_id AS storage_id_a, b.storage_id AS storage_id_b, a.n AS na, b.n AS nb, count(*) AS common
   FROM shingles a JOIN shingles b ON a.h = b.h AND a.storage_id < b.storage_id AND a.doc_id <> b.doc_id
     AND a.n >= 0.6::DOUBLE * b.n AND b.n >= 0.6::DOUBLE * a.n GROUP BY ALL)
 SELECT storage_id_a, storage_id_b FROM met WHERE common >= 0.6::DOUBLE * (na + nb - common)""",
+    "p1_links": _SETS + """,
+classes AS MATERIALIZED (SELECT s, row_number() OVER () AS c, count(*) AS copies FROM (SELECT DISTINCT storage_id, doc_id, list_sort(s) AS s FROM sets) GROUP BY s),
+shingles AS MATERIALIZED (SELECT c, len(s) AS n, unnest(s) AS h FROM classes),
+met AS (
+  SELECT a.c, a.n AS na, b.n AS nb, count(*) AS common FROM shingles a JOIN shingles b ON a.h = b.h AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n),
+degrees AS (SELECT c, count(*) AS links FROM met WHERE common >= 0.6::DOUBLE * (na + nb - common) GROUP BY 1)
+SELECT t.storage_id, copies, coalesce(links, 0) AS links FROM (SELECT DISTINCT storage_id, doc_id, list_sort(s) AS s FROM sets) t
+JOIN classes USING (s) LEFT JOIN degrees USING (c)""",
     "p6_found": """WITH newest AS (
   SELECT vec_id, model, dimensions, vector::DOUBLE[] AS v,
          row_number() OVER (PARTITION BY storage_id, model ORDER BY embedded_at DESC NULLS LAST, vec_id DESC) AS r
@@ -263,13 +293,12 @@ SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM near WH
 SELECT s.source, count(DISTINCT doc_id) AS documents, sum(tokens)::BIGINT AS tokens, TRUE AS fits, TRUE AS whole
 FROM sizes s JOIN (SELECT DISTINCT lower(trim(source)) AS source FROM pack_budgets WHERE capacity_tokens >= 1) b ON s.source = b.source GROUP BY 1""",
     "p8_invariants": f"""WITH {_MIXES} SELECT mix_id, source, t AS tokens, total::BIGINT AS mix_tokens, TRUE AS capped, TRUE AS near FROM mixes""",
-    "p9_found": """WITH texts AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 200),
-windows AS MATERIALIZED (
-  SELECT doc_id, i, hash(substring(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(n - 199)) AS i FROM texts)),
-shared AS (SELECT h FROM windows GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
-marks AS (SELECT doc_id, i, max(i + 200) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM windows WHERE h IN (FROM shared)),
-runs AS (SELECT doc_id, i, sum((reach IS NULL OR i > reach)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marks)
-SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM runs GROUP BY doc_id, run""",
+    "p9_found": f"{_SPANS} SELECT * FROM spans",
+    "p9_shared": f"""{_SPANS},
+sums AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS shared_chars, count(*) AS spans FROM spans GROUP BY 1)
+SELECT d.doc_id, coalesce(length(text), 0) AS chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(s.spans, 0) AS spans,
+       CASE WHEN coalesce(length(text), 0) > 0 THEN coalesce(shared_chars, 0) / length(text)::DOUBLE ELSE 0 END AS share
+FROM documents d LEFT JOIN sums s ON d.doc_id = s.doc_id""",
     "p3_found": f"""WITH {_BEST}
 SELECT r.query_id, r.hit_mode, r.doc_id, r.chunk_id FROM ranked r JOIN limits l ON r.query_id = l.query_id WHERE rank <= top_k""",
     "p4_found": f"""WITH {_BEST},
@@ -315,6 +344,10 @@ WHERE place <= top_k""",
     "p5_found": r"""
 SELECT DISTINCT c.storage_id FROM chunks c JOIN chunk_limits l ON c.block_type = l.block_type
 WHERE c.role = 'child' AND length(regexp_replace(regexp_replace(c.text, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ''), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '')) > l.max_chars""",
+    "p5_invariants": r"""
+SELECT DISTINCT c.storage_id, TRUE AS within, TRUE AS numbered, TRUE AS joins, TRUE AS overlapped FROM chunks c
+JOIN (SELECT block_type, min(max_chars) AS most FROM chunk_limits WHERE max_chars >= 1 GROUP BY 1) l ON c.block_type = l.block_type
+WHERE c.role = 'child' AND length(regexp_replace(regexp_replace(c.text, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ''), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '')) > most""",
     "p7_found": f"""WITH {_TOKENS}
 SELECT doc_id FROM sizes s JOIN (SELECT lower(trim(source)) AS source, max(capacity_tokens) AS c FROM pack_budgets GROUP BY 1) b
 ON s.source = b.source WHERE tokens > c""",

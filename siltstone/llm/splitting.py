@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import strip
+
 #: Words in the block on each side of a gap.
 BLOCK = 20
 #: The least part of the room that a piece fills, where a boundary allows it.
@@ -166,3 +168,22 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     columns = ["storage_id", "doc_id", "parent_chunk_id", "block_type", "text", "max_chars", "overlap_chars", "min_chars"]
     long = long.select(*columns).dropDuplicates()
     return long.mapInPandas(_pieces, PIECES)
+
+
+def invariants(pieces: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """What must hold of the pieces of each text: within (none is longer than max_chars), numbered (1 to n),
+    joins (without overlaps they make the stripped text), overlapped (each begins with the end of the one before)."""
+    most = limits.filter("max_chars >= 1").groupBy("block_type").agg(F.min("max_chars").alias("most"))
+    whole = chunks.filter("role = 'child' AND text IS NOT NULL").select("storage_id", strip(F.col("text")).alias("whole")).distinct()
+    parts = pieces.withColumn("own", F.expr("substring(text, start - begin + 1)")).withColumn("head", F.expr("left(text, start - begin)"))
+    rows = parts.join(most, "block_type").groupBy("storage_id").agg(
+        F.every(F.length("text") <= F.col("most")).alias("within"), F.array_sort(F.collect_list(F.struct("split_index", "own", "head", "text"))).alias("p")
+    )
+    joined = F.aggregate("p", F.lit(""), lambda s, x: F.concat(s, x["own"]))
+    after = F.transform(F.sequence(F.lit(2), F.size("p")), lambda i: F.element_at("p", i - 1)["text"].endswith(F.element_at("p", i)["head"]))
+    rows = rows.join(whole, "storage_id").select(
+        "storage_id", "within",
+        (F.transform("p", lambda x: x["split_index"]) == F.sequence(F.lit(1), F.size("p"))).alias("numbered"),
+        (joined == F.col("whole")).alias("joins"), F.when(F.size("p") > 1, F.forall(after, lambda x: x)).otherwise(True).alias("overlapped"),
+    )
+    return rows
