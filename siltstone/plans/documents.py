@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import clean_hash
+from siltstone.functions.text import clean_hash, paragraphs
 from siltstone.functions.vectors import mock_embedding
 from siltstone.operators import chunking, incremental
 from siltstone.plans.retrieval import _KIDS
@@ -19,7 +17,6 @@ from siltstone.plans.tables import children, chunks, table
 from siltstone.session import materialize
 from siltstone.sources import corpus, files
 from siltstone.sources.parsers.office import map_elements
-from siltstone.sources.parsers.outline import BLOCK_FIELDS
 
 # -- parsing
 
@@ -54,65 +51,56 @@ def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_documents(blocks, parsed.select("doc_id", "raw_text"))
 
 
-SAMPLES = {
-    "a.md": "---\ntitle: Guide\n---\n# One\n\nFirst line.\nSecond line.\n\n## Two\n```\ncode = 1\n```\n# Three\nLast.\n",
-    "b.txt": "First paragraph.\n\nSecond paragraph,\nsame paragraph.\n",
-    "c.html": "<h1>Top</h1><p>One<p>Two <b>bold</b><ul><li>Item<li><p>Nested</p></ul><nav><p>gone</p></nav><pre>x = 1</pre>",
-    "d.json": '{"name": "x", "tags": ["a", "b"]}',
-    "e.csv": "name,role\nAlice,admin\nBob,reader\n",
-    "f.yaml": "a: 1\nb: [x, y]\n",
-    "sub/g.py": '"""Doc."""\n\nimport os\n\n\nclass A:\n    x = 1\n\n    def f(self):\n        return 1\n\n\ndef g():\n    return 2\n',
-    "sub/h.json": "{broken",
-    "sub/.hidden.md": "# not seen",
-    "node_modules/i.md": "# not seen",
-}
-
-
-def _sample_files() -> list[tuple[str, str, bytes]]:
-    """Name, suffix and content of the files of a small folder that can be indexed, in walking order."""
-    with tempfile.TemporaryDirectory(prefix="siltstone-files-") as folder:
-        for name, text in SAMPLES.items():
-            path = Path(folder, name)
-            path.parent.mkdir(parents=True, exist_ok=True)
-            path.write_text(text, encoding="utf-8")
-        return [(p.name, p.suffix, p.read_bytes()) for p in files.walk(folder)[0]]
-
-
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    rows = [(i, name, suffix) for i, (name, suffix, _) in enumerate(_sample_files())]
-    return spark.createDataFrame(rows, "place int, name string, ext string")
+    """The paths that a walk would take."""
+    rows = table(spark, folder, "documents").select("doc_id", "source_path")
+    return rows.filter(files.indexable(F.col("source_path"))).select("doc_id", "source_path", files.extension(F.col("source_path")).alias("ext"))
 
 
 def parse_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The blocks of those files, every parser for text taking part. They are read here and
-    handed on as rows, for the folder is not shared with executors."""
-    rows = [(name, content) for name, _, content in _sample_files()]
-    parsed = files.parse(spark.createDataFrame(rows, "path string, content binary"))
-    return parsed.select("path", "error", F.inline_outer("blocks")).drop("location", "hierarchy_path", "metadata")
+    """The blocks of all text files, by the parser."""
+    rows = _as_files(spark, folder).filter(files.extension(F.col("path")).isin(".txt", ".log", ".rst", ".text"))
+    parsed = files.parse(rows).join(rows.select("doc_id", "path"), "path")
+    return parsed.select("doc_id", F.inline("blocks")).select("doc_id", "block_id", "block_type", "ord", "text")
+
+
+#: Per format, a file about a customer, as an expression of its columns.
+FORMS = {
+    "md": "concat('---\\nkey: ', c_custkey, '\\n---\\n# ', c_name, '\\n\\nSegment ', c_mktsegment, '\\n## Code\\n```\\nid = ', c_custkey, '\\n```\\n')",
+    "html": "concat('<h1>', c_name, '</h1><p>Segment <b>', c_mktsegment, '</b><ul><li>Key ', c_custkey, '</ul><nav><p>gone</p></nav>')",
+    "json": "concat('{\"key\": ', c_custkey, ', \"name\": \"', c_name, '\"}')",
+    "yaml": "concat('key: ', c_custkey, '\\nname: ', c_name, '\\n')",
+    "csv": "concat('key,name\\n', c_custkey, ',', c_name, '\\n', c_custkey, '\\n')",
+    "py": "concat('class C', c_custkey, ':\\n    def key(self):\\n        return ', c_custkey, '\\n')",
+    "js": "concat('function key', c_custkey, '(a) { return a; }\\n')",
+}
 
 
-ELEMENTS = [
-    {"type": "Header", "text": "running head", "metadata": {"page_number": 1}},
-    {"type": "Title", "text": "Report", "metadata": {"page_number": 1, "category": "main"}},
-    {"type": "NarrativeText", "text": "Body.", "metadata": {"page_number": 1, "coordinates": {"points": [[1, 2], [5, 2], [5, 9], [1, 9]]}}},
-    {"type": "Table", "text": "a b", "metadata": {"page_number": 1, "text_as_html": "<table/>"}},
-    {"type": "ListItem", "text": "first", "metadata": {"page_number": 2}},
-    {"type": "Image", "text": "a figure", "metadata": {"page_number": 2}},
-    {"type": "Title", "text": "Second", "metadata": {"page_number": 2}},
-    {"type": "UncategorizedText", "text": "after", "metadata": {}},
-]
+def parse_formats(spark: SparkSession, folder: str) -> DataFrame:
+    """A file of each format about every customer, parsed."""
+    rows = table(spark, folder, "customer")
+    kinds = F.explode(F.array(*[F.struct(F.lit(e).alias("ext"), F.expr(form).alias("body")) for e, form in FORMS.items()]))
+    made = rows.select("c_custkey", kinds.alias("f")).select(
+        F.concat(F.col("c_custkey").cast("string"), F.lit("."), "f.ext").alias("path"), F.encode("f.body", "UTF-8").alias("content")
+    )
+    blocks = files.parse(made).select("path", F.inline("blocks"))
+    return blocks.select("path", "block_seq", "block_type", "text", "parent_block_id")
 
 
 def pdf_map_elements(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks of page elements, in an Arrow task per document."""
+    """Blocks of page elements: the paragraphs of every document, every fourth a title, three on a page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split(" ")[0] for f in BLOCK_FIELDS.split(", ")]
         for pdf in batches:
-            yield pd.DataFrame([b for text in pdf["elements"] for b in map_elements(json.loads(text)).blocks], columns=names)
+            rows = [(doc, b["block_type"]) for doc, text in zip(pdf["doc_id"], pdf["elements"], strict=True) for b in map_elements(json.loads(text)).blocks]
+            yield pd.DataFrame(rows, columns=["doc_id", "block_type"])
+
+    def element(text: Column, i: Column) -> Column:
+        kind = F.when(i % 4 == 0, "Title").otherwise("NarrativeText")
+        return F.struct(kind.alias("type"), text.alias("text"), F.struct((F.floor(i / 3) + 1).alias("page_number")).alias("metadata"))
 
-    rows = spark.createDataFrame([(json.dumps(ELEMENTS),)], "elements string")
-    return rows.mapInPandas(run, BLOCK_FIELDS)
+    rows = table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", F.to_json(F.transform(paragraphs(F.col("text")), element)).alias("elements"))
+    return rows.mapInPandas(run, "doc_id long, block_type string").groupBy("doc_id", "block_type").agg(F.count(F.lit(1)).alias("blocks"))
 
 
 # -- chunking
@@ -167,6 +155,35 @@ def child_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.child_chunks(blocks).select("doc_id", "chunk_id", "split_index", "char_count", "is_split")
 
 
+def chunk_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of every document's chunks: within (the limits), parents (each child has one that is
+    there), ordered (numbered from 0 without gaps)."""
+    rows = materialize(chunk_documents(spark, folder), "chunks")
+    most = F.when(F.col("role") == "parent", chunking.PARENT_MAX).otherwise(chunking.CHILD_MAX)
+    sums = rows.groupBy("doc_id").agg(
+        F.every(F.length("text") <= most).alias("within"),
+        ((F.min("ord") == 0) & (F.max("ord") + 1 == F.count(F.lit(1))) & (F.count_distinct("ord") == F.count(F.lit(1)))).alias("ordered"),
+    )
+    heads = rows.filter("role = 'parent'").select("doc_id", F.col("chunk_id").alias("parent_chunk_id"), F.lit(True).alias("there"))
+    held = rows.filter("role = 'child'").join(heads, ["doc_id", "parent_chunk_id"], "left")
+    held = held.groupBy("doc_id").agg(F.every(F.coalesce("there", F.lit(False)) | F.col("parent_chunk_id").isNull()).alias("parents"))
+    return sums.join(held, "doc_id").select("doc_id", "within", "parents", "ordered")
+
+
+def split_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the pieces: within (the limit), whole (a text that fits is one piece), complete (no
+    more than a last piece that is too short is lost), begins (the first piece is the text's beginning)."""
+    pieces = split_text(spark, folder).groupBy("doc_id").agg(
+        F.max(F.length("piece")).alias("longest"), F.sum(F.length("piece")).alias("chars"), F.count(F.lit(1)).alias("n"), F.min_by("piece", "part").alias("first")
+    )
+    rows = table(spark, folder, "documents").select("doc_id", "text").join(pieces, "doc_id")
+    return rows.select(
+        "doc_id", (F.col("longest") <= chunking.CHILD_MAX).alias("within"),
+        ((F.length("text") > chunking.CHILD_MAX) | ((F.col("n") == 1) & (F.col("first") == F.col("text")))).alias("whole"),
+        (F.col("chars") > F.length("text") - chunking.CHILD_MIN).alias("complete"), F.col("text").startswith(F.col("first")).alias("begins"),
+    )
+
+
 # -- maintenance
 
 
@@ -214,9 +231,9 @@ def corpus_subset(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "parse_documents": parse_documents, "parse_errors": parse_errors, "chunk_documents": chunk_documents, "scan_files": scan_files, "parse_files": parse_files,
+    "parse_documents": parse_documents, "parse_errors": parse_errors, "chunk_documents": chunk_documents, "scan_files": scan_files, "parse_files": parse_files, "parse_formats": parse_formats,
     "pdf_map_elements": pdf_map_elements, "nearest_parent": nearest_parent, "descendant_leaves": descendant_leaves, "parent_assembly": parent_assembly,
-    "split_text": split_text, "child_chunks": child_chunks, "incremental_skip": incremental_skip, "upsert_replace": upsert_replace,
+    "split_text": split_text, "chunk_invariants": chunk_invariants, "split_invariants": split_invariants, "child_chunks": child_chunks, "incremental_skip": incremental_skip, "upsert_replace": upsert_replace,
     "index_summary": index_summary, "embed_dedup": embed_dedup, "corpus_subset": corpus_subset,
 }
 
@@ -235,7 +252,50 @@ status AS (
   SELECT n.source_path, n.h, CASE WHEN s.source_path IS NULL THEN 'new' WHEN n.h IS NOT DISTINCT FROM s.h THEN 'skipped' ELSE 'changed' END AS status
   FROM newest n LEFT JOIN stored s ON n.source_path = s.source_path)"""
 
+_SPC = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+_STRIPPED = f"regexp_replace(regexp_replace(text, '^{_SPC}', ''), '{_SPC}$', '')"
+_PARAGRAPHS = f"""pieces AS (
+  SELECT doc_id, source_path, list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10) || chr(10)),
+         lambda p: regexp_replace(regexp_replace(p, '^{_SPC}', ''), '{_SPC}$', '')), lambda p: p <> '') AS ps FROM documents WHERE text IS NOT NULL)"""
+_SUFFIX = r"lower(regexp_extract(source_path, '[^/](\.[^./]+)$', 1))"
+
 SQL = {
+    "scan_files": f"""SELECT doc_id, source_path, {_SUFFIX} AS ext FROM documents
+WHERE NOT list_bool_or(list_transform(string_split(source_path, '/'), lambda p: starts_with(p, '.')))
+  AND len(list_intersect(string_split(source_path, '/')[:-2], ['.git', '.hg', '.svn', '.venv', 'venv', 'node_modules', '__pycache__', '.pytest_cache', '.mypy_cache', '.ruff_cache', 'dist', 'build', '.tox'])) = 0
+  AND {_SUFFIX} IN ('.pdf', '.pptx', '.docx', '.py', '.js', '.jsx', '.ts', '.tsx', '.go', '.rs', '.java', '.rb', '.cpp', '.c', '.h', '.cs', '.html', '.htm', '.md', '.mdx', '.markdown', '.json', '.yaml', '.yml', '.csv', '.tsv', '.txt', '.log', '.rst', '.text')""",
+    "parse_files": f"""WITH {_PARAGRAPHS}, own AS (SELECT * FROM pieces WHERE {_SUFFIX} IN ('.txt', '.log', '.rst', '.text'))
+SELECT doc_id, 'doc_root' AS block_id, 'document' AS block_type, 0 AS ord, '' AS text FROM own
+UNION ALL SELECT doc_id, 'p_' || i, 'paragraph', i::INT, ps[i + 1] FROM (SELECT doc_id, ps, unnest(range(len(ps))) AS i FROM own)""",
+    "parse_formats": """WITH c AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS m FROM customer)
+SELECT k || '.' || ext AS path, seq::INT AS block_seq, kind AS block_type, text, parent AS parent_block_id FROM (
+  SELECT k, unnest([
+    {'ext': 'md', 'seq': 0, 'kind': 'section', 'text': n, 'parent': NULL},
+    {'ext': 'md', 'seq': 1, 'kind': 'paragraph', 'text': 'Segment ' || m, 'parent': 'sec_1'},
+    {'ext': 'md', 'seq': 2, 'kind': 'section', 'text': 'Code', 'parent': 'sec_1'},
+    {'ext': 'md', 'seq': 3, 'kind': 'code_block', 'text': 'id = ' || k, 'parent': 'sec_2'},
+    {'ext': 'html', 'seq': 0, 'kind': 'section', 'text': n, 'parent': NULL},
+    {'ext': 'html', 'seq': 1, 'kind': 'paragraph', 'text': 'Segment ' || m, 'parent': 'sec_1'},
+    {'ext': 'html', 'seq': 2, 'kind': 'list_item', 'text': 'Key ' || k, 'parent': 'sec_1'},
+    {'ext': 'json', 'seq': 0, 'kind': 'document', 'text': '', 'parent': NULL},
+    {'ext': 'json', 'seq': 1, 'kind': 'record', 'text': '{"key": ' || k || '}', 'parent': 'doc_root'},
+    {'ext': 'json', 'seq': 2, 'kind': 'record', 'text': '{"name": "' || n || '"}', 'parent': 'doc_root'},
+    {'ext': 'yaml', 'seq': 0, 'kind': 'document', 'text': '', 'parent': NULL},
+    {'ext': 'yaml', 'seq': 1, 'kind': 'record', 'text': 'key: ' || k, 'parent': 'doc_root'},
+    {'ext': 'yaml', 'seq': 2, 'kind': 'record', 'text': 'name: ' || n, 'parent': 'doc_root'},
+    {'ext': 'csv', 'seq': 0, 'kind': 'document', 'text': '', 'parent': NULL},
+    {'ext': 'csv', 'seq': 1, 'kind': 'table_row', 'text': 'key=' || k || ', name=' || n, 'parent': 'doc_root'},
+    {'ext': 'csv', 'seq': 2, 'kind': 'table_row', 'text': 'key=' || k || ', name=None', 'parent': 'doc_root'},
+    {'ext': 'py', 'seq': 0, 'kind': 'module', 'text': '', 'parent': NULL},
+    {'ext': 'py', 'seq': 1, 'kind': 'code_container', 'text': 'class C' || k || ':', 'parent': 'module'},
+    {'ext': 'py', 'seq': 2, 'kind': 'code_symbol', 'text': 'def key(self):' || chr(10) || '        return ' || k, 'parent': 'sym_0'},
+    {'ext': 'js', 'seq': 0, 'kind': 'module', 'text': '', 'parent': NULL},
+    {'ext': 'js', 'seq': 1, 'kind': 'code_symbol', 'text': 'function key' || k || '(a) { return a; }', 'parent': 'module'}], recursive := true) FROM c)""",
+    "pdf_map_elements": f"""WITH {_PARAGRAPHS}, n AS (SELECT doc_id, len(ps) AS n FROM pieces WHERE len(ps) > 0),
+kinds AS (SELECT doc_id, 'page' AS block_type, (n - 1) // 3 + 1 AS blocks FROM n UNION ALL SELECT doc_id, 'section', (n - 1) // 4 + 1 FROM n UNION ALL SELECT doc_id, 'paragraph', n - ((n - 1) // 4 + 1) FROM n)
+SELECT * FROM kinds WHERE blocks > 0""",
+    "chunk_invariants": f"SELECT doc_id, TRUE AS within, TRUE AS parents, TRUE AS ordered FROM documents WHERE {_STRIPPED} <> ''",
+    "split_invariants": "SELECT doc_id, TRUE AS within, TRUE AS whole, TRUE AS complete, TRUE AS begins FROM documents WHERE text <> ''",
     "nearest_parent": f"""WITH RECURSIVE {_TREE},
 up AS (
   SELECT b, up AS a FROM tree

@@ -55,12 +55,18 @@ def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rrf_fuse(spark: SparkSession, folder: str) -> DataFrame:
-    """The vector and rerank channels' hits, fused."""
+    """The vector channel's hits fused with those of each other channel."""
     hits = table(spark, folder, "vector_hits").filter("score IS NOT NULL AND NOT isnan(score)")
-    hits = hits.groupBy("query_id", "hit_mode", *search.ITEM).agg(F.max("score").alias("score"))
-    window = Window.partitionBy("query_id", "hit_mode").orderBy(F.desc("score"), *search.ITEM)
-    ranked = materialize(hits.withColumn("rank", F.row_number().over(window)).filter("hit_mode IN ('vector', 'rerank')"), "ranked")
-    return search.rrf_fuse(ranked.filter("hit_mode = 'vector'"), ranked.filter("hit_mode = 'rerank'"), rrf_k=RRF_K, k=K)
+    cost = F.when(F.col("hit_mode") == "bm25", F.col("score")).otherwise(-F.col("score"))
+    hits = hits.groupBy("query_id", "hit_mode", *search.ITEM).agg((F.min(cost) + 0.0).alias("cost"))
+    window = Window.partitionBy("query_id", "hit_mode").orderBy("cost", *search.ITEM)
+    ranked = materialize(hits.withColumn("rank", F.row_number().over(window)), "ranked")
+    out = None
+    for other in ("bm25", "rerank"):
+        part = search.rrf_fuse(ranked.filter("hit_mode = 'vector'"), ranked.filter(F.col("hit_mode") == other), rrf_k=RRF_K, k=K)
+        part = part.select(F.lit(other).alias("other"), "query_id", "rank", *search.ITEM, "score")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def collection_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -349,14 +355,15 @@ SQL = {
     "vector_topk": f"WITH {_KIDS}, {QUESTIONS}, {_DENSE} SELECT * FROM dense WHERE rank <= {K}",
     "hybrid_topk": f"{_HYBRID} SELECT * FROM hybrid",
     "rrf_fuse": """WITH best AS (
-  SELECT query_id, hit_mode, doc_id, chunk_id, max(score) AS score FROM vector_hits WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, hit_mode ORDER BY score DESC, doc_id, chunk_id) AS rank FROM best),
+  SELECT query_id, hit_mode, doc_id, chunk_id, min(CASE WHEN hit_mode = 'bm25' THEN score ELSE -score END) AS cost
+  FROM vector_hits WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, hit_mode ORDER BY cost, doc_id, chunk_id) AS rank FROM best),
 sums AS (
-  SELECT query_id, doc_id, chunk_id, min(CASE WHEN hit_mode = 'vector' THEN rank END) AS r1, min(CASE WHEN hit_mode = 'rerank' THEN rank END) AS r2
-  FROM ranked WHERE hit_mode IN ('vector', 'rerank') GROUP BY ALL),
+  SELECT other, query_id, doc_id, chunk_id, min(CASE WHEN hit_mode = 'vector' THEN rank END) AS r1, min(CASE WHEN hit_mode = other THEN rank END) AS r2
+  FROM ranked, (SELECT unnest(['bm25', 'rerank']) AS other) WHERE hit_mode IN ('vector', other) GROUP BY ALL),
 scored AS (SELECT *, round(coalesce(1 / (60::DOUBLE + r1), 0) + coalesce(1 / (60::DOUBLE + r2), 0), 9) AS score FROM sums)
-SELECT query_id, rank, doc_id, chunk_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST)::INT AS rank FROM scored) WHERE rank <= 5""",
+SELECT other, query_id, rank, doc_id, chunk_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY other, query_id ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST)::INT AS rank FROM scored) WHERE rank <= 5""",
     "collection_filter": f"""WITH {_BM25}, {_COLLECTIONS},
 ranked AS (SELECT collection, query_id, b.doc_id, chunk_id, score, row_number() OVER (PARTITION BY collection, query_id ORDER BY score, b.doc_id, chunk_id)::INT AS rank FROM bm25 b JOIN collections c ON b.doc_id = c.doc_id)
 SELECT * FROM ranked WHERE rank <= 3""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions import vectors as V
-from siltstone.operators.chunking import CHILD_TYPES, PARENT_TYPES, gaps, role
+from siltstone.operators.chunking import gaps, role
 from siltstone.operators.search import dense_scores, dense_top_k, top_k
 from siltstone.plans.tables import children, questions, table
 from siltstone.sources.corpus import corpus_fingerprint
@@ -71,11 +71,10 @@ def parse_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def render_rows(spark: SparkSession, folder: str) -> DataFrame:
-    def shown(name: str, key: str, columns: list[str]) -> DataFrame:
-        cells = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in columns]
-        return table(spark, folder, name).select(F.lit(name).alias("source"), F.col(key).alias("row_index"), F.concat_ws(", ", *cells).alias("text"))
-
-    return shown("nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"]).unionByName(shown("region", "r_regionkey", ["r_regionkey", "r_name"]))
+    """Rows as `name=value` texts."""
+    columns = ["p_partkey", "p_name", "p_brand"]
+    cells = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in columns]
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("row_index"), F.concat_ws(", ", *cells).alias("text"))
 
 
 def route_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,8 +115,9 @@ def hit_preview(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_roles(spark: SparkSession, folder: str) -> DataFrame:
-    kinds = spark.createDataFrame([(t,) for t in (*PARENT_TYPES, *CHILD_TYPES)], "block_type string")
-    return kinds.select("block_type", role(F.col("block_type")).alias("role"))
+    """What the type of each chunk's block would make it."""
+    rows = table(spark, folder, "chunks").select("storage_id", "block_type").distinct()
+    return rows.select("storage_id", "block_type", role(F.col("block_type")).alias("role"))
 
 
 def interval_gaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,8 +174,7 @@ SELECT doc_id, i::INT AS win_index, (i * 50 + 1)::INT AS start_line, least(i * 5
          lambda p: regexp_replace(regexp_replace(p, '^{_SP}', ''), '{_SP}$', '')), lambda p: p <> '') AS ps FROM documents),
 rows AS (SELECT doc_id, unnest(range(len(ps))) AS i, ps FROM pieces)
 SELECT doc_id, 'p_' || i AS block_id, i::INT AS ord, ps[i + 1] AS text FROM rows""",
-    "render_rows": """SELECT 'nation' AS source, n_nationkey AS row_index, 'n_nationkey=' || n_nationkey || ', n_name=' || n_name || ', n_regionkey=' || n_regionkey AS text FROM nation
-UNION ALL SELECT 'region', r_regionkey, 'r_regionkey=' || r_regionkey || ', r_name=' || r_name FROM region""",
+    "render_rows": "SELECT p_partkey AS row_index, 'p_partkey=' || p_partkey || ', p_name=' || coalesce(p_name, 'None') || ', p_brand=' || coalesce(p_brand, 'None') AS text FROM part",
     "route_format": rf"""SELECT doc_id, CASE
   WHEN e = '.pdf' OR m = 'application/pdf' THEN 'pdf'
   WHEN e = '.pptx' OR m = 'application/vnd.openxmlformats-officedocument.presentationml.presentation' THEN 'pptx'
@@ -199,7 +198,9 @@ lists AS (SELECT query_id, list_filter({_WORD}, lambda w: length(w) >= 2)[1:64]
 rows AS (SELECT query_id, ws, unnest(range(len(ws))) AS i FROM lists)
 SELECT query_id, i::INT AS pos, ws[i + 1] AS token FROM rows""",
     "hit_preview": "SELECT DISTINCT doc_id, chunk_id, replace(left(text, 80), chr(10), ' ') AS preview FROM chunks WHERE role = 'child' AND text IS NOT NULL",
-    "chunk_roles": "SELECT unnest(['document', 'page', 'slide', 'section', 'module', 'code_container', 'table']) AS block_type, 'parent' AS role UNION ALL SELECT unnest(['paragraph', 'code_block', 'code_symbol', 'table_row', 'list_item', 'shape', 'note', 'figure', 'record']), 'child'",
+    "chunk_roles": """SELECT DISTINCT storage_id, block_type, CASE
+  WHEN block_type IN ('document', 'page', 'slide', 'section', 'module', 'code_container', 'table') THEN 'parent'
+  WHEN block_type IN ('paragraph', 'code_block', 'code_symbol', 'table_row', 'list_item', 'shape', 'note', 'figure', 'record') THEN 'child' END AS role FROM chunks""",
     "interval_gaps": """WITH lines AS (SELECT l_orderkey AS key, datediff('day', DATE '1990-01-01', l_shipdate::DATE) AS s, datediff('day', DATE '1990-01-01', l_shipdate::DATE) + l_quantity::INT AS e FROM lineitem),
 ranges AS (SELECT o_orderkey AS key, datediff('day', DATE '1990-01-01', o_orderdate::DATE) AS rs FROM orders),
 clipped AS (

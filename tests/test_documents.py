@@ -3,7 +3,9 @@
 import io
 import json
 import random
+import sys
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,12 +14,14 @@ from siltstone import providers, report
 from siltstone.config import Settings, SettingsError, load_settings
 from siltstone.engine import Engine, ModelMismatch, Provider, load_qrels
 from siltstone.operators import chunking, incremental
-from siltstone.plans.documents import ELEMENTS, SAMPLES
 from siltstone.service import Refused, allowed_path, answer, authorized
 from siltstone.session import scratch_path
 from siltstone.sources import corpus, files
 from siltstone.sources.parsers import code, office, plain
 
+sys.path.insert(0, str(Path(__file__).parent))
+from samples import ELEMENTS, SAMPLES  # noqa: E402
+
 
 def shape(parsed):
     return [(b["block_id"], b["block_type"], b["text"], b["parent_block_id"], b["ord"]) for b in parsed.blocks]
