@@ -1,16 +1,33 @@
-"""Command line: parse, chunk, embed, index, query, context, eval, serve."""
+"""Command line: parse, chunk, embed, index, query, context, eval, compare, smoke, serve."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+import tempfile
 from pathlib import Path
 
 from siltstone.config import load_settings
 from siltstone.session import build_session
 
 
+def smoke(spark) -> int:
+    """0 if a text that was indexed is found, packed and labelled."""
+    from siltstone.engine import Engine
+    from siltstone.session import scratch_path
+
+    with tempfile.TemporaryDirectory(prefix="siltstone-smoke-") as folder:
+        for name, text in (("a.txt", "Pumps move water uphill."), ("b.md", "# Sails\n\nWind moves ships."), ("c.csv", "name,role\nAda,engineer\n")):
+            Path(folder, name).write_text(text, encoding="utf-8")
+        engine = Engine(spark, scratch_path(spark, "smoke"))
+        summary, _ = engine.index(folder)
+        packed = engine.context(["wind moves ships"], mode="hybrid").first()
+    fine = summary.get("new") == 3 and "Wind moves ships." in (packed["context"] or "") and packed["label"] != "empty"
+    print(json.dumps({"indexed": summary.get("new"), "label": packed["label"], "ok": fine}))
+    return 0 if fine else 1
+
+
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="siltstone")
     parser.add_argument("--root", default="siltstone_index", help="folder of the index")
@@ -28,6 +45,10 @@ def main(arguments: list[str] | None = None) -> int:
     evaluate = commands.add_parser("eval")
     evaluate.add_argument("qrels")
     evaluate.add_argument("--report", default="report.json")
+    compare = commands.add_parser("compare", help="judged queries with and without reranking over one index")
+    compare.add_argument("qrels")
+    compare.add_argument("--report", default="compare.json")
+    commands.add_parser("smoke", help="index a few texts in a scratch folder and ask for one of them")
     serve = commands.add_parser("serve")
     serve.add_argument("--host", default="127.0.0.1")
     serve.add_argument("--port", type=int, default=8000)
@@ -67,6 +88,16 @@ def main(arguments: list[str] | None = None) -> int:
         metrics, summary = engine.evaluate(load_qrels(spark, args.qrels), collection=args.collection)
         engine.report(metrics, args.report)
         show(summary)
+    elif args.command == "compare":
+        judged, found = load_qrels(spark, args.qrels), {}
+        for name, rerank in (("plain", False), ("reranked", True)):
+            metrics, summary = engine.evaluate(judged, collection=args.collection, rerank=rerank)
+            found[name] = engine.report(metrics, Path(args.report).with_suffix(f".{name}.json"), suite=name)["modes"]
+            show(summary)
+        gains = {m: {k: found["reranked"][m][k] - v for k, v in means.items() if isinstance(v, float)} for m, means in found["plain"].items()}
+        Path(args.report).write_text(json.dumps({"gain": gains} | found, indent=2), encoding="utf-8")
+    elif args.command == "smoke":
+        return smoke(spark)
     else:
         from siltstone.service import serve_forever
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,3 +49,24 @@ def cosine(a: Column, b: Column) -> Column:
 def to_float32(vector: Column) -> Column:
     """The stored form of a vector."""
     return vector.cast("array<float>")
+
+
+def pack_bytes(vector: Column) -> Column:
+    """A vector as the bytes of its floats, little endian; null stays null."""
+
+    @F.pandas_udf("binary")
+    def pack(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return pack(to_float32(vector))
+
+
+def unpack_bytes(blob: Column) -> Column:
+    """The vector that the bytes hold. A length that is no multiple of four is an error."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+    odd = F.raise_error(F.lit("the bytes of a vector are a multiple of four"))
+    return F.when(F.octet_length(blob) % 4 != 0, odd.cast("array<float>")).otherwise(unpack(blob))

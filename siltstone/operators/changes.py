@@ -40,6 +40,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.session import SMALL
+
 _MASK = (1 << 33) - 1
 
 
@@ -147,7 +149,7 @@ class ChangeLog:
         if ends:
             # a row per log partition, of which there are as many as tasks that append at once
             base = self.spark.createDataFrame(list(ends.items()), "log_partition int, __base long")
-            chosen = chosen.join(F.broadcast(base), "log_partition", "left")
+            chosen = chosen.join(F.broadcast(base) if len(ends) <= SMALL else base, "log_partition", "left")
             chosen = chosen.withColumn("log_offset", F.col("log_offset") + F.coalesce("__base", F.lit(0))).drop("__base")
         columns = [self.key, self.version, *self.values, "log_partition", "log_offset"]
         name = f"log/{last + 1}-{uuid.uuid4().hex}"
@@ -191,7 +193,8 @@ class ChangeLog:
         inside = (F.col("log_offset") >= F.col("__from")) & (F.col("log_offset") < F.col("__to"))
         log = self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders])
         # a row per log partition, of which there are as many as tasks that append at once
-        return log.join(F.broadcast(table), "log_partition").filter(inside).drop("__from", "__to")
+        table = F.broadcast(table) if len(spans) <= SMALL else table
+        return log.join(table, "log_partition").filter(inside).drop("__from", "__to")
 
     def _nothing(self) -> DataFrame:
         values = ", ".join(f"{v} string" for v in self.values)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hmac
 import json
+from dataclasses import replace
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 from typing import Any
 
 from siltstone.config import MAX_CANDIDATES, MAX_TOP_K, SettingsError
 from siltstone.engine import Engine, ModelMismatch
+from siltstone.providers import PROVIDERS
 
 
 class Refused(Exception):
@@ -36,27 +38,78 @@ def authorized(headers: Any, key: str | None) -> bool:
     return hmac.compare_digest(given.encode(), key.encode())
 
 
+#: Fields of the requests: type, least and most where they are numbers.
+_QUERY: dict[str, tuple[type, int | None, int | None]] = {
+    "query": (str, 1, None), "mode": (str, None, None), "top_k": (int, 1, MAX_TOP_K), "candidate_k": (int, 1, MAX_CANDIDATES),
+    "rrf_k": (int, 1, None), "collection": (str, None, None), "provider": (str, None, None), "rerank": (bool, None, None),
+}
+SCHEMAS: dict[str, dict[str, tuple[type, int | None, int | None]]] = {
+    "/v1/index": {"path": (str, 1, None), "collection": (str, None, None), "provider": (str, None, None), "recursive": (bool, None, None)},
+    "/v1/retrieve": _QUERY,
+    "/v1/context": _QUERY | {"max_chars": (int, 1, None)},
+}
+REQUIRED = {"/v1/index": "path", "/v1/retrieve": "query", "/v1/context": "query"}
+
+
+def checked(path: str, body: Any) -> dict[str, Any]:
+    """The request's fields, absent ones being None; unknown fields are passed over."""
+    if not isinstance(body, dict):
+        raise Refused(422, "the body must be an object")
+    out: dict[str, Any] = {}
+    for name, (kind, least, most) in SCHEMAS[path].items():
+        value = out[name] = body.get(name)
+        if value is None:
+            if name == REQUIRED[path]:
+                raise Refused(422, f"{name} is required")
+            continue
+        if not isinstance(value, kind) or (kind is int and isinstance(value, bool)):
+            raise Refused(422, f"{name} must be of type {kind.__name__}")
+        size = len(value.strip()) if kind is str else value
+        if least is not None and size < least:
+            raise Refused(422, f"{name} must not be blank" if kind is str else f"{name} must be at least {least}")
+        if most is not None and size > most:
+            raise Refused(422, f"{name} must be at most {most}")
+    if out.get("mode") not in (None, "vector", "bm25", "hybrid"):
+        raise Refused(422, f"unknown mode {out['mode']!r}")
+    if out.get("provider") not in (None, *PROVIDERS):
+        raise Refused(422, f"unknown provider {out['provider']!r}")
+    return out
+
+
+_engines: dict[tuple[str, str], Engine] = {}
+
+
+def engine_of(engine: Engine, provider: str | None) -> Engine:
+    """The engine itself, or one of the same index with another provider, made once per process."""
+    if provider in (None, engine.provider.name):
+        return engine
+    key = (engine.folder.root, provider)
+    if key not in _engines:
+        _engines[key] = Engine(engine.spark, engine.folder.root, replace(engine.settings, embedding_provider=provider), registry=engine.registry, reranker=engine.reranker)
+    return _engines[key]
+
+
 def answer(engine: Engine, method: str, path: str, body: dict[str, Any]) -> dict[str, Any]:
     if (method, path) == ("GET", "/v1/health"):
-        return {"status": "ok", "version": engine.version()}
+        return {"status": "ok", "version": engine.version(), "root": engine.folder.root, "collection": engine.settings.collection}
     if method != "POST" or path not in ("/v1/index", "/v1/retrieve", "/v1/context"):
         raise Refused(404, "not found")
+    asked = checked(path, body)
+    engine = engine_of(engine, asked.pop("provider"))
     if path == "/v1/index":
-        target = allowed_path(str(body.get("path", "")), engine.settings.index_roots)
-        summary, results = engine.index(target, body.get("collection"))
+        target = allowed_path(asked["path"], engine.settings.index_roots)
+        walk = {} if asked["recursive"] is None else {"recursive": asked["recursive"]}
+        summary, results = engine.index(target, asked["collection"], **walk)
         failed = [r.asDict() for r in results.filter("status = 'failed'").select("path", "error").collect()]
         if target.is_file() and failed:
             raise Refused(415 if "unsupported" in failed[0]["error"] else 422, failed[0]["error"])
-        return summary | {"failures": failed}
-    query = body.get("query")
-    if not isinstance(query, str) or not query.strip():
-        raise Refused(422, "query must be a text")
-    how = {k: body.get(k) for k in ("mode", "top_k", "candidate_k", "rrf_k", "collection", "rerank")}
-    if (how["top_k"] or 1) > MAX_TOP_K or (how["candidate_k"] or 1) > MAX_CANDIDATES:
-        raise Refused(422, f"top_k is at most {MAX_TOP_K}, candidate_k at most {MAX_CANDIDATES}")
+        return summary | {"failures": failed, "max_files": engine.settings.max_index_files, "path": str(target), "collection": asked["collection"] or engine.settings.collection}
+    query, mode = asked.pop("query"), asked["mode"] or engine.settings.mode
     if path == "/v1/retrieve":
-        return {"query": query, "hits": [json.loads(x) for x in engine.retrieve([query], **how).orderBy("rank").toJSON().collect()]}
-    return json.loads(engine.context([query], max_chars=body.get("max_chars"), **how).toJSON().first())
+        hits = [json.loads(x) for x in engine.retrieve([query], **asked).orderBy("rank").toJSON().collect()]
+        reranked = engine.settings.rerank_enabled if asked["rerank"] is None else asked["rerank"]
+        return {"query": query, "mode": mode, "hits": hits, "reranked": reranked}
+    return json.loads(engine.context([query], **asked).toJSON().first()) | {"mode": mode}
 
 
 def handler(engine: Engine, key: str | None) -> type[BaseHTTPRequestHandler]:

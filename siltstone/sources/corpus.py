@@ -58,3 +58,30 @@ def corpus_subset(documents: DataFrame, qrels: DataFrame, max_docs: int | None)
     rows = rows.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
     held = judged.join(rows.select("doc_id"), "doc_id", "left_semi").select("query_id").distinct()
     return rows, judged.join(held, "query_id", "left_semi")
+
+
+def load_corpus(spark: SparkSession, folder: str, split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A judged corpus as it is commonly handed on: `corpus.jsonl` (_id, title, text), `queries.jsonl` (_id, text)
+    and `qrels/<split>.tsv` (query-id, corpus-id, score).
+
+    Returns documents (doc_id, text: the title, a blank line and the text), queries (query_id, query) that
+    have a judgement above 0, and judgements (query_id, doc_id, relevance).
+    """
+    text = F.concat_ws("\n\n", F.nullif(F.trim("title"), F.lit("")), "text")
+    documents = spark.read.schema("_id string, title string, text string").json(f"{folder}/corpus.jsonl").select(F.col("_id").alias("doc_id"), text.alias("text"))
+    judged = spark.read.option("header", True).option("sep", "\t").csv(f"{folder}/qrels/{split}.tsv")
+    qrels = judged.toDF("query_id", "doc_id", "relevance").withColumn("relevance", F.col("relevance").cast("int"))
+    queries = spark.read.schema("_id string, text string").json(f"{folder}/queries.jsonl").select(F.col("_id").alias("query_id"), F.col("text").alias("query"))
+    return documents, queries.join(qrels.filter("relevance > 0").select("query_id").distinct(), "query_id", "left_semi"), qrels
+
+
+def file_name(doc_id: str) -> str:
+    """The name of a document's file: anything but letters and digits as `_`. Distinct ids may share one."""
+    return "".join(c if c.isalnum() else "_" for c in doc_id) + ".txt"
+
+
+def judged_queries(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Queries and judgements as the engine evaluates them: id, query, focus, expect_empty, relevant."""
+    rule = F.struct(F.lit(None).cast("string").alias("source_contains"), F.lit(None).cast("string").alias("text_contains"), F.col("doc_id").alias("external_id"))
+    rules = qrels.filter("relevance > 0").groupBy("query_id").agg(F.array_sort(F.collect_set(rule), lambda a, b: F.when(a["external_id"] < b["external_id"], -1).otherwise(1)).alias("relevant"))
+    return queries.join(rules, "query_id").select(F.col("query_id").alias("id"), "query", F.lit(None).cast("string").alias("focus"), F.lit(False).alias("expect_empty"), "relevant")

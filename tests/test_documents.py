@@ -4,19 +4,22 @@ import io
 import json
 import random
 import sys
+import threading
 import zipfile
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone import providers, report
+from siltstone import __main__ as command
+from siltstone import client, providers, report, service, session
 from siltstone.config import Settings, SettingsError, load_settings
 from siltstone.engine import Engine, ModelMismatch, Provider, load_qrels
 from siltstone.operators import chunking, incremental
 from siltstone.service import Refused, allowed_path, answer, authorized
 from siltstone.session import scratch_path
-from siltstone.sources import corpus, files
+from siltstone.functions import vectors
+from siltstone.sources import corpus, files, pdf
 from siltstone.sources.parsers import code, office, plain
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -395,3 +398,78 @@ def test_engine_adds_segments(spark, tmp_path, monkeypatch):
     qrels = spark.createDataFrame([("1", "changed again", False, [(None, "changed", None)])], f"id string, query string, expect_empty boolean, relevant array<{corpus.RULE}>")
     made = engine.suite(folder, qrels, tmp_path / "out" / "r.json")
     assert made["modes"]["bm25"]["hit_at_k"] == 1.0 and made["run"]["index_seconds"] > 0 and "p50 ms" in (tmp_path / "out" / "r.md").read_text()
+
+
+def test_pdf_elements_from_a_source(spark, monkeypatch):
+    registry = files.Registry()
+    registry.add(pdf.pdf_parser(lambda path, content: [{"type": "Title", "text": content.decode(), "metadata": {"page_number": 2}}], strategy="auto"), prepend=True)
+    row = files.parse(spark.createDataFrame([("a.pdf", b"Report")], "path string, content binary"), registry=registry).first()
+    assert [b["block_id"] for b in row["blocks"]] == ["page_2", "sec_1"] and json.loads(row["extra_json"]) == {"strategy": "auto", "element_count": 1, "block_count": 2}
+    monkeypatch.delenv("PDF_API_KEY", raising=False)
+    with pytest.raises(SettingsError):
+        pdf.remote_elements("http://127.0.0.1:9")
+    monkeypatch.setenv("PDF_API_KEY", "k")
+    with pytest.raises(SettingsError):
+        pdf.remote_elements("http://127.0.0.1:9", "best")
+    with pytest.raises(ValueError, match="service failed"):
+        pdf.remote_elements("http://127.0.0.1:9", timeout=1)("a.pdf", b"x")
+
+
+def test_vector_bytes(spark):
+    rows = spark.createDataFrame([([1.5, -2.0],), ([],), (None,)], "v array<double>").select(vectors.pack_bytes(F.col("v")).alias("b"))
+    assert [None if r["b"] is None else bytes(r["b"]).hex() for r in rows.collect()] == ["0000c03f000000c0", "", None]
+    assert [r[0] for r in rows.select(vectors.unpack_bytes(F.col("b"))).collect()] == [[1.5, -2.0], [], None]
+    with pytest.raises(Exception, match="multiple of four"):
+        spark.createDataFrame([(b"abc",)], "b binary").select(vectors.unpack_bytes(F.col("b"))).collect()
+
+
+def test_judged_corpus(spark, tmp_path):
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "corpus.jsonl").write_text('{"_id": "d/1", "title": "T", "text": "one"}\n{"_id": "d2", "title": "", "text": "two"}\n')
+    (tmp_path / "queries.jsonl").write_text('{"_id": "q1", "text": "a"}\n{"_id": "q2", "text": "b"}\n')
+    (tmp_path / "qrels" / "test.tsv").write_text("query-id\tcorpus-id\tscore\nq1\td2\t1\nq1\td/1\t1\nq2\td2\t0\n")
+    documents, queries, qrels = corpus.load_corpus(spark, str(tmp_path))
+    assert {tuple(r) for r in documents.collect()} == {("d/1", "T\n\none"), ("d2", "two")} and qrels.count() == 3
+    row = corpus.judged_queries(queries, qrels).collect()
+    assert [(r["id"], [x["external_id"] for x in r["relevant"]]) for r in row] == [("q1", ["d/1", "d2"])]
+    assert corpus.file_name("d/1") == "d_1.txt"
+
+
+def test_service_and_client(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Wind moves ships.\n")
+    engine = Engine(spark, scratch_path(spark, "index"))
+    server = service.ThreadingHTTPServer(("127.0.0.1", 0), service.handler(engine, "k"))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        asked = client.Client(f"http://127.0.0.1:{server.server_port}", "k")
+        assert asked.health()["status"] == "ok"
+        assert asked.index(str(tmp_path), recursive=False)["new"] == 1
+        found = asked.retrieve("wind", mode="bm25", top_k=1)
+        assert found["mode"] == "bm25" and "Wind" in found["hits"][0]["text"] and found["reranked"] is False
+        assert asked.context("wind ships", mode="bm25")["context"].startswith("[1]")
+        for body, status in (({"query": " "}, 422), ({"query": "x", "top_k": 0}, 422), ({"query": "x", "top_k": "3"}, 422), ({"query": "x", "rerank": 1}, 422), ({"query": "x", "mode": "best"}, 422), ({"query": "x", "provider": "none"}, 422), ({"query": "x", "provider": "local"}, 400)):
+            with pytest.raises(client.ServiceError) as error:
+                asked._call("/v1/retrieve", body)
+            assert error.value.status == status
+        with pytest.raises(client.ServiceError) as error:
+            client.Client(asked.url).retrieve("x")
+        assert error.value.status == 401
+    finally:
+        server.shutdown()
+
+
+def test_smoke(spark, capsys):
+    assert command.smoke(spark) == 0 and json.loads(capsys.readouterr().out)["ok"]
+
+
+def test_scratch_is_refused_without_a_shared_folder():
+    class Master:
+        master, _jsc = "spark://host:7077", None
+
+    class Unset:
+        conf = {}
+        sparkContext = Master()
+
+    Master._jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+    with pytest.raises(session.SharedFolderMissing):
+        session.scratch_root(Unset())
