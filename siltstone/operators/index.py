@@ -66,16 +66,18 @@ class TextIndex:
     items: DataFrame
     postings: DataFrame
 
-    def of_terms(self, terms: DataFrame) -> DataFrame:
-        """The postings of the terms (term), of which there is a bounded number."""
-        wanted = terms.select("term").distinct()
-        named = [r["term"] for r in wanted.limit(NAMED_TERMS + 1).collect()]
+    def of_terms(self, terms: DataFrame, known: list[str] | None = None) -> DataFrame:
+        """The postings of the terms (term), of which there is a bounded number; `known` lists them, if it can."""
         rows = self.postings
-        if len(named) <= NAMED_TERMS:
+        if known is None:
+            known = [r["term"] for r in terms.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
+        if len(known) <= NAMED_TERMS:
             # literals prune folders and row groups
-            places = [r[0] for r in wanted.select(bucket(F.col("term"))).distinct().collect()]
-            return rows.filter(F.col("bucket").isin(places) & F.col("term").isin(named))
+            table = self.postings.sparkSession.createDataFrame([(t,) for t in known], "term string")
+            places = [r[0] for r in table.select(bucket(F.col("term"))).distinct().collect()]
+            return rows.filter(F.col("bucket").isin(places) & F.col("term").isin(known))
         # the folders are pruned by the join at run time
+        wanted = terms.select("term").distinct()
         return rows.join(wanted.withColumn("bucket", bucket(F.col("term"))), ["bucket", "term"], "left_semi")
 
 

@@ -42,6 +42,8 @@ def top_k(scores: DataFrame, k: int, *, best: str = "high", keys: list[str] | No
 
 #: Rows (terms of the queries, or their weights in a query) that are broadcast at once.
 BROADCAST = 200_000
+#: Rows of a batch (of a query and a term) that need not be written to be used several times.
+LOCAL = 20_000
 #: Bins that a posting's part of a score, from 0 to 1 + K1, is counted in.
 BINS = 64
 
@@ -54,6 +56,7 @@ class _Asked:
     weights: int
     kinds: int
     phrases: bool
+    terms: list[str] | None = None  # the distinct terms, if they are known here
 
     def singles(self) -> Iterator[DataFrame]:
         """(term, tid) of the terms asked for by themselves, in runs."""
@@ -70,6 +73,11 @@ def _in_runs(table: DataFrame, rows: int, key: str) -> Iterator[DataFrame]:
 
 def _terms(queries: DataFrame) -> _Asked:
     parsed = parsed_queries(queries).select(F.xxhash64("query_id").alias("qid"), "query_id", F.xxhash64("terms").alias("tid"), "terms", "qtf")
+    few = parsed.limit(LOCAL + 1).toArrow()
+    if len(few) <= LOCAL:
+        rows = queries.sparkSession.createDataFrame(few, parsed.schema)
+        terms = few["terms"].to_pylist()
+        return _Asked(rows, len(few), len(set(few["tid"].to_pylist())), any(len(t) > 1 for t in terms), sorted({x for t in terms for x in t}))
     rows = materialize(parsed, "asked")
     about = rows.agg(F.count(F.lit(1)), F.count_distinct("tid"), F.max(F.size("terms"))).first()
     return _Asked(rows, about[0], about[1], (about[2] or 0) > 1)
@@ -89,7 +97,7 @@ def _from_texts(chunks: DataFrame, asked: _Asked) -> tuple[DataFrame, DataFrame]
 
 def _from_index(index: TextIndex, asked: _Asked) -> tuple[DataFrame, DataFrame]:
     """The same from a stored index, of which only the terms' postings are read."""
-    rows = index.of_terms(asked.rows.select(F.explode("terms").alias("term")))
+    rows = index.of_terms(asked.rows.select(F.explode("terms").alias("term")), asked.terms)
     held = _union(rows.join(run, "term") for run in asked.singles()).select("id", "tid", "dl", F.col("tf").cast("long").alias("tf"))
     if asked.phrases:
         held = held.unionByName(_phrase_postings(rows.select("id", "dl", "term", F.explode("positions").alias("pos")), asked))
@@ -106,13 +114,19 @@ def _weighted(source: DataFrame | TextIndex, asked: _Asked, k: int | None = None
     stats = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl")).first()
     n, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"] or 1.0)
     length = K1 * ((1 - B) + B * F.col("dl") / avgdl)
-    parts = materialize(held.select("id", "tid", (F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("part")), "parts")
-    bins = parts.groupBy("tid", F.floor(F.col("part") * (BINS / (1 + K1))).alias("bin")).agg(F.count(F.lit(1)).alias("df"))
-    frequency = bins.groupBy("tid").agg(F.sum("df").alias("df"))
-    if own is not None:
+    part = (F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("part")
+    if own is None:
+        parts = bins_of = materialize(held.select("id", "tid", part), "parts")
+    else:
         items = own(items)
-        parts = materialize(parts.join(items.select("id"), "id", "left_semi"), "parts")
-        bins = parts.groupBy("tid", F.floor(F.col("part") * (BINS / (1 + K1))).alias("bin")).agg(F.count(F.lit(1)).alias("df"))
+        mine = items.select("id", F.lit(True).alias("mine")).distinct()
+        parts = materialize(held.select("id", "tid", part).join(mine, "id", "left"), "parts")
+        bins_of, parts = parts, parts.filter("mine").drop("mine")
+
+    def binned(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("tid", F.floor(F.col("part") * (BINS / (1 + K1))).alias("bin")).agg(F.count(F.lit(1)).alias("df"))
+
+    frequency, bins = binned(bins_of).groupBy("tid").agg(F.sum("df").alias("df")), binned(parts)
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rows = asked.rows.join(frequency, "tid").select("qid", "tid", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * F.col("qtf")).alias("weight"))
     if k is None:
@@ -121,7 +135,9 @@ def _weighted(source: DataFrame | TextIndex, asked: _Asked, k: int | None = None
     kth = bins.withColumn("above", above).filter(F.col("above") >= k).groupBy("tid").agg((F.max("bin") * ((1 + K1) / BINS)).alias("kth"))
     rows = rows.join(kth, "tid", "left")
     least = F.max(F.col("weight") * F.col("kth")).over(Window.partitionBy("qid"))
-    return parts, materialize(rows.select("qid", "tid", "weight", least.alias("least")), "weights"), items
+    rows = rows.select("qid", "tid", "weight", least.alias("least"))
+    # what is sent in one run is used once
+    return parts, rows if asked.weights <= BROADCAST else materialize(rows, "weights"), items
 
 
 def _sums(parts: DataFrame, weights: DataFrame, rows: int) -> Iterator[DataFrame]:
@@ -345,18 +361,18 @@ def dense_top_k(base: DataFrame, queries: DataFrame, k: int, *, keys: list[str]
     dimensions do not match. Null vectors take no part.
     """
     keys = keys or ITEM
-    queries = materialize(queries.filter("vector IS NOT NULL").select(query_key, F.col("vector").cast("array<double>").alias("vector")), "asked")
+    queries = queries.filter("vector IS NOT NULL").select(query_key, F.col("vector").cast("array<double>").alias("vector"))
     base = base.filter("vector IS NOT NULL").select(*keys, "vector")
     types = {**{c: t for c, t in base.dtypes if c in keys}, query_key: dict(queries.dtypes)[query_key]}
     schema = ", ".join([f"{query_key} {types[query_key]}", *[f"{c} {types[c]}" for c in keys], "score double"])
-    runs = max(1, -(-queries.count() // QUERIES_SENT))
-    if runs > 1:
-        base = materialize(base, "base")
-    found = None
-    for run in range(runs):
-        part = queries if runs == 1 else queries.filter(F.pmod(F.xxhash64(query_key), F.lit(runs)) == run)
-        part = base.mapInArrow(_nearest(_by_width(part.toArrow(), query_key), k, keys, query_key), schema)
-        found = part if found is None else found.unionByName(part)
+    few = queries.limit(QUERIES_SENT + 1).toArrow()
+    if len(few) <= QUERIES_SENT:
+        found = base.mapInArrow(_nearest(_by_width(few, query_key), k, keys, query_key), schema)
+    else:
+        queries, base = materialize(queries, "asked"), materialize(base, "base")
+        runs = -(-queries.count() // QUERIES_SENT)
+        parts = (queries.filter(F.pmod(F.xxhash64(query_key), F.lit(runs)) == run).toArrow() for run in range(runs))
+        found = _union(base.mapInArrow(_nearest(_by_width(part, query_key), k, keys, query_key), schema) for part in parts)
     return top_k(found, k, keys=keys, by=query_key)
 
 

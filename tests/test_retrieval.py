@@ -183,6 +183,7 @@ def test_weights_in_several_runs(spark, monkeypatch):
     scores = search.bm25_scores(texts, queries)
     assert one == sorted(tuple(r) for r in search.top_k(scores, 4, best="low").select(*columns).collect())
     monkeypatch.setattr(search, "BROADCAST", 2)
+    monkeypatch.setattr(search, "LOCAL", 1)
     assert one == sorted(tuple(r) for r in search.bm25_top_k(texts, queries, 4).select(*columns).collect())
 
 
