@@ -43,6 +43,11 @@ def p1_links(spark: SparkSession, folder: str) -> DataFrame:
     return p1_groups(spark, folder).select("storage_id", "copies", "links")
 
 
+def p1_document_links(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents have the same shingles, and how many other texts are alike."""
+    return p1_documents(spark, folder).select("doc_id", "copies", "links")
+
+
 def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The group of every document."""
     documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("owner"), "text")
@@ -218,6 +223,7 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p1_links": p1_links,
     "p1_documents": p1_documents,
+    "p1_document_links": p1_document_links,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_ideal": p4_ideal,
@@ -276,6 +282,31 @@ met AS (
 degrees AS (SELECT c, count(*) AS links FROM met WHERE common >= 0.6::DOUBLE * (na + nb - common) GROUP BY 1)
 SELECT t.storage_id, copies, coalesce(links, 0) AS links FROM (SELECT DISTINCT storage_id, doc_id, list_sort(s) AS s FROM sets) t
 JOIN classes USING (s) LEFT JOIN degrees USING (c)""",
+    "p1_document_links": r"""WITH words AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) < 5 THEN [hash(array_to_string(w, ' '))]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i : i + 4], ' '))))) END AS s
+  FROM words WHERE len(w) >= 1),
+classes AS MATERIALIZED (SELECT s, row_number() OVER () AS c, count(*) AS copies FROM sets GROUP BY s),
+shingles AS MATERIALIZED (SELECT c, len(s) AS n, unnest(s) AS h FROM classes),
+met AS (
+  SELECT a.c, a.n AS na, b.n AS nb, count(*) AS common FROM shingles a JOIN shingles b ON a.h = b.h AND a.c <> b.c
+    AND a.n >= 0.8::DOUBLE * b.n AND b.n >= 0.8::DOUBLE * a.n GROUP BY a.c, b.c, a.n, b.n),
+degrees AS (SELECT c, count(*) AS links FROM met WHERE common >= 0.8::DOUBLE * (na + nb - common) GROUP BY 1)
+SELECT doc_id, copies, coalesce(links, 0) AS links FROM sets JOIN classes USING (s) LEFT JOIN degrees USING (c)""",
+    "p6_search": """WITH newest AS (
+  SELECT vec_id, model, dimensions, vector::DOUBLE[] AS v,
+         row_number() OVER (PARTITION BY storage_id, model ORDER BY embedded_at DESC NULLS LAST, vec_id DESC) AS r
+  FROM chunk_embeddings),
+good AS MATERIALIZED (
+  SELECT DISTINCT vec_id, model, dimensions, v FROM newest
+  WHERE r = 1 AND v IS NOT NULL AND len(v) = dimensions AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id, b.vec_id AS near_id, round(list_cosine_similarity(a.v, b.v), 9) AS s
+  FROM good a JOIN good b ON a.model = b.model AND a.dimensions = b.dimensions AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT vec_id, rank, near_id, round(s, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, near_id)::INT AS rank FROM pairs) WHERE rank <= 5""",
     "p6_found": """WITH newest AS (
   SELECT vec_id, model, dimensions, vector::DOUBLE[] AS v,
          row_number() OVER (PARTITION BY storage_id, model ORDER BY embedded_at DESC NULLS LAST, vec_id DESC) AS r
