@@ -41,7 +41,8 @@ def parse_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def parse_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that the parser of their path could not read; their blocks are paragraphs."""
-    return _blocks(spark, folder).filter("error IS NOT NULL").select("doc_id", "error")
+    reason = F.regexp_extract("error", "^[^:;]+: [^:;]+", 0)
+    return _blocks(spark, folder).filter("error IS NOT NULL").select("doc_id", reason.alias("error"))
 
 
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -267,6 +268,9 @@ WHERE NOT list_bool_or(list_transform(string_split(source_path, '/'), lambda p:
     "parse_files": f"""WITH {_PARAGRAPHS}, own AS (SELECT * FROM pieces WHERE {_SUFFIX} IN ('.txt', '.log', '.rst', '.text'))
 SELECT doc_id, 'doc_root' AS block_id, 'document' AS block_type, 0 AS ord, '' AS text FROM own
 UNION ALL SELECT doc_id, 'p_' || i, 'paragraph', i::INT, ps[i + 1] FROM (SELECT doc_id, ps, unnest(range(len(ps))) AS i FROM own)""",
+    "parse_errors": f"""SELECT * FROM (SELECT doc_id, CASE
+  WHEN {_SUFFIX} IN ('.docx', '.pptx') THEN 'ParseError: not a zip archive' WHEN {_SUFFIX} = '.pdf' THEN 'ValueError: PDF pages need an element source'
+  WHEN {_SUFFIX} = '.json' AND NOT json_valid(text) THEN 'ParseError: invalid JSON' END AS error FROM documents WHERE text IS NOT NULL) WHERE error IS NOT NULL""",
     "parse_formats": """WITH c AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS m FROM customer)
 SELECT k || '.' || ext AS path, seq::INT AS block_seq, kind AS block_type, text, parent AS parent_block_id FROM (
   SELECT k, unnest([
