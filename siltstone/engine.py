@@ -294,11 +294,13 @@ class Engine:
         gold = asked.select("query_id", F.when(F.col("expect_empty"), 0).otherwise(F.greatest(F.lit(1), F.size("relevant"))).alias("gold_count"))
         pool = max(top_k * multiplier, top_k)
         ranked = self._channels(asked, list(modes), pool, collection, rerank)
-        out = None
+        pools = None
         for mode, hits in ranked.items():
-            hits = hits.join(known.select("doc_id", "key"), "doc_id").select("query_id", "rank", F.col("key").alias("doc_id"))
-            part = evaluation.query_metrics(evaluation.collapse_documents(hits, relevant, top_k), gold, top_k).withColumn("mode", F.lit(mode))
-            out = part if out is None else out.unionByName(part)
+            part = hits.join(known.select("doc_id", "key"), "doc_id").select("query_id", "rank", F.col("key").alias("doc_id"), F.lit(mode).alias("mode"))
+            pools = part if pools is None else pools.unionByName(part)
+        by = ["query_id", "mode"]
+        gold = gold.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in ranked])))
+        out = evaluation.query_metrics(evaluation.collapse_documents(pools, relevant, top_k, by), gold, top_k, by)
         metrics = materialize(out, "metrics")
         return metrics, evaluation.mode_summary(metrics)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.ordering import at_places
-from siltstone.session import materialize
+from siltstone.session import SMALL, materialize
 
 METRICS = ("hit", "recall", "reciprocal_rank", "ndcg")
 #: Rule strings searched for at once; more are searched in several passes.
@@ -61,35 +61,38 @@ def rule_match(texts: DataFrame, rules: DataFrame) -> DataFrame:
     return (out if out is not None else texts.limit(0).mapInPandas(lambda x: x, schema)).distinct()
 
 
-def collapse_documents(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """Ranked chunks (query_id, rank, doc_id) -> ranked documents, cut to k: query_id, rank,
-    doc_id, relevant. A document ranks where its best chunk does and is relevant if it is in
-    `relevant` (query_id, doc_id)."""
-    best = hits.groupBy("query_id", "doc_id").agg(F.min("rank").alias("best"))
-    marks = relevant.select("query_id", "doc_id").distinct().withColumn("relevant", F.lit(1))
-    best = best.join(marks, ["query_id", "doc_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
-    window = Window.partitionBy("query_id").orderBy("best", "doc_id")
-    ranked = best.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "doc_id", "relevant")
+def collapse_documents(hits: DataFrame, relevant: DataFrame, k: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
+    """Ranked chunks (by, rank, doc_id) -> ranked documents, cut to k: by, rank, doc_id, relevant. A
+    document ranks where its best chunk does and is relevant if it is in `relevant` (query_id,
+    doc_id), of which only the rows of ranked documents are looked at further. `by` is query_id and
+    whatever else tells rankings apart, such as the mode."""
+    best = hits.groupBy(*by, "doc_id").agg(F.min("rank").alias("best"))
+    window = Window.partitionBy(*by).orderBy("best", "doc_id")
+    ranked = materialize(best.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k), "ranked")
+    met = ranked.select("query_id", "doc_id").distinct()
+    met = F.broadcast(met) if ranked.count() <= SMALL else met
+    marks = relevant.select("query_id", "doc_id").join(met, ["query_id", "doc_id"], "left_semi").distinct().withColumn("relevant", F.lit(1))
+    rows = ranked.join(marks, ["query_id", "doc_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
+    return rows.select(*by, "rank", "doc_id", "relevant")
 
 
-def query_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """Per query of `gold` (query_id, gold_count): hit, recall, reciprocal_rank, ndcg, first_relevant_rank,
+def query_metrics(ranked: DataFrame, gold: DataFrame, k: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
+    """Per query of `gold` (by, gold_count): hit, recall, reciprocal_rank, ndcg, first_relevant_rank,
     relevant_in_top_k. Without gold all four are 1 if nothing relevant was found, else 0."""
     gain = F.col("relevant") / F.log2(F.col("rank") + 1.0)
-    sums = ranked.filter(F.col("rank") <= k).groupBy("query_id").agg(
+    sums = ranked.filter(F.col("rank") <= k).groupBy(*by).agg(
         F.sum(F.when(F.col("relevant") > 0, 1).otherwise(0)).alias("found"),
         F.min(F.when(F.col("relevant") > 0, F.col("rank"))).alias("first"),
         F.sum(gain).alias("dcg"),
     )
-    rows = gold.select("query_id", "gold_count").join(sums, "query_id", "left").fillna(0, ["found"]).fillna(0.0, ["dcg"])
+    rows = gold.select(*by, "gold_count").join(sums, list(by), "left").fillna(0, ["found"]).fillna(0.0, ["dcg"])
     none = F.col("gold_count") <= 0
     clean = F.when(F.col("found") == 0, 1.0).otherwise(0.0)
     places = F.sequence(F.lit(1), F.greatest(F.least(F.col("gold_count").cast("int"), F.lit(k)), F.lit(1)))
     ideal = F.aggregate(places, F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     least = lambda c: F.least(F.lit(1.0), c)
     return rows.select(
-        "query_id", "gold_count",
+        *by, "gold_count",
         F.when(none, clean).otherwise(F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0)).alias("hit"),
         F.when(none, clean).otherwise(least(F.col("found") / F.col("gold_count"))).alias("recall"),
         F.when(none, clean).otherwise(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("reciprocal_rank"),

@@ -159,12 +159,13 @@ def _metrics(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["query_id", "rank", "doc_id"]
     both = fused.join(answered, "query_id", "left_semi").select(*columns).unionByName(vector.join(answered, "query_id", "left_anti").select(*columns))
     relevant = materialize(rule_match(spark, folder), "relevant")
-    gold = _gold(spark, folder, relevant)
-    out = None
+    pools = None
     for mode, hits in zip(MODES, (vector, lexical, both), strict=True):
-        part = evaluation.query_metrics(evaluation.collapse_documents(hits.select(*columns), relevant, K), gold, K).withColumn("mode", F.lit(mode))
-        out = part if out is None else out.unionByName(part)
-    return materialize(out, "metrics")
+        part = hits.select(*columns, F.lit(mode).alias("mode"))
+        pools = part if pools is None else pools.unionByName(part)
+    by = ["query_id", "mode"]
+    gold = _gold(spark, folder, relevant).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in MODES])))
+    return materialize(evaluation.query_metrics(evaluation.collapse_documents(pools, relevant, K, by), gold, K, by), "metrics")
 
 
 def query_metrics(spark: SparkSession, folder: str) -> DataFrame:
