@@ -10,11 +10,13 @@ The vectors of each space (a model and a number of dimensions) are compared by c
    chosen and code words solved for by coordinate descent. The number of partitions grows with
    the space, at PER_PARTITION vectors each. Beyond LEVEL partitions a further level of centroids
    is fitted on what the levels before leave, so that the fitted model grows with the logarithm
-   of the space and the work per vector does not grow.
+   of the space. A partition's centroid is the sum of one centroid of each level.
 2. Index: every vector gets four bits per pair of dimensions. As a query it stays in its own
    partition. Its codes, not the vector, are sent to the partitions where others may look for it:
    the `probes` nearest, and every other whose centroid has a cosine of DENSE or more with it,
-   for a dense group of near copies lies in many partitions.
+   for a dense group of near copies lies in many partitions. One rule holds for any number of
+   levels: both are found exactly, and sums that no further centroid can bring near enough are
+   dropped level by level.
 3. Scan: in each partition, a query's table of 16 products per pair of dimensions is summed
    over the codes; the sums of a block are one product with the code words written out, which
    is the same and much faster in numpy. With p the product of a unit vector and its code's
@@ -41,6 +43,7 @@ A space with one vector gives no row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +68,8 @@ KEEP = 64
 DATA_BLOCK = 16_384
 QUERY_BLOCK = 8_192
 T = 0.2
+#: Sums of centroids held at a time.
+CELLS = 2_000_000
 #: Allowance for the sums in single precision.
 SLACK = 1e-5
 _KEY = ["space", "partition", "data_block", "query_block"]
@@ -139,29 +144,59 @@ def fit_levels(x: np.ndarray, wanted: int, level: int) -> list[np.ndarray]:
 def partitions_of(x: np.ndarray, levels: list[np.ndarray], probes: int, dense: float = DENSE) -> tuple[np.ndarray, list[np.ndarray]]:
     """The partition of each unit vector and the partitions it is sent to.
 
-    From one level to the next the nearest `probes` of the partitions so far go on.
+    These are the `probes` whose centroids are nearest (the first of them is its own) and all whose
+    centroids have a cosine of `dense` or more with it, exactly, for any number of levels.
     """
-    s = x @ levels[0].T
-    width = min(probes, s.shape[1])
-    if len(levels) > 1:
-        s = s - (levels[0] * levels[0]).sum(axis=1) / 2
-    else:
-        chosen = s >= dense
-        np.put_along_axis(chosen, np.argpartition(-s, width - 1, axis=1)[:, :width], True, axis=1)
-        return s.argmax(axis=1), [np.flatnonzero(c) for c in chosen]
-    ids = np.argsort(-s, axis=1, kind="stable")[:, :width]
-    at = levels[0][ids]  # (n, width, d): the centroids as far as they go
-    for c in levels[1:]:
-        # the nearest sum of centroids: x.(a + c) - |a + c|^2 / 2
-        score = (x @ c.T - (c * c).sum(axis=1) / 2)[:, None] - at @ c.T
-        score += ((at * x[:, None]).sum(axis=2) - (at * at).sum(axis=2) / 2)[:, :, None]
-        flat = score.reshape(len(x), -1)
-        width = min(probes, flat.shape[1])
-        first = np.argsort(-flat, axis=1, kind="stable")[:, :width]
-        before, last = first // len(c), first % len(c)
-        ids = np.take_along_axis(ids, before, axis=1) * len(c) + last
-        at = np.take_along_axis(at, before[:, :, None], axis=1) + c[last]
-    return ids[:, 0], list(ids)
+    dots, squares = [x @ c.T for c in levels], [(c * c).sum(axis=1) for c in levels]
+    twice = [[2 * a @ c.T for a in levels[:i]] for i, c in enumerate(levels)]
+    # the length that the levels after each can add
+    reach = [sum(np.sqrt(s.max()) for s in squares[i + 1 :]) for i in range(len(levels))]
+    sine = np.sqrt(1 - dense * dense)
+
+    def sums(i: int, row: np.ndarray, along: np.ndarray, square: np.ndarray, path: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of sums of centroids and each centroid of level i more: product with x, squared length."""
+        squared = square[:, None] + squares[i]
+        for t, p in zip(twice[i], path, strict=True):
+            squared += t[p]
+        return along[:, None] + dots[i][row], np.maximum(squared, 0)
+
+    homes, sent = [], []
+    for a in range(0, len(x), step := max(1, CELLS // math.prod(len(c) for c in levels))):
+        n = min(step, len(x) - a)
+        start = np.arange(a, a + n), np.zeros(n, np.float32), np.zeros(n, np.float32), [], np.zeros(n, np.int64)
+        # the nearest `probes` from level to level: some partitions as near as the last of these
+        row, along, square, path, ids = start
+        for i, c in enumerate(levels):
+            products, squared = sums(i, row, along, square, path)
+            score = (products - squared / 2).reshape(n, -1)
+            width = min(probes, score.shape[1])
+            first = np.argpartition(-score, width - 1, axis=1)[:, :width]
+            f, last = np.divmod((first + np.arange(n)[:, None] * score.shape[1]).ravel(), len(c))
+            row, along, square, path, ids = row[f], products[f, last], squared[f, last], [*[p[f] for p in path], last], ids[f] * len(c) + last
+        bar = np.take_along_axis(score, first, axis=1).min(axis=1)
+        far = np.sqrt(np.maximum(1 - 2 * bar, 0))
+        # all partitions no farther than that, or in the cone of `dense`
+        row, along, square, path, ids = start
+        for i, c in enumerate(levels):
+            products, squared = sums(i, row, along, square, path)
+            score = products - squared / 2
+            if i + 1 < len(levels):
+                limit = reach[i] + 1e-4
+                kept = 1 - 2 * score <= ((far + limit) ** 2)[row - a][:, None]
+                kept |= dense * np.sqrt(np.maximum(squared - products * products, 0)) - sine * products <= limit
+            else:
+                close = products >= dense * np.sqrt(np.maximum(squared, 1e-30))
+                kept = close | (score >= bar[row - a][:, None])
+            f, last = np.nonzero(kept)
+            row, along, square, path, ids = row[f], products[f, last], squared[f, last], [*[p[f] for p in path], last], ids[f] * len(c) + last
+        row, close, score = row - a, close[f, last], score[f, last]
+        order = np.lexsort((ids, -score, row))
+        row, ids, close = row[order], ids[order], close[order]
+        begin = np.searchsorted(row, np.arange(n))
+        homes.append(ids[begin])
+        chosen = close | (np.arange(len(row)) - begin[row] < probes)
+        sent += np.split(ids[chosen], np.cumsum(np.bincount(row[chosen], minlength=n))[:-1])
+    return np.concatenate(homes), sent
 
 
 def _pairs_of(x: np.ndarray) -> np.ndarray:

@@ -249,6 +249,44 @@ def test_levels_of_partitions(make, monkeypatch):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("wanted, level", [(7, 64), (60, 64), (60, 16), (60, 5)])
+def test_partitions_are_chosen_alike_for_any_number_of_levels(monkeypatch, wanted, level):
+    """The nearest partitions and all with a cosine of 0.9 or more, as by looking at every sum of centroids."""
+    monkeypatch.setattr(similar_vectors, "CELLS", 5_000)
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(size=(900, 16)), rng.normal(size=16) + 0.1 * rng.normal(size=(900, 16))])
+    units = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    levels = similar_vectors.fit_levels(units, wanted, level)
+    sums = np.zeros((1, 16))
+    for c in levels:
+        sums = (sums[:, None] + c).reshape(-1, 16)
+    away = ((units[:, None] - sums) ** 2).sum(axis=2)
+    dense = units @ sums.T >= 0.9 * np.linalg.norm(sums, axis=1)
+    home, sent = similar_vectors.partitions_of(units, levels, 4)
+    assert home.tolist() == away.argmin(axis=1).tolist()
+    for i, got in enumerate(sent):
+        assert set(got.tolist()) == set(np.argsort(away[i])[:4].tolist()) | set(np.flatnonzero(dense[i]).tolist())
+    assert wanted < 60 or max(len(got) for got in sent) > 8
+
+
+def test_dense_group_in_levels_of_partitions(make, monkeypatch):
+    """Near copies in more partitions than are probed are found where there are several levels, too."""
+    monkeypatch.setattr(similar_vectors, "PER_PARTITION", 50)
+    monkeypatch.setattr(similar_vectors, "LEVEL", 16)
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(3000, 32))
+    x[:1500] = rng.normal(size=32) + 0.15 * rng.normal(size=(1500, 32))
+    x = x.astype(np.float32)
+    units = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    exact = units @ units.T
+    np.fill_diagonal(exact, -9)
+    fifth = np.sort(exact, axis=1)[:, -5]
+    rows = [(i, f"s{i}", "m", 32, v.tolist(), None, "", "") for i, v in enumerate(x)]
+    got = similar_vectors.nearest(make(rows, VEC), 5, least=0.9).collect()
+    hits = Counter(r["vec_id"] for r in got if r["similarity"] >= fifth[r["vec_id"]] - 1e-8)
+    assert all(hits[i] == 5 for i in range(1500))
+
+
 def test_search_among_many_copies(make):
     """More copies of one vector than a block's list keeps hide neither the least ids nor nearer rows."""
     rng = np.random.default_rng(8)
