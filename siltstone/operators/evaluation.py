@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator, Sequence
-from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,48 +17,89 @@ from siltstone.session import SMALL, materialize
 METRICS = ("hit", "recall", "reciprocal_rank", "ndcg")
 #: Rule strings searched for at once; more are searched in several passes.
 RULES_AT_ONCE = 50_000
+#: Pairs of a string and a document that are handed on at once, and rows of the result of a task.
+PAIRS_AT_ONCE, ROWS_A_TASK = 100_000, 2_000_000
 
 
-def _find(rules: list[tuple[Any, str]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _find(strings: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        ids: dict[str, list] = {}
-        for query, text in rules:
-            ids.setdefault(text, []).append(query)
-        for text in ids:
-            automaton.add_word(text, text)
+        for i, text in enumerate(strings):
+            automaton.add_word(text, i)
         automaton.make_automaton()
-        for pdf in batches:
-            docs, queries = [], []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                for found in {value for _, value in automaton.iter(text.lower())}:
-                    queries += ids[found]
-                    docs += [doc] * len(ids[found])
-            yield pd.DataFrame({"query_id": queries, "doc_id": docs})
+        names = pa.array(strings, pa.string())
+
+        def pairs(found: list[int], docs: pa.Array, rows: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([names.take(pa.array(found, pa.int64())), docs.take(pa.array(rows, pa.int64()))], names=["t", "doc_id"])
+
+        for batch in batches:
+            docs, found, rows = batch.column(0), [], []
+            for i, text in enumerate(batch.column(1)):
+                own = {value for _, value in automaton.iter(text.as_py().lower())}
+                found += own
+                rows += [i] * len(own)
+                if len(found) >= PAIRS_AT_ONCE:
+                    yield pairs(found, docs, rows)
+                    found, rows = [], []
+            yield pairs(found, docs, rows)
 
     return run
 
 
-def rule_match(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct (query_id, doc_id): texts (doc_id, text; a document's pieces are its rows) that
-    contain a rule string (query_id, text_contains) in any letter case.
+def rule_strings(rules: DataFrame) -> DataFrame:
+    """Distinct (query_id, t): what is looked for. Blank rules match nothing."""
+    return rules.select("query_id", F.lower("text_contains").alias("t")).filter("t <> ''").distinct()
+
 
-    All strings are looked for in one pass over each text. The rules are read in runs of
-    RULES_AT_ONCE strings, so that what a task holds is bounded. Blank rules match nothing.
+def rule_hits(texts: DataFrame, strings: DataFrame) -> DataFrame:
+    """Distinct (t, doc_id): texts (doc_id, text; a document's pieces are its rows) that contain a
+    string (t, in lower case) in any letter case.
+
+    All strings are looked for in one pass over each text. They are read in runs of
+    RULES_AT_ONCE, so that what a task holds is bounded.
     """
-    rules = rules.select("query_id", F.lower("text_contains").alias("t")).filter("t <> ''").distinct()
+    strings = strings.select("t").distinct()
     texts = texts.filter("text IS NOT NULL").select("doc_id", "text")
-    schema = f"query_id {dict(rules.dtypes)['query_id']}, doc_id {dict(texts.dtypes)['doc_id']}"
+    schema = f"t string, doc_id {dict(texts.dtypes)['doc_id']}"
     out = None
-    runs = max(1, -(-rules.count() // RULES_AT_ONCE))
+    runs = max(1, -(-strings.count() // RULES_AT_ONCE))
     for run in range(runs):
-        part = [tuple(r) for r in rules.filter(F.pmod(F.xxhash64("t"), F.lit(runs)) == run).collect()]
+        part = [r["t"] for r in strings.filter(F.pmod(F.xxhash64("t"), F.lit(runs)) == run).collect()]
         if part:
-            found = texts.mapInPandas(_find(part), schema)
+            found = texts.mapInArrow(_find(part), schema)
             out = found if out is None else out.unionByName(found)
-    return (out if out is not None else texts.limit(0).mapInPandas(lambda x: x, schema)).distinct()
+    return (out if out is not None else texts.limit(0).select(F.col("text").alias("t"), "doc_id")).distinct()
+
+
+def rule_match(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct (query_id, doc_id): texts (doc_id, text; a document's pieces are its rows) that
+    contain a rule string (query_id, text_contains) in any letter case.
+
+    Strings and documents are paired first, whatever number of queries has a string; the pairs are
+    then dealt to tasks of about ROWS_A_TASK rows of the result. Only queries with several
+    strings can meet a document twice.
+    """
+    rules = materialize(rule_strings(rules).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id"))), "rules")
+    hits = materialize(rule_hits(texts, rules), "hits")
+    held, most = rules.agg(F.count(F.lit(1)), F.max("n")).first()
+    rows = hits.groupBy("t").agg(F.count(F.lit(1)).alias("docs")).join(rules.groupBy("t").agg(F.count(F.lit(1)).alias("queries")), "t")
+    tasks = -(-(rows.agg(F.sum(F.col("docs") * F.col("queries"))).first()[0] or 1) // ROWS_A_TASK)
+    hits = hits.repartition(tasks, "t", "doc_id")
+
+    def met(part: DataFrame) -> DataFrame:
+        return hits.join(F.broadcast(part) if held <= SMALL else part, "t").select("query_id", "doc_id")
+
+    found = met(rules.filter("n = 1"))
+    return found if (most or 1) == 1 else found.unionByName(met(rules.filter("n > 1")).distinct())
+
+
+def matched(pairs: DataFrame, strings: DataFrame, hits: DataFrame) -> DataFrame:
+    """Which of the pairs (query_id, doc_id) rule_match has, by its strings (query_id, t) and their hits
+    (t, doc_id), without the rows of all others."""
+    asked = pairs.select("query_id", "doc_id").join(strings.select("query_id", "t"), "query_id")
+    return asked.join(hits, ["t", "doc_id"], "left_semi").select("query_id", "doc_id").distinct()
 
 
 def collapse_documents(hits: DataFrame, relevant: DataFrame, k: int, by: Sequence[str] = ("query_id",)) -> DataFrame:

@@ -152,6 +152,24 @@ def test_rules_in_several_runs(spark, monkeypatch):
     assert evaluation.rule_match(texts, rules.limit(0)).count() == 0
 
 
+def test_rules_many_queries_share_are_paired_by_string(spark, monkeypatch):
+    """What a task holds depends on strings and documents, not on how many queries have a string."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(evaluation, "PAIRS_AT_ONCE", 10)
+    texts = [(i, "Alpha beta" if i % 2 else "beta GAMMA") for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts]), pa.array([t for _, t in texts])], names=["doc_id", "text"])
+    parts = list(evaluation._find(["alpha", "beta", "gamma"])(iter([batch])))
+    assert sum(len(p) for p in parts) == 80 and max(len(p) for p in parts) <= 12
+    monkeypatch.setattr(evaluation, "ROWS_A_TASK", 100)
+    rules = [(f"q{i}", "beta") for i in range(30)] + [("two", "Alpha"), ("two", "BETA"), ("two", "beta"), ("none", "delta")]
+    found = evaluation.rule_match(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(rules, "query_id string, text_contains string"))
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(q, d) for q, _ in rules[:-1] for d, _ in texts}
+    plan = evaluation.rule_hits(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([("beta",)], "t string"))
+    assert plan.count() == 40
+
+
 def test_percentiles_and_places(spark):
     from siltstone.operators.ordering import first_rows
 
