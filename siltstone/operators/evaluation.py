@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -102,17 +102,19 @@ def matched(pairs: DataFrame, strings: DataFrame, hits: DataFrame) -> DataFrame:
     return asked.join(hits, ["t", "doc_id"], "left_semi").select("query_id", "doc_id").distinct()
 
 
-def collapse_documents(hits: DataFrame, relevant: DataFrame, k: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
+def collapse_documents(hits: DataFrame, relevant: DataFrame | Callable[[DataFrame], DataFrame], k: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
     """Ranked chunks (by, rank, doc_id) -> ranked documents, cut to k: by, rank, doc_id, relevant. A
     document ranks where its best chunk does and is relevant if it is in `relevant` (query_id,
-    doc_id), of which only the rows of ranked documents are looked at further. `by` is query_id and
-    whatever else tells rankings apart, such as the mode."""
+    doc_id), of which only the rows of ranked documents are looked at further; a function gives these
+    rows for the pairs (query_id, doc_id) ranked. `by` is query_id and whatever else tells rankings
+    apart, such as the mode."""
     best = hits.groupBy(*by, "doc_id").agg(F.min("rank").alias("best"))
     window = Window.partitionBy(*by).orderBy("best", "doc_id")
     ranked = materialize(best.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k), "ranked")
     met = ranked.select("query_id", "doc_id").distinct()
     met = F.broadcast(met) if ranked.count() <= SMALL else met
-    marks = relevant.select("query_id", "doc_id").join(met, ["query_id", "doc_id"], "left_semi").distinct().withColumn("relevant", F.lit(1))
+    marks = relevant(met) if callable(relevant) else relevant.select("query_id", "doc_id").join(met, ["query_id", "doc_id"], "left_semi").distinct()
+    marks = marks.withColumn("relevant", F.lit(1))
     rows = ranked.join(marks, ["query_id", "doc_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
     return rows.select(*by, "rank", "doc_id", "relevant")
 

@@ -163,14 +163,15 @@ def _metrics(spark: SparkSession, folder: str) -> DataFrame:
     answered = lexical.select("query_id").distinct()
     columns = ["query_id", "rank", "doc_id"]
     both = fused.join(answered, "query_id", "left_semi").select(*columns).unionByName(vector.join(answered, "query_id", "left_anti").select(*columns))
-    relevant = materialize(rule_match(spark, folder), "relevant")
+    rules = materialize(evaluation.rule_strings(_rules(spark, folder)), "rules")
+    met = materialize(evaluation.rule_hits(_texts(spark, folder), rules), "met")
     pools = None
     for mode, hits in zip(MODES, (vector, lexical, both), strict=True):
         part = hits.select(*columns, F.lit(mode).alias("mode"))
         pools = part if pools is None else pools.unionByName(part)
     by = ["query_id", "mode"]
-    gold = _gold(spark, folder, relevant).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in MODES])))
-    return materialize(evaluation.query_metrics(evaluation.collapse_documents(pools, relevant, K, by), gold, K, by), "metrics")
+    gold = _gold(spark, folder, rules.join(met.select("t").distinct(), "t", "left_semi")).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in MODES])))
+    return materialize(evaluation.query_metrics(evaluation.collapse_documents(pools, lambda pairs: evaluation.matched(pairs, rules, met), K, by), gold, K, by), "metrics")
 
 
 def query_metrics(spark: SparkSession, folder: str) -> DataFrame:

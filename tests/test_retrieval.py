@@ -170,6 +170,24 @@ def test_rules_many_queries_share_are_paired_by_string(spark, monkeypatch):
     assert plan.count() == 40
 
 
+def test_metrics_do_without_all_relevant_rows(spark, monkeypatch):
+    """Only ranked documents are judged; every query with every relevant document is not a table of theirs."""
+    from conftest import DATA
+
+    from siltstone.plans import retrieval
+
+    texts = spark.createDataFrame([(1, "Alpha beta"), (2, "BETA"), (3, None), (4, "alpha")], "doc_id long, text string")
+    rules = spark.createDataFrame([("q1", "alpha"), ("q1", "beta"), ("q2", "Beta"), ("q3", ""), ("q4", None)], "query_id string, text_contains string")
+    hits = spark.createDataFrame([(q, r, d) for q in ("q1", "q2", "q3", "q4") for r, d in ((1, 4), (2, 1), (3, 4), (4, 2), (5, 3))], "query_id string, rank int, doc_id long")
+    strings = evaluation.rule_strings(rules)
+    found = evaluation.rule_hits(texts, strings)
+    wanted = evaluation.collapse_documents(hits, evaluation.rule_match(texts, rules), 3).collect()
+    got = evaluation.collapse_documents(hits, lambda pairs: evaluation.matched(pairs, strings, found), 3).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, wanted)) and sum(r["relevant"] for r in got) == 5
+    monkeypatch.setattr(evaluation, "rule_match", None)
+    assert retrieval.mode_comparison(spark, DATA).count() == 1
+
+
 def test_percentiles_and_places(spark):
     from siltstone.operators.ordering import first_rows
 
