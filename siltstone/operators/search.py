@@ -150,6 +150,8 @@ def _sums(parts: DataFrame, weights: DataFrame, rows: int) -> Iterator[DataFrame
 
 #: Cells (of a query and an item) of a block that is summed as a whole matrix.
 CELLS = 4_000_000
+#: Rows that a task's Python hands on at once.
+SENT_ROWS = 100_000
 
 
 def sums_of_block(q: np.ndarray, item: np.ndarray, value: np.ndarray, queries: int, items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,8 +165,41 @@ def sums_of_block(q: np.ndarray, item: np.ndarray, value: np.ndarray, queries: i
     return cell // items, cell % items, np.bincount(at, value)
 
 
-def _above(weights: dict[str, np.ndarray]):
-    """Rows (id, tid, part) in order of id -> (qid, id, score) of sums that may be among the k best."""
+class Best:
+    """Of scores (the highest is best) that come bit by bit, the k best of each query and what ties with
+    the last. `edge` is what a score must have at least, as far as it is known; it only rises."""
+
+    #: Rows that may wait until those below the edge go.
+    WAITING = 500_000
+
+    def __init__(self, k: int, edge: np.ndarray):
+        self.k, self.edge, self.kept, self.waiting = k, edge.copy(), 0, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, query: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((query, row, score))
+        self.waiting += len(query)
+        if self.waiting > max(self.kept, min(self.WAITING, self.k * len(self.edge))):
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) in order of query, best first."""
+        if self.waiting:
+            query, row, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            order = np.lexsort((-score, query))
+            query, row, score = query[order], row[order], score[order]
+            last = np.searchsorted(query, np.arange(len(self.edge))) + self.k - 1
+            full = np.flatnonzero(last < len(query))
+            full = full[query[last[full]] == full]
+            self.edge[full] = np.maximum(self.edge[full], score[last[full]])
+            kept = score >= self.edge[query]
+            self.parts, self.kept, self.waiting = [(query[kept], row[kept], score[kept])], int(kept.sum()), 0
+        return self.parts[0] if self.parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _above(weights: dict[str, np.ndarray], k: int):
+    """Rows (id, tid, part) in order of id -> (qid, id, score) of sums that may be among the k best: a task
+    gives the k best of its own items, and what ties with them."""
     order = np.argsort(weights["tid"], kind="stable")
     tid, weight = weights["tid"][order], weights["weight"][order]
     qids, q = np.unique(weights["qid"][order], return_inverse=True)
@@ -174,7 +209,7 @@ def _above(weights: dict[str, np.ndarray]):
     sizes = np.diff(np.concatenate([first, [len(tid)]]))
     schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
-    def block(ids: np.ndarray, t: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    def block(best: Best, ids: np.ndarray, t: np.ndarray, part: np.ndarray) -> None:
         names, item = np.unique(ids, return_inverse=True)
         at = np.minimum(np.searchsorted(terms, t), len(terms) - 1)
         known = terms[at] == t
@@ -183,11 +218,11 @@ def _above(weights: dict[str, np.ndarray]):
         # of each row its term's weights, one after the other
         own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[at], n)
         i, j, sums = sums_of_block(q[own], np.repeat(item, n), weight[own] * np.repeat(part, n), len(qids), len(names))
-        kept = sums >= least[i] - 2e-9
-        score = np.rint(-sums[kept] * 1e9) / 1e9
-        return pa.RecordBatch.from_arrays([pa.array(qids[i[kept]]), pa.array(names[j[kept]]), pa.array(score)], schema=schema)
+        kept = sums >= best.edge[i] - 2e-9
+        best.add(i[kept], names[j[kept]], np.rint(sums[kept] * 1e9) / 1e9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k, least - 2e-9)
         width = max(1, CELLS // max(1, len(qids)))
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         for batch in batches:
@@ -195,24 +230,28 @@ def _above(weights: dict[str, np.ndarray]):
             starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]])) if len(held[0]) else []
             at = 0
             while len(starts) - at > width:  # the last item may go on in the next batch
-                yield block(*[h[starts[at] : starts[at + width]] for h in held])
+                block(best, *[h[starts[at] : starts[at + width]] for h in held])
                 at += width
             if at:
                 held = [h[starts[at] :] for h in held]
         if len(held[0]):
-            yield block(*held)
+            block(best, *held)
+        i, ids, score = best.rows()
+        for at in range(0, len(i), SENT_ROWS):
+            own = slice(at, at + SENT_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[i[own]]), pa.array(ids[own]), pa.array(-score[own])], schema=schema)
 
     return run
 
 
-def _best_sums(parts: DataFrame, weights: DataFrame, rows: int) -> Iterator[DataFrame]:
+def _best_sums(parts: DataFrame, weights: DataFrame, rows: int, k: int) -> Iterator[DataFrame]:
     """(qid, id, score) of the sums that may be among the k best, a run of queries at a time."""
     parts = parts.repartition("id").sortWithinPartitions("id").select("id", "tid", "part")
     for run in _in_runs(weights, rows, "qid"):
         table = run.toPandas()  # about BROADCAST rows
         own = {c: table[c].to_numpy(np.float64 if c in ("weight", "least") else np.int64) for c in ("qid", "tid", "weight", "least")}
         if len(table):
-            yield parts.mapInArrow(_above(own), "qid long, id long, score double")
+            yield parts.mapInArrow(_above(own, k), "qid long, id long, score double")
         else:
             yield parts.limit(0).select(F.col("tid").alias("qid"), "id", F.col("part").alias("score"))
 
@@ -268,8 +307,8 @@ def bm25_top_k(source: DataFrame | TextIndex, queries: DataFrame, k: int, within
         place = F.rank().over(Window.partitionBy(*by).orderBy("score"))
         return scores.withColumn("place", place).filter(F.col("place") <= k).drop("place", group or "place")
 
-    sums = _best_sums if groups is None else _sums
-    found = _union(best(scores) for scores in sums(parts, weights, asked.weights))
+    sums = _best_sums(parts, weights, asked.weights, k) if groups is None else _sums(parts, weights, asked.weights)
+    found = _union(best(scores) for scores in sums)
     named = found.join(items, "id").join(names, "qid")
     keys = ["query_id"] if group is None else ["query_id", group]
     place = Window.partitionBy(*keys).orderBy("score", *ITEM)
@@ -289,38 +328,69 @@ def _phrase_postings(places: DataFrame, asked: _Asked) -> DataFrame:
 
 #: Rows of the query and of the vector matrix that are multiplied at once, and queries sent to the tasks at once.
 QUERY_ROWS, BASE_ROWS, QUERIES_SENT = 1_024, 16_384, 8_192
+#: Products of a tile, that stays in the processor's cache, and numbers of the vectors that first bounds come from.
+TILE, BOUNDED_BY = 1 << 20, 1 << 20
 
 
-def _nearest(asked: dict[int, tuple[pa.Array, np.ndarray]], k: int, keys: list[str], query_key: str):
+def nearest_rows(q: np.ndarray, b: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine to 9 decimals) of the k best rows of unit vectors for each query, by row if they
+    tie; none below what `least` says the query's k-th best is at least.
+
+    Tiles are multiplied in single precision; what may reach the bound known so far, allowing for the
+    error of that, is multiplied again in double precision.
+    """
+    best, slack = Best(k, least), (q.shape[1] + 4) * 1.2e-7 + 1e-9
+    q32, b32 = q.astype(np.float32), np.ascontiguousarray(b.T, dtype=np.float32)
+    step = max(1, TILE // max(1, len(q)))
+    for at in range(0, len(b), step):
+        if (best.edge == -np.inf).any() and at == 0:
+            scores = np.round(q @ b[:step].T, 9) + 0.0
+            n = min(k, scores.shape[1])
+            i, j = np.nonzero(scores >= np.fmax(-np.partition(-scores, n - 1, axis=1)[:, n - 1], best.edge)[:, None])
+            best.add(i, j, scores[i, j])
+            best.rows()
+            continue
+        part = b32[:, at : at + step]
+        near = np.flatnonzero(q32 @ part >= (best.edge - slack).astype(np.float32)[:, None])
+        i, j = np.divmod(near, part.shape[1])
+        j += at
+        best.add(i, j, np.round(np.einsum("rc,rc->r", q[i], b[j]), 9) + 0.0)
+    i, j, score = best.rows()
+    order = np.lexsort((j, -score, i))
+    i, j, score = i[order], j[order], score[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < k
+    return i[kept], j[kept], score[kept]
+
+
+def _unit(b: np.ndarray) -> np.ndarray:
+    """Rows of length one; those without length stay."""
+    norm = np.linalg.norm(b, axis=1)
+    return b / np.where(norm > 0, norm, 1)[:, None]
+
+
+def _nearest(asked: dict[int, tuple[pa.Array, np.ndarray, np.ndarray]], k: int, keys: list[str], query_key: str):
     """Batches (keys, vector) -> (query_key, keys, score): of every block of rows the k best of each query.
 
-    `asked` has the ids and unit vectors of the queries by their number of dimensions.
+    `asked` has the ids, unit vectors and bounds of the queries by their number of dimensions.
     """
 
-    def best(q: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        norm = np.linalg.norm(b, axis=1)
-        b = (b / np.where(norm > 0, norm, 1)[:, None]).T
+    def best(q: np.ndarray, b: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        b = _unit(b)
         for at in range(0, len(q), QUERY_ROWS):
-            scores = np.round(q[at : at + QUERY_ROWS] @ b, 9) + 0.0
-            n = min(k, scores.shape[1])
-            edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
-            i, j = np.nonzero(scores >= edge)  # all ties of the last place
-            order = np.lexsort((j, -scores[i, j], i))
-            i, j = i[order], j[order]
-            kept = np.arange(len(i)) - np.searchsorted(i, np.arange(len(scores)))[i] < n
-            yield at + i[kept], j[kept], scores[i[kept], j[kept]]
+            i, j, score = nearest_rows(q[at : at + QUERY_ROWS], b, k, least[at : at + QUERY_ROWS])
+            yield at + i, j, score
 
     def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.sort_by([(c, "ascending") for c in keys]).combine_chunks()
         vectors = rows["vector"].combine_chunks()
         widths = vectors.value_lengths().to_numpy(zero_copy_only=False)
-        for width, (ids, q) in asked.items():
+        for width, (ids, q, least) in asked.items():
             own = np.flatnonzero(widths == width)
             if not len(own):
                 continue
             taken = rows.take(own)
             b = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-            for i, j, score in best(q, b):
+            for i, j, score in best(q, b, least):
                 named = taken.take(j)
                 columns = [ids.take(pa.array(i)), *[named[c].combine_chunks() for c in keys], pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, names=[query_key, *keys, "score"])
@@ -339,24 +409,51 @@ def _nearest(asked: dict[int, tuple[pa.Array, np.ndarray]], k: int, keys: list[s
     return run
 
 
-def _by_width(rows: pa.Table, query_key: str) -> dict[int, tuple[pa.Array, np.ndarray]]:
-    vectors, ids = rows["vector"].combine_chunks(), rows[query_key].combine_chunks()
+def _matrices(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By number of dimensions: places and rows of the vectors."""
     widths = vectors.value_lengths().to_numpy(zero_copy_only=False)
-    out = {}
     for width in np.unique(widths[widths > 0]).tolist():
         own = np.flatnonzero(widths == width)
-        q = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+        yield width, own, vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def _by_width(rows: pa.Table, query_key: str) -> dict[int, tuple[pa.Array, np.ndarray, np.ndarray]]:
+    ids = rows[query_key].combine_chunks()
+    out = {}
+    for width, own, q in _matrices(rows["vector"].combine_chunks()):
         norm = np.linalg.norm(q, axis=1)
         if (norm > 0).any():
-            out[width] = (ids.take(pa.array(own[norm > 0])), q[norm > 0] / norm[norm > 0][:, None])
+            least = rows["least"].to_numpy()[own] if "least" in rows.column_names else np.full(len(own), -np.inf)
+            out[width] = (ids.take(pa.array(own[norm > 0])), q[norm > 0] / norm[norm > 0][:, None], least[norm > 0])
     return out
 
 
+def _bounds(held: pa.Array, k: int, query_key: str):
+    """Batches (query_key, vector) -> with `least`: the k-th best cosine among some vectors, which all of
+    them cannot fall below."""
+    some = {width: _unit(b) for width, _, b in _matrices(held)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = np.full(len(batch), -np.inf)
+            for width, own, q in _matrices(batch.column(1)):
+                if width in some and len(some[width]) >= k:
+                    for at in range(0, len(q), QUERY_ROWS):
+                        rows = own[at : at + QUERY_ROWS]
+                        i, _, score = nearest_rows(_unit(q[at : at + QUERY_ROWS]), some[width], k, least[rows])
+                        last = np.flatnonzero(np.bincount(i, minlength=len(rows)) == k)
+                        least[rows[last]] = score[np.searchsorted(i, last) + k - 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], names=[query_key, "vector", "least"])
+
+    return run
+
+
 def dense_top_k(base: DataFrame, queries: DataFrame, k: int, *, keys: list[str] | None = None, query_key: str = "query_id") -> DataFrame:
     """Exact cosine: the k best of `base` (keys, vector) for each query (query_id, vector).
 
     The vectors stay where they are; the queries are sent to them, QUERIES_SENT at a time, and
-    multiplied with blocks of them as matrices. A block gives its k best.
+    multiplied with blocks of them as matrices. A block gives its k best. Of many queries the k best
+    of some vectors are found first: all vectors are then looked through for better ones only.
     A query without length finds nothing; a vector without length scores 0; other numbers of
     dimensions do not match. Null vectors take no part.
     """
@@ -369,7 +466,10 @@ def dense_top_k(base: DataFrame, queries: DataFrame, k: int, *, keys: list[str]
     if len(few) <= QUERIES_SENT:
         found = base.mapInArrow(_nearest(_by_width(few, query_key), k, keys, query_key), schema)
     else:
-        queries, base = materialize(queries, "asked"), materialize(base, "base")
+        base = materialize(base, "base")
+        widest = base.agg(F.max(F.size("vector"))).first()[0] or 1
+        some = base.select("vector").limit(max(1, BOUNDED_BY // widest)).toArrow()["vector"].combine_chunks()
+        queries = materialize(queries.mapInArrow(_bounds(some, k, query_key), f"{query_key} {types[query_key]}, vector array<double>, least double"), "asked")
         runs = -(-queries.count() // QUERIES_SENT)
         parts = (queries.filter(F.pmod(F.xxhash64(query_key), F.lit(runs)) == run).toArrow() for run in range(runs))
         found = _union(base.mapInArrow(_nearest(_by_width(part, query_key), k, keys, query_key), schema) for part in parts)

@@ -58,6 +58,41 @@ def test_dense_equals_expressions(spark, monkeypatch):
     assert found == sorted(tuple(r) for r in exact.select("query_id", "rank", "doc_id", "score").collect())
 
 
+def test_nearest_rows_are_the_k_best_by_row(monkeypatch):
+    """In tiles and with bounds: ties, repeated and missing vectors, fewer rows than k."""
+    rng = np.random.default_rng(20261129)
+    for tile in (40, 1 << 20):
+        monkeypatch.setattr(search, "TILE", tile)
+        for rows, k in ((3, 5), (200, 5), (200, 1)):
+            q, b = (search._unit(rng.integers(-2, 3, (n, 3)).astype(float)) for n in (20, rows))
+            exact = np.round(q @ b.T, 9) + 0.0
+            order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+            kth = np.take_along_axis(exact, order, 1)[:, -1]
+            for least in (np.full(20, -np.inf), kth if rows > k else kth - 1):
+                i, j, score = search.nearest_rows(q, b, k, least)
+                assert i.tolist() == np.repeat(np.arange(20), order.shape[1]).tolist() and j.tolist() == order.ravel().tolist()
+                assert score.tolist() == exact[i, j].tolist()
+
+
+def test_a_task_gives_the_k_best_sums_of_its_items(monkeypatch):
+    """And what ties with them, however many of its items are above what was known before."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "CELLS", 60)
+    rng = np.random.default_rng(20261129)
+    part = rng.integers(1, 40, (300, 4)) / 4
+    weights = {"qid": np.repeat(np.arange(6), 2), "tid": np.array([0, 1, 1, 2, 2, 3, 0, 3, 0, 2, 1, 3]), "weight": np.ones(12), "least": np.full(12, np.nan)}
+    ids, tids = np.divmod(np.arange(1200), 4)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(tids[x]), pa.array(part.ravel()[x])], names=["id", "tid", "part"]) for x in np.array_split(np.arange(1200), 7)]
+    found = {}
+    for batch in search._above(weights, 5)(iter(batches)):
+        for q, i, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found.setdefault(q, set()).add((i, -score))
+    for q in range(6):
+        sums = part[:, weights["tid"][weights["qid"] == q]].sum(axis=1)
+        assert found[q] == {(i, x) for i, x in enumerate(sums.tolist()) if x >= np.sort(sums)[-5]}
+
+
 def test_rrf_ties_and_bounds(spark):
     ddl = "query_id string, doc_id long, chunk_id string, rank int"
     one = spark.createDataFrame([("q", 1, "a", 1), ("q", 2, "b", 2)], ddl)
