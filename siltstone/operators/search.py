@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -197,63 +198,95 @@ class Best:
         return self.parts[0] if self.parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
+class Weights:
+    """The weights of a run of queries, by term."""
+
+    def __init__(self, rows: dict[str, np.ndarray]):
+        order = np.argsort(rows["tid"], kind="stable")
+        tid, self.weight = rows["tid"][order], rows["weight"][order]
+        self.qids, self.q = np.unique(rows["qid"][order], return_inverse=True)
+        self.least = np.full(len(self.qids), -np.inf)
+        np.maximum.at(self.least, self.q, np.where(np.isnan(rows["least"][order]), -np.inf, rows["least"][order]))
+        self.terms, self.first = np.unique(tid, return_index=True)
+        self.sizes = np.diff(np.concatenate([self.first, [len(tid)]]))
+        #: Items that are summed at once.
+        self.width = max(1, CELLS // max(1, len(self.qids)))
+
+    def sums(self, item: np.ndarray, t: np.ndarray, part: np.ndarray, items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, item, sum) of the postings (item, term, part), queries and items by their place."""
+        at = np.minimum(np.searchsorted(self.terms, t), len(self.terms) - 1)
+        known = self.terms[at] == t
+        at, item, part = at[known], item[known], part[known]
+        n = self.sizes[at]
+        # of each row its term's weights, one after the other
+        own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[at], n)
+        return sums_of_block(self.q[own], np.repeat(item, n), self.weight[own] * np.repeat(part, n), len(self.qids), items)
+
+
 def _above(weights: dict[str, np.ndarray], k: int):
-    """Rows (id, tid, part) in order of id -> (qid, id, score) of sums that may be among the k best: a task
-    gives the k best of its own items, and what ties with them."""
-    order = np.argsort(weights["tid"], kind="stable")
-    tid, weight = weights["tid"][order], weights["weight"][order]
-    qids, q = np.unique(weights["qid"][order], return_inverse=True)
-    least = np.full(len(qids), -np.inf)
-    np.maximum.at(least, q, np.where(np.isnan(weights["least"][order]), -np.inf, weights["least"][order]))
-    terms, first = np.unique(tid, return_index=True)
-    sizes = np.diff(np.concatenate([first, [len(tid)]]))
-    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    """Rows (gid, id, tid, part) in order of gid and id -> (qid, gid, id, score) of sums that may be among the
+    k best of their group: a task gives the k best of its own items, and what ties with them."""
+    asked = Weights(weights)
+    schema = pa.schema([("qid", pa.int64()), ("gid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def block(best: Best, ids: np.ndarray, t: np.ndarray, part: np.ndarray) -> None:
         names, item = np.unique(ids, return_inverse=True)
-        at = np.minimum(np.searchsorted(terms, t), len(terms) - 1)
-        known = terms[at] == t
-        at, item, part = at[known], item[known], part[known]
-        n = sizes[at]
-        # of each row its term's weights, one after the other
-        own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[at], n)
-        i, j, sums = sums_of_block(q[own], np.repeat(item, n), weight[own] * np.repeat(part, n), len(qids), len(names))
+        i, j, sums = asked.sums(item, t, part, len(names))
         kept = sums >= best.edge[i] - 2e-9
         best.add(i[kept], names[j[kept]], np.rint(sums[kept] * 1e9) / 1e9)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(k, least - 2e-9)
-        width = max(1, CELLS // max(1, len(qids)))
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        for batch in batches:
-            held = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for c, h in enumerate(held)]
-            starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]])) if len(held[0]) else []
-            at = 0
-            while len(starts) - at > width:  # the last item may go on in the next batch
-                block(best, *[h[starts[at] : starts[at + width]] for h in held])
-                at += width
-            if at:
-                held = [h[starts[at] :] for h in held]
-        if len(held[0]):
-            block(best, *held)
-        i, ids, score = best.rows()
+    def found(best: Best | None, group: int) -> Iterator[pa.RecordBatch]:
+        i, ids, score = best.rows() if best else ((),) * 3
         for at in range(0, len(i), SENT_ROWS):
             own = slice(at, at + SENT_ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(qids[i[own]]), pa.array(ids[own]), pa.array(-score[own])], schema=schema)
+            columns = [pa.array(asked.qids[i[own]]), pa.array(np.full(len(i[own]), group)), pa.array(ids[own]), pa.array(-score[own])]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, group = None, 0
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for c, h in enumerate(held)]
+            new = (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])
+            starts = np.concatenate([np.flatnonzero(np.concatenate([[True], new])), [len(held[0])]]) if len(held[0]) else np.zeros(1, np.int64)
+            groups = held[0][starts[:-1]]
+            at, items = 0, len(groups) - (batch is not None)  # the last item may go on in the next batch
+            while at < items:
+                to = min(at + asked.width, int(np.searchsorted(groups, groups[at], "right")))
+                if to > items or (batch is not None and to == items and to - at < asked.width):
+                    break
+                if best is None or groups[at] != group:
+                    yield from found(best, group)
+                    best, group = Best(k, asked.least - 2e-9), int(groups[at])
+                block(best, *[h[starts[at] : starts[to]] for h in held[1:]])
+                at = to
+            held = [h[starts[at] :] for h in held]
+        yield from found(best, group)
 
     return run
 
 
-def _best_sums(parts: DataFrame, weights: DataFrame, rows: int, k: int) -> Iterator[DataFrame]:
-    """(qid, id, score) of the sums that may be among the k best, a run of queries at a time."""
-    parts = parts.repartition("id").sortWithinPartitions("id").select("id", "tid", "part")
+def _rows_of(run: DataFrame) -> dict[str, np.ndarray]:
+    """The weights of a run of queries, about BROADCAST rows."""
+    table = run.toPandas()
+    return {c: table[c].to_numpy(np.float64 if c in ("weight", "least") else np.int64) for c in ("qid", "tid", "weight", "least")}
+
+
+def _best_sums(parts: DataFrame, weights: DataFrame, rows: int, k: int, groups: DataFrame | None = None) -> Iterator[DataFrame]:
+    """(qid, gid, id, score) of the sums that may be among the k best, a run of queries at a time. With
+    `groups` (gid, id) these are the k best of each group; a task has few groups, or a part of one."""
+    if groups is None:
+        parts = parts.repartition("id").select(F.lit(0).cast("long").alias("gid"), "id", "tid", "part")
+    else:
+        parts = parts.join(groups, "id").repartitionByRange("gid", "id").select("gid", "id", "tid", "part")
+    parts = parts.sortWithinPartitions("gid", "id")
     for run in _in_runs(weights, rows, "qid"):
-        table = run.toPandas()  # about BROADCAST rows
-        own = {c: table[c].to_numpy(np.float64 if c in ("weight", "least") else np.int64) for c in ("qid", "tid", "weight", "least")}
-        if len(table):
-            yield parts.mapInArrow(_above(own, k), "qid long, id long, score double")
+        own = _rows_of(run)
+        if len(own["tid"]):
+            yield parts.mapInArrow(_above(own, k), "qid long, gid long, id long, score double")
         else:
-            yield parts.limit(0).select(F.col("tid").alias("qid"), "id", F.col("part").alias("score"))
+            yield parts.limit(0).select(F.col("tid").alias("qid"), "gid", "id", F.col("part").alias("score"))
 
 
 def _union(frames: Iterable[DataFrame]) -> DataFrame:
@@ -290,7 +323,6 @@ def bm25_top_k(source: DataFrame | TextIndex, queries: DataFrame, k: int, within
     by, group = ["qid"], None
     if groups is not None:
         group = next(c for c in groups.columns if c != "doc_id")
-        by.append(group)
 
     def own(items: DataFrame) -> DataFrame:
         if within is not None:
@@ -299,17 +331,17 @@ def bm25_top_k(source: DataFrame | TextIndex, queries: DataFrame, k: int, within
 
     parts, weights, items = _weighted(source, asked, k if groups is None else None, own if within is not None or groups is not None else None)
     if groups is not None:
-        items = materialize(items, "items")
+        items = materialize(items.withColumn("gid", F.xxhash64(group)), "items")
+        sums = _best_sums(parts, weights, asked.weights, k, items.select("id", "gid").distinct())
+        by.append("gid")
+    else:
+        sums = _best_sums(parts, weights, asked.weights, k)
 
     def best(scores: DataFrame) -> DataFrame:
-        if groups is not None:
-            scores = scores.drop("least").join(items.select("id", group), "id")
         place = F.rank().over(Window.partitionBy(*by).orderBy("score"))
-        return scores.withColumn("place", place).filter(F.col("place") <= k).drop("place", group or "place")
+        return scores.withColumn("place", place).filter(F.col("place") <= k).select(*by, "id", "score")
 
-    sums = _best_sums(parts, weights, asked.weights, k) if groups is None else _sums(parts, weights, asked.weights)
-    found = _union(best(scores) for scores in sums)
-    named = found.join(items, "id").join(names, "qid")
+    named = _union(best(scores) for scores in sums).join(items, ["id", *by[1:]]).join(names, "qid")
     keys = ["query_id"] if group is None else ["query_id", group]
     place = Window.partitionBy(*keys).orderBy("score", *ITEM)
     return named.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select(*keys, *ITEM, "score", "rank")

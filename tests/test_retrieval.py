@@ -83,14 +83,37 @@ def test_a_task_gives_the_k_best_sums_of_its_items(monkeypatch):
     part = rng.integers(1, 40, (300, 4)) / 4
     weights = {"qid": np.repeat(np.arange(6), 2), "tid": np.array([0, 1, 1, 2, 2, 3, 0, 3, 0, 2, 1, 3]), "weight": np.ones(12), "least": np.full(12, np.nan)}
     ids, tids = np.divmod(np.arange(1200), 4)
-    batches = [pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(tids[x]), pa.array(part.ravel()[x])], names=["id", "tid", "part"]) for x in np.array_split(np.arange(1200), 7)]
+    gids = ids // 130
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[x]) for c in (gids, ids, tids, part.ravel())], names=["gid", "id", "tid", "part"]) for x in np.array_split(np.arange(1200), 7)]
     found = {}
     for batch in search._above(weights, 5)(iter(batches)):
-        for q, i, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found.setdefault(q, set()).add((i, -score))
-    for q in range(6):
+        for q, g, i, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found.setdefault((q, g), set()).add((i, -score))
+    assert len(found) == 18
+    for q, g in found:
+        own = ids[gids == g][::4]
         sums = part[:, weights["tid"][weights["qid"] == q]].sum(axis=1)
-        assert found[q] == {(i, x) for i, x in enumerate(sums.tolist()) if x >= np.sort(sums)[-5]}
+        assert found[q, g] == {(i, sums[i]) for i in own.tolist() if sums[i] >= np.sort(sums[own])[-5]}
+
+
+def test_best_of_each_group_equals_all_scores(spark, monkeypatch):
+    """Of a document in several groups, and without the scores of all others leaving their tasks."""
+    texts = spark.createDataFrame(corpus(80, 7), "doc_id long, chunk_id string, text string")
+    queries = spark.createDataFrame([("q1", "alpha beta gamma"), ("q2", "zeta"), ("q3", "foo_bar eta theta"), ("q4", "nothing")], "query_id string, query string")
+    rows = [(i, f"g{i % 3}") for i in range(75)] + [(i, "also") for i in range(0, 75, 4)]
+    groups = spark.createDataFrame(rows, "doc_id long, collection string")
+    scores = [tuple(r) for r in search.bm25_scores(texts, queries).select("query_id", "score", "doc_id", "chunk_id").collect()]
+    wanted = set()
+    for q in ("q1", "q2", "q3"):
+        for group in ("g0", "g1", "g2", "also"):
+            own = sorted(r[1:] for r in scores if r[0] == q and (r[2], group) in rows)
+            wanted |= {(q, group, n + 1, *r) for n, r in enumerate(own[:3])}
+    monkeypatch.setattr(search, "_sums", None, raising=False)
+    for most in (200_000, 2):
+        monkeypatch.setattr(search, "BROADCAST", most)
+        found = search.bm25_top_k(texts, queries, 3, groups=groups).select("query_id", "collection", "rank", "score", "doc_id", "chunk_id")
+        found = [tuple(r) for r in found.collect()]
+        assert len(found) == len(wanted) and set(found) == wanted
 
 
 def test_rrf_ties_and_bounds(spark):
