@@ -116,6 +116,20 @@ def test_best_of_each_group_equals_all_scores(spark, monkeypatch):
         assert len(found) == len(wanted) and set(found) == wanted
 
 
+def test_all_scores_are_not_shuffled(spark, monkeypatch):
+    """They get their names in the task that makes them."""
+    texts = spark.createDataFrame(corpus(80, 8), "doc_id long, chunk_id string, text string")
+    queries = spark.createDataFrame([("q1", "alpha beta gamma"), ("q2", "zeta"), ("q3", "foo_bar eta theta")], "query_id string, query string")
+    scores = search.bm25_scores(texts, queries)
+    above = scores._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+    assert len(above) == 2 and "Exchange" not in above[0]
+    one = sorted(map(tuple, scores.collect()))
+    assert len(one) == len(set(one)) > 80
+    for constant in ("CELLS", "SUMS_A_TASK", "SENT_ROWS", "BROADCAST"):
+        monkeypatch.setattr(search, constant, 2)
+    assert sorted(map(tuple, search.bm25_scores(texts.limit(20), queries).select("doc_id", "query_id").collect())) == sorted((r[1], r[0]) for r in one if r[1] < 20)
+
+
 def test_rrf_ties_and_bounds(spark):
     ddl = "query_id string, doc_id long, chunk_id string, rank int"
     one = spark.createDataFrame([("q", 1, "a", 1), ("q", 2, "b", 2)], ddl)
