@@ -173,18 +173,29 @@ def percentiles(values: DataFrame, by: str, value: str) -> DataFrame:
     return sums.join(found, by).select(by, "mean", "p50", "p95", "max")
 
 
-def random_indices(n: int, count: int, seed: int) -> np.ndarray:
-    """The first `count` values of random.Random(seed).randrange(n), drawn at once: n below 2^32."""
+#: Random numbers that are drawn at once.
+DRAWN = 1 << 20
+
+
+def random_rows(n: int, rows: int, seed: int) -> Iterator[np.ndarray]:
+    """The first rows of n values each of random.Random(seed).randrange(n), n below 2^32, a bounded number
+    of values at a time."""
     _, words, _ = random.Random(seed).getstate()
     source = np.random.MT19937()
     source.state = {"bit_generator": "MT19937", "state": {"key": np.array(words[:-1], np.uint64), "pos": words[-1]}}
-    shift = 32 - n.bit_length()
-    parts, held = [], 0
-    while held < count:
-        drawn = source.random_raw(count - held + 1024) >> np.uint64(shift)
-        parts.append(drawn[drawn < n].astype(np.int64))
-        held += len(parts[-1])
-    return np.concatenate(parts)[:count]
+    shift = np.uint64(32 - n.bit_length())
+    held, left = np.empty(0, np.int64), rows * n
+    for _ in range(rows):
+        while len(held) < n:
+            drawn = source.random_raw(min(left, max(DRAWN, n)) - len(held) + 1024) >> shift
+            held = np.concatenate([held, drawn[drawn < n].astype(np.int64)])
+        yield held[:n]
+        held, left = held[n:], left - n
+
+
+def random_indices(n: int, count: int, seed: int) -> np.ndarray:
+    """The first `count` values of random.Random(seed).randrange(n): n below 2^32."""
+    return np.concatenate([*random_rows(n, -(-count // n), seed)])[:count]
 
 
 def _resample(iterations: int, seed: int, confidence: float):
@@ -194,9 +205,8 @@ def _resample(iterations: int, seed: int, confidence: float):
         if n == 1:
             low = high = v[0]
         else:
-            # one matrix of indices serves all metrics
-            drawn = random_indices(n, n * iterations, seed).reshape(iterations, n)
-            means = np.sort(np.stack([np.cumsum(v[row], axis=0)[-1] / n for row in drawn]), axis=0)
+            # the same indices serve all metrics
+            means = np.sort(np.stack([np.cumsum(v[row], axis=0)[-1] / n for row in random_rows(n, iterations, seed)]), axis=0)
             low, high = means[max(0, int(tail * iterations) - 1)], means[min(iterations - 1, int((1.0 - tail) * iterations))]
         return pd.DataFrame({"mode": pdf["mode"].iloc[0], "metric": list(METRICS), "low": low, "high": high})
 

@@ -282,6 +282,21 @@ def test_random_indices_are_those_of_randrange():
         assert evaluation.random_indices(n, 3000, 20260909).tolist() == [rng.randrange(n) for _ in range(3000)]
 
 
+def test_bootstrap_draws_a_bounded_number_at_once():
+    """The indices of all iterations are never there together, and are the same."""
+    import tracemalloc
+
+    n, rows = 20_011, 400
+    wanted = random.Random(7)
+    tracemalloc.start()
+    for at, row in enumerate(evaluation.random_rows(n, rows, 7)):
+        if at < 70:  # beyond what is drawn at once
+            assert row.tolist() == [wanted.randrange(n) for _ in range(n)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == rows - 1 and most < n * rows * 8 / 1.5
+
+
 def test_weights_in_several_runs(spark, monkeypatch):
     """However few rows are broadcast at once, and with or without a bound, the k best are the same."""
     texts = spark.createDataFrame(corpus(80, 5) + [(500 + i, f"d{i}", "alpha beta") for i in range(9)], "doc_id long, chunk_id string, text string")
